@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, licenses, pii
+from lattica.llm import bpe, chat, decontaminate, licenses, pii, quality, toxicity
 from lattica.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_ranks(), digests=True)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,12 +67,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score_quality(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
+    "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_chat": op6_chat,
+    "op8_quality": op8_quality,
+    "op10_licenses": op10_licenses,
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pii": op1_pii, "op2_bpe": op2_bpe, "op6_chat": op6_chat, "op10_licenses": op10_licenses}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
