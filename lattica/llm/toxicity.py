@@ -20,7 +20,6 @@ other columns are ignored, whatever their names, and are never inputs of a score
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from lattica.llm.folds import fold, labelled_sample
 
 #: Bound of the labelled rows that the machine learns from.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 LANDMARKS = 256
@@ -248,12 +247,20 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, turns:
     constant = np.array([0.0] * (SLOTS + 2) + [np.log(rate / (1 - rate))])
     if len(y) == 0 or y.min() == y.max():
         return Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, constant)
-    sentences = [[frozenset(w for t in tokens(s) for w in windows_of_word(t)) for s in _SENTENCE.split(text)] for text in texts]
     fitted = np.arange(len(y)) % 3 != 2  # the rest is for the logistic fit
-    of_text = [frozenset().union(*s) for s in sentences]
+    same: dict[str, str] = {}  # one object for equal windows
+    one = same.setdefault
+    split = lambda text: {one(w, w) for t in tokens(text) for w in windows_of_word(t)}
     toxic, clean = Counter(), Counter()
+    sentences = []
     for i in np.flatnonzero(fitted):
-        (toxic if y[i] else clean).update(of_text[i])
+        if y[i]:
+            bag = [split(s) for s in _SENTENCE.split(texts[i])]
+            sentences += bag
+            toxic.update(set().union(*bag))
+        else:
+            clean.update(split(texts[i]))
+    del same, one
     n_toxic, n_clean = max(1, int(y[fitted].sum())), max(1, int((1 - y[fitted]).sum()))
     odds = {w: float(np.log((toxic[w] + 0.2) / (n_toxic + 0.4) * (n_clean + 0.4) / (clean[w] + 0.2))) for w in toxic}
     telling = sorted((w for w in toxic if toxic[w] >= 2 and odds[w] > 1.0), key=lambda w: (-odds[w] * np.sqrt(toxic[w]), w))
@@ -261,10 +268,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, turns:
     spread = sorted(clean, key=lambda w: (hash_of(w), w))
     half = landmarks // 2
     chosen = list(dict.fromkeys(telling[:half] + common[: half // 2] + spread))[:landmarks]
+    if not chosen:
+        return Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, constant)
     space = _Landmarks(chosen)
     positive = [w for w in telling if odds[w] > 1.8]
     negative = list(dict.fromkeys(common[:5_000] + spread[:15_000]))
-    clean_windows = list(clean)
+    clean_windows = sorted(clean)
     machine = Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, constant)
     inserted = [v for w in telling[:half] for v in with_insertions(w) if v not in clean]
     for turn in range(turns):
@@ -280,16 +289,16 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, turns:
         machine = Machine(space.numbers, (space.matrix[:-1] @ alpha).astype(np.float32), float(w[-1]), constant)
         if turn + 1 == turns:
             break
-        margin = dict(zip(of_all := list(dict.fromkeys([*toxic, *clean_windows])), machine.margins(of_all).tolist(), strict=True))
+        of_toxic = list(toxic)
+        margin = dict(zip(of_toxic, machine.margins(of_toxic).tolist(), strict=True))
         found = set()
-        for i in np.flatnonzero(fitted & (y > 0)):
+        for sentence in sentences:
             # the sentences that bear the label, by their strongest windows
-            for s in sentences[i]:
-                best = max(s, key=lambda w: (margin[w], w), default=None)
-                if best is not None and margin[best] > 0 and odds[best] > 0.5:
-                    found.add(best)
+            best = max(sentence, key=lambda w: (margin[w], w), default=None)
+            if best is not None and margin[best] > 0 and odds[best] > 0.5:
+                found.add(best)
         positive = sorted(found | set(telling[:half]))
-        hard = heapq.nlargest(10_000, clean_windows, key=lambda w: (margin[w], w))
+        hard = [clean_windows[k] for k in np.argsort(-machine.margins(clean_windows), kind="stable")[:10_000]]
         negative = list(dict.fromkeys(hard + common[:5_000] + spread[:10_000]))
     rest = np.flatnonzero(~fitted)
     strongest = Scorer(machine).strongest([texts[i] for i in rest])
