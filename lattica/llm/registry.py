@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, licenses, pii, quality, toxicity
+from lattica.llm import bpe, chat, decontaminate, licenses, pii, quality, toxicity, vectors
 from lattica.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+    AND list_bool_or(list_transform(embedding, lambda e: e <> 0))
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+), reach AS (
+  SELECT a AS id, a AS other FROM pairs UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON p.a = r.other
+), component AS (SELECT id, min(other) AS component FROM reach GROUP BY id),
+links AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, coalesce(c.component, e.vec_id) AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN links l ON l.id = e.vec_id LEFT JOIN component c ON c.id = e.vec_id"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score_quality(documents, quality.train(documents, table(spark, sf_dir, "labels")))
@@ -82,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_chat": op6_chat,
+    "op7_vectors": op7_vectors,
     "op8_quality": op8_quality,
     "op10_licenses": op10_licenses,
 }
@@ -92,4 +112,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op10_licenses": licenses.license_sql()}
+    return {"op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql()}
