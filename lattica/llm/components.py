@@ -26,13 +26,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     signature = _signature(edges)
     while signature[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # nodes with a smaller neighbour; written, so that both sides of the join are exchanges, which can be split
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").select(F.col("u").alias("v"), "m"), "least")
+        large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         large = written(large, "large-star")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = written(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        drop_written(edges, large)
+        drop_written(edges, least, large)
         edges, before, signature = following, signature, _signature(following)
         if signature == before:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, licenses, pii, quality, toxicity, vectors
+from lattica.llm import bpe, chat, decontaminate, licenses, pii, quality, shingles, toxicity, vectors
 from lattica.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.join_shingles(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_shingles": op4_shingles,
     "op5_decontaminate": op5_decontaminate,
     "op6_chat": op6_chat,
     "op7_vectors": op7_vectors,
