@@ -19,5 +19,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from lattica.runtime import ship
+
+    ship(session)
     yield session
     session.stop()
