@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, licenses, pii, quality, shingles, toxicity, vectors
+from lattica.llm import bpe, chat, decontaminate, licenses, lm, pii, quality, shingles, toxicity, vectors
 from lattica.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op6_chat": op6_chat,
     "op7_vectors": op7_vectors,
     "op8_quality": op8_quality,
+    "op9_lm": op9_lm,
     "op10_licenses": op10_licenses,
 }
 
