@@ -9,8 +9,8 @@ probabilities sum to one.
 
 A level of the trie is a sequence of nodes by parent and word. The places where parents' children begin (pointers)
 and the word numbers, made monotone by their parent's number times the vocabulary, are Elias-Fano sequences; log
-probabilities and back-offs are numbers into books of 256. A level is asked by successor search inside the
-context's range. Workers map the levels' bytes from an unlinked file.
+probabilities and back-offs are numbers into books of 256. A level is asked by successor search relative to the
+context, whose number times the vocabulary is where its words begin. Workers map the levels' bytes from an unlinked file.
 
 Counts of words outside the trie, which only the base score needs, are joined by exchange and never broadcast.
 
@@ -43,32 +43,42 @@ LEAST_COUNT = 2
 DISCOUNT = 0.75
 BOOK = 256
 #: Tokens that are counted or scored at once, and words whose hashes a task remembers.
-COUNTED, SCORED, REMEMBERED = 1 << 21, 1 << 18, 1 << 20
+COUNTED, SCORED, REMEMBERED = 1 << 21, 1 << 20, 1 << 20
 #: The end's number among word hashes.
 END = 1
 
 
-class Hasher:
-    """64-bit numbers of words, remembered."""
+class Numbers:
+    """Numbers of words, remembered: 63-bit hashes, or with a trie its word numbers, and outside it minus the hash."""
 
-    def __init__(self):
+    def __init__(self, trie: Trie | None = None):
         import xxhash
 
-        self._hash = xxhash.xxh3_64_intdigest
+        self._hash, self._trie = xxhash.xxh3_64_intdigest, trie
         self._known: dict[bytes, int] = {}
+        self._end = END if trie is None else int(self._numbered(np.array([END]))[0])
 
-    def _word(self, word: bytes) -> int:
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
+    def _numbered(self, hashes: np.ndarray) -> np.ndarray:
+        ids = self._trie.ids(hashes)
+        return np.where(ids >= 0, ids, -hashes)
+
+    def _learn(self, words: set[bytes]) -> None:
         # the top bit goes, so that numbers fit long columns; 0 and END are no word's
-        h = self._known[word] = max(self._hash(word) >> 1, 2)
-        return h
+        hashes = [max(self._hash(w) >> 1, 2) for w in words]
+        self._known.update(zip(words, hashes if self._trie is None else self._numbered(np.array(hashes)).tolist(), strict=True))
 
     def tokens(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z, and ASCII white space without \x1c-\x1f
-        get, make = self._known.get, self._word
-        out = np.fromiter((get(w) or make(w) for w in words), np.int64, len(words))
-        return np.append(out, END)
+        found = list(map(self._known.get, words))
+        if None in found:
+            new = {w for w, f in zip(words, found, strict=True) if f is None}
+            if len(self._known) + len(new) > REMEMBERED:
+                self._known.clear()
+                new = set(words)
+            self._learn(new)
+            found = list(map(self._known.get, words))
+        found.append(self._end)
+        return np.array(found, np.int64)
 
 
 # Elias-Fano -----------------------------------------------------------------------------------------------------
@@ -134,32 +144,41 @@ class EliasFano:
     def _zeros_before(self) -> np.ndarray:
         return np.arange(len(self.ones)) * 64 - self.ones.astype(np.int64)
 
-    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def successor(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First place in ``[begin, end)`` whose number is at least x (``end`` if none), and whether it is x."""
+        end = np.broadcast_to(self.n if end is None else end, x.shape)
         if not self.n:
             return end, np.zeros(len(x), bool)
         if not hasattr(self, "_zeros"):
             self._zeros = self._zeros_before()
         part = (x >> np.uint64(self.low_bits)).astype(np.int64)
-
-        def before(h: np.ndarray) -> np.ndarray:
-            """How many numbers have a high part under h: what lies before the h-th zero."""
-            k = np.maximum(h - 1, 0)
+        # numbers with a smaller high part end at the part-th zero; those with this one follow it as ones
+        k = np.maximum(part - 1, 0)
+        word = np.searchsorted(self._zeros, k, side="right") - 1
+        zero = np.where(part > 0, word * 64 + _in_word(~self.high[word], k - self._zeros[word]), -1)
+        start = zero + 1
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        ahead = (self.high[word] >> shift) | ((self.high[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        ones = np.bitwise_count(ahead & ~(ahead + np.uint64(1))).astype(np.int64)  # ones before the first zero
+        first = zero + 1 - part
+        last = first + ones
+        if (full := np.flatnonzero(ones == 64)).size:  # a long stretch of ones: its end is the next zero
+            k = part[full]
             word = np.searchsorted(self._zeros, k, side="right") - 1
-            place = word * 64 + _in_word(~self.high[word], k - self._zeros[word])
-            return np.where(h > 0, place - k, 0)
-
-        lo, hi = np.maximum(before(part), begin), np.minimum(before(part + 1), end)
-        stop = hi
+            last[full] = word * 64 + _in_word(~self.high[word], k - self._zeros[word]) - k
+        lo, stop = np.maximum(first, begin), np.minimum(last, end)
         want = x & np.uint64((1 << self.low_bits) - 1)
-        while (open_ := lo < hi).any():
-            middle = (lo + hi) >> 1
-            less = self._low(np.minimum(middle, self.n - 1)) < want
-            lo, hi = np.where(open_ & less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
-        place = np.minimum(lo, end)
-        inside = place < stop
-        hit = inside & (self._low(np.minimum(place, self.n - 1)) == want)
-        return place, hit
+        active, hi = np.flatnonzero(lo < stop), stop.copy()
+        while active.size:
+            middle = (lo[active] + hi[active]) >> 1
+            less = self._low(middle) < want[active]
+            lo[active] = np.where(less, middle + 1, lo[active])
+            hi[active] = np.where(less, hi[active], middle)
+            active = active[lo[active] < hi[active]]
+        hit = lo < stop
+        inside = np.flatnonzero(hit)
+        hit[inside] = self._low(lo[inside]) == want[inside]
+        return np.minimum(lo, end), hit
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +206,16 @@ class Level:
 
     def find(self, parent: np.ndarray, word: np.ndarray, vocabulary: int) -> np.ndarray:
         """Node numbers, -1 where there is none."""
-        begin, end = self.pointers.get(parent).astype(np.int64), self.pointers.get(parent + 1).astype(np.int64)
-        place, hit = self.words.successor(parent.astype(np.uint64) * np.uint64(vocabulary) + word.astype(np.uint64), begin, end)
-        return np.where(hit, place, -1)
+        if not len(parent):
+            return np.zeros(0, np.int64)
+        # each question once, in order
+        keys, back = np.unique(parent * vocabulary + word, return_inverse=True)
+        place, hit = self.words.successor(keys.astype(np.uint64))
+        return np.where(hit, place, -1)[back]
+
+    def children(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of parents begin and end."""
+        return self.pointers.get(parent).astype(np.int64), self.pointers.get(parent + 1).astype(np.int64)
 
 
 class Trie:
@@ -269,7 +295,7 @@ class Trie:
 
     def scores(self, ids: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """log10 probability of each token after those before it in its text."""
-        inside = ids >= 0
+        inside = ids >= 0  # all others are outside the trie
         score = np.full(len(ids), self.outside)
         score[inside] = self.book[self.code[ids[inside]]]
         since = _since(fresh)
@@ -326,48 +352,102 @@ def mapped(shared) -> Trie:
 # Counting and scoring --------------------------------------------------------------------------------------------
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token hashes of about ``limit`` at a time, and which are texts' first."""
-    hasher, held, size = Hasher(), [], 0
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.append(hasher.tokens(text))
-            size += len(held[-1])
-            if size >= limit:
-                yield _joined(held)
-                held, size = [], 0
-    if held:
-        yield _joined(held)
-
-
 def _joined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' tokens one after the other, and which are texts' first."""
     fresh = np.zeros(sum(map(len, held)), bool)
     fresh[np.cumsum([0, *map(len, held[:-1])])] = True
     return np.concatenate(held), fresh
 
 
+def _portions(held: Iterator[np.ndarray], limit: int) -> Iterator[list[np.ndarray]]:
+    """Texts in lists of about ``limit`` tokens."""
+    portion, size = [], 0
+    for one in held:
+        portion.append(one)
+        size += len(one)
+        if size >= limit:
+            yield portion
+            portion, size = [], 0
+    if portion:
+        yield portion
+
+
 def _counted(keys: np.ndarray) -> pa.RecordBatch:
     values, counts = np.unique(keys, return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
 
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``key, n``: every word's hash and count."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, _ in _tokens(batches, COUNTED):
-            yield _counted(hashes)
+        numbers = Numbers()
+        for held in _portions((numbers.tokens(t) for b in batches for t in b.column("text").to_pylist()), COUNTED):
+            yield _counted(np.concatenate(held))
+
+    return _summed(texts.mapInArrow(task, "key long, n long"))
+
 
-    return texts.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+NUMBERED = "row long, doc_id long, held_out boolean, learned boolean, n_tokens long, n_known long, logs double, ids binary, rare array<long>, times array<long>"
 
 
-def count_level(texts: DataFrame, shared, length: int, least: int) -> DataFrame:
+def number_texts(documents: DataFrame, trie: Trie, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row its word numbers (-1 outside the trie), what they add to the base score, and the other words' hashes."""
+    shared = documents.sparkSession.sparkContext.broadcast(packed(trie))
+
+    def rows(trie: Trie, part: pa.RecordBatch, held: list[np.ndarray]) -> pa.RecordBatch:
+        ids, fresh = _joined(held)
+        of, inside = np.cumsum(fresh) - 1, ids >= 0
+        logs = np.bincount(of[inside], np.log10(trie.counts[ids[inside]] + 1), len(held))
+        known = np.bincount(of[inside], minlength=len(held))
+        # the others by text and word
+        who, what = of[~inside], -ids[~inside]
+        order = np.lexsort((what, who))
+        who, what = who[order], what[order]
+        new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (what[1:] != what[:-1])]) if len(who) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[new, len(who)])
+        offsets = pa.array(np.searchsorted(who[new], np.arange(len(held) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (what[new], times)]
+        small = [np.maximum(h, -1).astype("<i4").tobytes() for h in held]
+        own = [part.column(k) for k in ("row", "doc_id", "held_out", "learned")]
+        columns = [*own, pa.array([len(h) for h in held], pa.int64()), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(small, pa.binary()), *lists]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NUMBERED.split(", ")])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = mapped(shared)
+        numbers = Numbers(trie)
+        for batch in batches:
+            first = 0
+            for held in _portions(map(numbers.tokens, batch.column("text").to_pylist()), SCORED):
+                yield rows(trie, batch.slice(first, len(held)), held)
+                first += len(held)
+
+    remainder = fold(F.col(doc_id), folds)
+    source = documents.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(remainder == held_out, F.lit(False)).alias("held_out"),
+        F.coalesce(remainder != held_out, F.lit(False)).alias("learned"),
+        F.col(text).alias("text"),
+    )
+    return source.mapInArrow(task, NUMBERED)
+
+
+def _numbers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(b, "<i4").astype(np.int64) for b in batch.column("ids").to_pylist())
+
+
+def count_level(numbered: DataFrame, shared, length: int, least: int) -> DataFrame:
     """``key, n`` of the n-grams of ``length`` words with a count of ``least`` whose shorter parts the trie holds."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = mapped(shared)
-        for hashes, fresh in _tokens(batches, COUNTED):
-            ids = trie.ids(hashes)
+        for held in _portions((ids for b in batches for ids in _numbers(b)), COUNTED):
+            ids, fresh = _joined(held)
             node = trie.nodes(ids, fresh, length - 1)
             keep = np.r_[False, (node[:-1] >= 0) & (ids[1:] >= 0) & ~fresh[1:]]
             if length > 2:
@@ -375,80 +455,52 @@ def count_level(texts: DataFrame, shared, length: int, least: int) -> DataFrame:
             at = np.flatnonzero(keep)
             yield _counted(node[at - 1] * len(trie.hashes) + ids[at])
 
-    return texts.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return _summed(numbered.select("ids").mapInArrow(task, "key long, n long")).where(F.col("n") >= least)
 
 
-def train(documents: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text") -> tuple[Trie, DataFrame]:
-    """The trie, and the written counts of all words."""
+def train(documents: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text") -> tuple[Trie, DataFrame, DataFrame]:
+    """The trie, the written counts of all words, and the written numbers of all rows' words."""
     if order not in (1, 2, 3):
         raise ValueError("orders are 1 to 3")
     context = documents.sparkSession.sparkContext
     learned = F.coalesce(fold(F.col(doc_id), folds) != held_out, F.lit(False))
-    texts = documents.where(learned).select(F.col(text).alias("text"))
-    counts = written(count_words(texts), "word-counts")
+    counts = written(count_words(documents.where(learned).select(F.col(text).alias("text"))), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.where(F.col("n") >= max(1.0, total * WORD_SHARE)).toArrow()  # at most 1 / WORD_SHARE rows
     trie = Trie(frequent["key"].to_numpy(), frequent["n"].to_numpy(), total, distinct)
+    numbered = written(number_texts(documents, trie, folds, held_out, doc_id, text), "lm-numbers")
     for length in range(2, order + 1):
         shared = context.broadcast(packed(trie))
         least = max(LEAST_COUNT, math.ceil(total * GRAM_SHARE))
-        grams = count_level(texts, shared, length, least).toArrow()  # at most 1 / GRAM_SHARE rows
+        grams = count_level(numbered.where("learned"), shared, length, least).toArrow()  # at most 1 / GRAM_SHARE rows
         place = np.argsort(grams["key"].to_numpy())
         trie.add_level(grams["key"].to_numpy()[place], grams["n"].to_numpy()[place])
         shared.unpersist()
-    return trie.finished(), counts
-
-
-PARTIAL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>, times array<long>"
+    return trie.finished(), counts, numbered
 
 
-def score_texts(documents: DataFrame, trie: Trie, counts: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document row."""
-    shared = documents.sparkSession.sparkContext.broadcast(packed(trie))
-
-    def rows(trie: Trie, batch: pa.RecordBatch, first: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, fresh = _joined(held)
-        of = np.cumsum(fresh) - 1
-        ids = trie.ids(hashes)
-        score = np.bincount(of, trie.scores(ids, fresh), len(held))
-        inside = ids >= 0
-        logs = np.bincount(of[inside], np.log10(trie.counts[ids[inside]] + 1), len(held))
-        known = np.bincount(of[inside], minlength=len(held))
-        # the others by text and word
-        pairs = np.rec.fromarrays([of[~inside], hashes[~inside]])
-        other, times = np.unique(pairs, return_counts=True)
-        offsets = np.searchsorted(other["f0"], np.arange(len(held) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(v).astype(np.int64))) for v in (other["f1"], times)]
-        part = batch.slice(first, len(held))
-        n = pa.array(np.array(list(map(len, held)), np.int64))
-        columns = [part.column("row"), part.column("doc_id"), part.column("held_out"), n, pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score), *lists]
-        return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "times"])
+def score_numbered(numbered: DataFrame, trie: Trie, counts: DataFrame) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of a written ``number_texts``."""
+    shared = numbered.sparkSession.sparkContext.broadcast(packed(trie))
+    own = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hasher = mapped(shared), Hasher()
+        trie = mapped(shared)
         for batch in batches:
-            held, size, first = [], 0, 0
-            for text in batch.column("text").to_pylist():
-                held.append(hasher.tokens(text))
-                size += len(held[-1])
-                if size >= SCORED:
-                    yield rows(trie, batch, first, held)
-                    first, held, size = first + len(held), [], 0
-            if held:
-                yield rows(trie, batch, first, held)
-
-    source = documents.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(fold(F.col(doc_id), folds) == held_out, F.lit(False)).alias("held_out"),
-        F.col(text).alias("text"),
-    )
-    partial = written(source.mapInArrow(task, PARTIAL), "lm-scores")
-    rare = partial.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
+            first = 0
+            for held in _portions(_numbers(batch), SCORED):
+                ids, fresh = _joined(held)
+                score = np.bincount(np.cumsum(fresh) - 1, trie.scores(ids, fresh), len(held))
+                part = batch.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(score)], names=[*own, "score"])
+                first += len(held)
+
+    scored = numbered.select(*own, "ids").mapInArrow(task, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    rare = numbered.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
     # words under WORD_SHARE of all tokens, so that no key is hot
     found = rare.join(counts, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     base = F.log10(F.lit(float(trie.total + trie.distinct + 1)))
-    return partial.drop("rare", "times").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -461,5 +513,10 @@ def score_texts(documents: DataFrame, trie: Trie, counts: DataFrame, folds: int
 
 def score_documents(documents: DataFrame, order: int = ORDER, **options) -> DataFrame:
     """Learns from the training part of ``documents`` and scores all of them."""
-    trie, counts = train(documents, order, **options)
-    return score_texts(documents, trie, counts, **options)
+    trie, counts, numbered = train(documents, order, **options)
+    return score_numbered(numbered, trie, counts)
+
+
+def score_texts(documents: DataFrame, trie: Trie, counts: DataFrame, **options) -> DataFrame:
+    """Scores other documents with a trained trie."""
+    return score_numbered(written(number_texts(documents, trie, **options), "lm-numbers"), trie, counts)
