@@ -85,9 +85,15 @@ def engagement_state(x: np.ndarray, shrink: float = 0.1) -> dict[str, float]:
     return {k: found[k] for k in ("oh", "eta", "mean_corr", "gap", "xi")} | {"active": active.shape[1]}
 
 
-def barcode_state(x: np.ndarray) -> dict[str, float]:
+def distance_of(x: np.ndarray) -> np.ndarray:
+    """Angular distance by ranks, without shrinkage."""
     d = np.sqrt(np.maximum(2 * (1 - kernels.spearman(x)), 0))
     np.fill_diagonal(d, 0)
+    return d
+
+
+def barcode_state(x: np.ndarray) -> dict[str, float]:
+    d = distance_of(x)
     zero, one = kernels.barcodes(d)
     return {"h0_total": zero[:, 1].sum() if len(zero) else 0.0, "h1_bars": len(one), "persistence_entropy": kernels.persistence_entropy(one)}
 

@@ -409,6 +409,3 @@ def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dataclasses import replace
 
     return state.regime_summary(state.universe_state(spark, sf_dir, replace(STATE, window=6)))
-
-
-from lattica.plans import evaluation, monitoring  # noqa: E402, F401  they register their queries here

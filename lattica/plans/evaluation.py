@@ -137,10 +137,10 @@ def attention_normalised(spark, sf_dir):
     return out
 
 
-KAPPA = "0.30::DOUBLE * (1 - xi) + 0.25::DOUBLE * eta + 0.20::DOUBLE * (1 - xi) + 0.15::DOUBLE * delta - 0.10::DOUBLE * omega"
+COMPOSITE = "0.30::DOUBLE * (1 - xi) + 0.25::DOUBLE * eta + 0.20::DOUBLE * (1 - xi) + 0.15::DOUBLE * delta - 0.10::DOUBLE * omega"
 
 
-@query(o.sql(ATTENTION, f"s AS (SELECT g, round({KAPPA}, 6) AS score FROM family)", "SELECT g, score, score > 0.5 AS detected, round(least(1.0::DOUBLE, abs(score - 0.5::DOUBLE) / 0.5::DOUBLE), 6) AS confidence FROM s"))
+@query(o.sql(ATTENTION, f"s AS (SELECT g, round({COMPOSITE}, 6) AS score FROM family)", "SELECT g, score, score > 0.5 AS detected, round(least(1.0::DOUBLE, abs(score - 0.5::DOUBLE) / 0.5::DOUBLE), 6) AS confidence FROM s"))
 def composite_detect(spark, sf_dir):
     f = attention.entropy_family(matrices(spark, sf_dir)).withColumn("rscore", 1 - F.col("xi"))
     return attention.detected(attention.composite(f)).select("g", "score", "detected", "confidence")

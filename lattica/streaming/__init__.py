@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from lattica.config import STATE
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """Events with ``ts`` as an instant, which watermarks need."""
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1, name: str = "*.parquet") -> DataFrame:
+    """Events with ``ts`` as an instant, which watermarks need; ``name`` says which files of the folder are taken."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -12,7 +12,7 @@ import __spark_entry__
 from lattica.config import STATE
 from lattica.functions import kernels, register
 from lattica.operators import attention, coupling, evaluate, events, hazard, network, series, state, windows
-from lattica.plans import catalog
+from lattica.plans import every as catalog
 from lattica.sources import formats, panels
 
 DAY = datetime.date(2024, 1, 1)
@@ -78,6 +78,13 @@ def test_recurrence_lines():
     assert 0 < found["rr"] < 1 and 0.5 < found["det"] <= 1
 
 
+def test_a_ring_of_pixels_has_one_loop():
+    height = np.full((5, 5), 2.0)
+    height[1:4, 1:4] = 0.0
+    height[2, 2] = 1.0
+    assert kernels.cubical_loops(height) == [1.0] and kernels.cubical_loops(np.zeros((4, 4))) == []
+
+
 def test_activation_kinds():
     assert kernels.activation(np.zeros(50))["kind"] == "NONE"
     ramp = np.concatenate([np.zeros(100), np.linspace(0, 1, 30), np.ones(60)])
