@@ -7,8 +7,10 @@ A document's set holds the 64-bit hashes of its distinct runs of ``SHINGLE`` wor
   so hashes are cut into K parts, K = D(n) + 1 and some over: linked sets agree on parts. A tile is a band, a part
   and the part's exact content; two linked sets meet in at least one. A set enters its own band's tiles and, where
   its partners can reach it, the next band's. Parts that are empty make tiles only for the rare sets that have
-  nearly nothing else in common to agree on. Content of several shingles names a tile, so passages that many
-  documents share do not gather their documents.
+  nearly nothing else in common to agree on. Bands of over a thousand elements have larger and fewer parts: hashes
+  deal differences to parts at random, and the chance that linked sets agree on none of them is under ``MISS``, as
+  small as that of equal 64-bit hashes. Content of several shingles names a tile, so passages that many documents
+  share do not gather their documents.
 * In a tile, every member is first paired with its smallest member. Pairs are bounded by their hashed bitmap
   signatures: differing bits are at most differing elements, so bit counts bound the overlap from above. What
   survives is decided by exact intersection of sorted arrays.
@@ -30,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import connected_components
@@ -40,9 +42,11 @@ SHINGLE, PERCENT = 4, 85
 #: Ratio of a band's largest to its smallest set.
 BAND = 1.5
 #: 64-bit words of a bitmap signature.
-WORDS = 8
+WORDS = 32
+#: Documents whose ids are broadcast to pick their texts; more than these go by exchange.
+BROADCAST_IDS = 1 << 21
 #: Words whose hashes a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 # Arrays of one, since numpy warns where products of plain numbers wrap around.
@@ -101,13 +105,28 @@ def most_apart(n: int, percent: int) -> int:
     return 2 * n * (100 - percent) // (100 + percent)
 
 
+#: Mean elements of a part, from a band's largest set on; smaller sets have one part for each possible difference.
+LARGE = [(8_000, 14), (4_000, 13), (2_000, 11), (1_000, 8)]
+#: Parts that a large set enters at most.
+MOST_PARTS = 400
+#: Chance that two linked sets share no tile that the parts of large sets must stay under.
+MISS = 1e-13
+
+
 @lru_cache(1024)
-def band_parts(band: int, percent: int) -> tuple[int, int]:
-    """Parts of a band and how many of them linked sets agree on at least."""
+def band_parts(band: int, percent: int) -> tuple[int, int, int]:
+    """Parts of a band, how many of them count, and how many linked sets agree on at least (0: by chance only)."""
     largest = int(BAND ** (band + 1)) + 1
     apart = most_apart(largest, percent)
     more = apart // 32 if apart else 0
-    return apart + 1 + more, 1 + more
+    for least, mean in LARGE:
+        parts = largest // mean
+        used = min(parts, MOST_PARTS)
+        # a part of the union is agreed on if no element of it is a difference
+        agreed = np.exp(-mean * 2 * (100 - percent) / (100 + percent))
+        if largest >= least and used * np.log1p(-agreed) < np.log(MISS):
+            return parts, used, 0
+    return apart + 1 + more, apart + 1 + more, 1 + more
 
 
 def band_of(n: int) -> int:
@@ -129,15 +148,16 @@ def tile_names(a: np.ndarray, percent: int) -> np.ndarray:
         bands.append(bands[-1] + 1)
     out = []
     for band in bands:
-        parts, agree = band_parts(band, percent)
+        parts, used, agree = band_parts(band, percent)
         # a is sorted, so each part is a stretch of it
         place = ((a >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         content = np.add.reduceat(mixed(a ^ _ODD[2]), first)
         full = place[first]
         seed = np.array([band + 1], np.uint64) * _ODD[3]
-        out.append(mixed(mixed(full * _ODD[0] + seed) + content))
-        if parts - len(full) >= agree:
+        names = mixed(mixed(full * _ODD[0] + seed) + content)
+        out.append(names[full < np.uint64(used)])
+        if agree and parts - len(full) >= agree:
             # so few parts have content that linked sets might agree on empty ones alone
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), full)
             out.append(mixed(mixed(empty * _ODD[1] + seed) + _ODD[4]))
@@ -169,26 +189,35 @@ def _source(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
+BITS = [f"b{k}" for k in range(WORDS)]
+
+
 def shingle_sets(documents: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n, key, met, tiles``: a set that the task has met before has that document's id and no tiles."""
+    """``doc_id, n, key, met, b0.., tiles``: a set that the task has met before has that document's id, no bitmap and no tiles."""
+    names = ["doc_id", "n", "key", "met", *BITS, "tiles"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(size), {}
         for batch in batches:
-            n, keys, tiles, met = [], [], [], []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a = shingler.shingles(t)
+            n, keys, tiles, met, bits = [], [], [], [], []
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a = shingler.shingles(t.as_py())
                 n.append(len(a))
                 key = set_key(a) if len(a) and doc is not None else None
                 keys.append(key)
                 first = seen.get(key)
                 met.append(first)
-                tiles.append(None if key is None or first is not None else _signed(tile_names(a, percent)))
-                if key is not None and first is None:
+                new = key is not None and first is None
+                tiles.append(_signed(tile_names(a, percent)) if new else None)
+                bits.append(bitmap(a) if new else np.zeros(WORDS, np.uint64))
+                if new:
                     seen[key] = doc
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(met, pa.int64()), pa.array(tiles, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "met", "tiles"])
+            columns = np.array(bits, np.uint64).reshape(len(n), WORDS).T
+            own = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(met, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(_signed(np.ascontiguousarray(c))) for c in columns), pa.array(tiles, pa.list_(pa.int64()))], names=names)
 
-    return _source(documents, doc_id, text).mapInArrow(task, "doc_id long, n long, key binary, met long, tiles array<long>")
+    bits = ", ".join(f"{b} long" for b in BITS)
+    return _source(documents, doc_id, text).mapInArrow(task, f"doc_id long, n long, key binary, met long, {bits}, tiles array<long>")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,82 +250,90 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _arrays(documents: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """``doc, n, b0.., a``: size, bitmap and sorted array of the wanted documents."""
-    names = ["doc", "n", *(f"b{k}" for k in range(WORDS)), "a"]
+    """``doc, a``: sorted arrays of the wanted documents, whose distinct ids ``wanted`` has as ``doc``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            sets = [shingler.shingles(t) for t in batch.column(1).to_pylist()]
-            bits = np.array([bitmap(a) for a in sets], np.uint64).reshape(len(sets), WORDS)
-            columns = [batch.column(0), pa.array([len(a) for a in sets], pa.int64()), *(pa.array(_signed(np.ascontiguousarray(c))) for c in bits.T), pa.array([a.tobytes() for a in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            arrays = [shingler.shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary())], names=["doc", "a"])
 
-    chosen = _source(documents, doc_id, text).join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    bits = ", ".join(f"b{k} long" for k in range(WORDS))
-    return chosen.mapInArrow(task, f"doc long, n long, {bits}, a binary")
+    ids = wanted.select(F.col("doc").alias("doc_id"))
+    few = wanted.count() <= BROADCAST_IDS
+    return _source(documents, doc_id, text).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(task, "doc long, a binary")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Of ``x, y``: the pairs that sizes and bitmap bits let link."""
+
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(f"b{k}").alias(f"b{k}_{name}") for k in range(WORDS)))
+        return signatures.select(F.col("doc").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *BITS)))
 
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    return both.where(_may_link("n_x", "n_y", [(f"b{k}_x", f"b{k}_y") for k in range(WORDS)], percent)).select("x", "y")
+    return both.where(_may_link("x", "y", percent)).select("x", "y")
 
 
-def _may_link(n_x: str, n_y: str, bits: list[tuple[str, str]], percent: int):
-    apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in bits), F.lit(0))
-    total = F.col(n_x) + F.col(n_y)
+def _may_link(x: str, y: str, percent: int) -> Column:
+    apart = sum((F.bit_count(F.col(f"{x}_{b}").bitwiseXOR(F.col(f"{y}_{b}"))) for b in BITS), F.lit(0))
+    n_x, n_y = F.col(f"{x}_n"), F.col(f"{y}_n")
+    total = n_x + n_y
     # apart bits are apart elements at least: overlap <= (total - apart) / 2
     return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * (total - apart) >= 2 * percent * total)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of the pairs ``x, y`` that link, by exact intersection."""
+def _linked(pairs: DataFrame, documents: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The written ``a, b`` of the pairs ``x, y`` that link, by exact intersection; ``pairs`` is written."""
+    wanted = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
+    arrays = written(_arrays(documents, wanted, size, doc_id, text), "shingle-arrays")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            keep = [links(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(x, y, strict=True)]
+            # long arrays stay where they came in
+            view = lambda scalar: np.frombuffer(scalar.as_buffer(), np.uint64)
+            keep = [links(view(a), view(b), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
 
-    both = pairs.join(sets.select(F.col("doc").alias("x"), F.col("a").alias("ax")), "x").join(sets.select(F.col("doc").alias("y"), F.col("a").alias("ay")), "y")
-    return both.select("x", "y", "ax", "ay").mapInArrow(task, "a long, b long")
+    both = pairs.join(arrays.select(F.col("doc").alias("x"), F.col("a").alias("ax")), "x").join(arrays.select(F.col("doc").alias("y"), F.col("a").alias("ay")), "y")
+    found = written(both.select("x", "y", "ax", "ay").mapInArrow(task, "a long, b long"), "links")
+    drop_written(arrays)
+    return found
 
 
 def join_shingles(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: ``doc_id, n_shingles, component_id`` (smallest document that links reach)."""
-    sets = written(shingle_sets(documents, size, percent, doc_id, text), "shingle-sets")
+    dealt = written(shingle_sets(documents, size, percent, doc_id, text), "shingle-sets")
+    sets = written(dealt.drop("tiles"), "shingle-counts")
+    signatures = sets.where("key IS NOT NULL AND met IS NULL").select(F.col("doc_id").alias("doc"), "n", *BITS)
     # copies within a task are known there; what is left of a set is one document per task
     firsts = sets.where("key IS NOT NULL AND met IS NULL").select("key", "doc_id")
     smallest = firsts.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
     copies = sets.where("met IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("met").alias("b")).unionByName(
         firsts.join(smallest, "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     )
-    dealt = sets.where("tiles IS NOT NULL").select(F.explode("tiles").alias("tile"), "doc_id")
-    tiles = written(dealt.repartition("tile").sortWithinPartitions("tile", "doc_id").mapInArrow(_met, "tile long, doc long, center long"), "tiles")
+    entered = dealt.where("tiles IS NOT NULL").select(F.explode("tiles").alias("tile"), "doc_id")
+    tiles = written(entered.repartition("tile").sortWithinPartitions("tile", "doc_id").mapInArrow(_met, "tile long, doc long, center long"), "tiles")
+    drop_written(dealt)
 
-    arrays = written(_arrays(documents, tiles.select("doc").distinct(), size, doc_id, text), "shingle-arrays")
     stars = tiles.where("doc <> center").select(F.col("doc").alias("x"), F.col("center").alias("y")).distinct()
-    found = written(_linked(_bounded(stars, arrays, percent), arrays, percent).unionByName(copies), "links")
+    bounded = written(_bounded(stars, signatures, percent), "star-pairs")
+    starred = _linked(bounded, documents, size, percent, doc_id, text)
+    found = written(starred.unionByName(copies), "links")
     components = written(connected_components(found), "components")
 
-    # tiles with members of several components: their pairs across components
+    # tiles with members of several components, one of each membership: their pairs across components
     placed = tiles.select("tile", "doc").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("tile", "doc", F.coalesce("component", "doc").alias("component"))
-    torn = written(placed.groupBy("tile").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("tile"), "torn-tiles")
-    members = written(placed.join(torn, "tile").join(arrays.drop("a"), "doc"), "torn-members")
-    bits = [f"b{k}" for k in range(WORDS)]
-    x = members.select("tile", *(F.col(c).alias(f"x_{c}") for c in ("doc", "component", "n", *bits)))
-    y = members.select("tile", *(F.col(c).alias(f"y_{c}") for c in ("doc", "component", "n", *bits)))
-    may = _may_link("x_n", "y_n", [(f"x_{b}", f"y_{b}") for b in bits], percent)
-    across = x.join(y, "tile").where((F.col("x_component") < F.col("y_component")) & may)
-    pairs = across.select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
-    more = written(_linked(pairs, arrays, percent), "links-across")
+    membership = (F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc")).alias("mark"), F.sum(F.col("doc") % 1_000_003).alias("rest"))
+    torn = placed.groupBy("tile").agg(F.min("component").alias("least"), F.max("component").alias("most"), *membership).where("least < most")
+    torn = written(torn.groupBy("size", "mark", "rest").agg(F.min("tile").alias("tile")).select("tile"), "torn-tiles")
+    members = written(placed.join(torn, "tile").join(signatures, "doc"), "torn-members")
+    x, y = (members.select("tile", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "component", "n", *BITS))) for name in "xy")
+    across = x.join(y, "tile").where((F.col("x_component") < F.col("y_component")) & _may_link("x", "y", percent))
+    pairs = written(across.select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct(), "cross-pairs")
+    drop_written(tiles, torn, members, bounded, starred)
+    more = _linked(pairs, documents, size, percent, doc_id, text)
     if more.head(1):
         components = connected_components(found.unionByName(more))
-    drop_written(tiles, arrays, torn, members, found, more)
+    drop_written(pairs, found, more)
     return (
         sets.select("doc_id", "n")
         .join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left")
