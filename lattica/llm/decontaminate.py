@@ -187,15 +187,15 @@ def mark_hits(documents: DataFrame, benchmark: DataFrame, text: Column, window:
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in batches:
-                split = [words(t) for t in batch.column("body").to_pylist()]
-                scanned = [automaton.scan(ws) for ws in split]
-                hits, items = [], []
-                for (new, names), old, known in zip(scanned, batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                    both = _joined(new + [(h["start"], h["end"]) for h in old])
-                    hits.append([{"start": s, "end": e} for s, e in both])
+                n_words, hits, items = [], [], []
+                for t, old, known in zip(batch.column("body").to_pylist(), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                    ws = words(t)
+                    new, names = automaton.scan(ws)
+                    n_words.append(len(ws))
+                    hits.append([{"start": s, "end": e} for s, e in _joined(new + [(h["start"], h["end"]) for h in old])])
                     items.append(sorted(names.union(known)))
                 types = batch.schema
-                columns = [batch.column("doc"), batch.column("body"), pa.array(map(len, split), pa.int64()), pa.array(hits, types.field("hits").type), pa.array(items, types.field("items").type)]
+                columns = [batch.column("doc"), batch.column("body"), pa.array(n_words, pa.int64()), pa.array(hits, types.field("hits").type), pa.array(items, types.field("items").type)]
                 yield pa.RecordBatch.from_arrays(columns, names=types.names)
 
         rows = (written(rows, "decontaminate") if k else rows).mapInArrow(task, rows.schema)
