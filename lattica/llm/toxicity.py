@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lattica.llm.folds import fold, labelled_sample
 
 #: Bound of the labelled rows that the machine learns from.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 5_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 LANDMARKS = 256
@@ -42,7 +42,10 @@ DECAY = 0.6
 #: Windows of a word longer than PIECE, each STEP on.
 PIECE, STEP = 24, 12
 #: Windows whose margins a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
+#: Texts whose words are held at once, and windows that are scored at once.
+AT_ONCE = 256
+AT_ONCE_WINDOWS = 5_000
 SLOTS = 3
 
 # Letters with a code of their own, and digits that stand for letters.
@@ -127,12 +130,12 @@ class Machine:
             self._table = np.zeros(TABLE + 1, np.float32)  # the last entry is for places past the end
             self._table[self.numbers] = self.weights
         out = np.empty(len(windows))
-        for i in range(0, len(windows), 20_000):
-            c = codes(windows[i : i + 20_000])
+        for i in range(0, len(windows), AT_ONCE_WINDOWS):
+            c = codes(windows[i : i + AT_ONCE_WINDOWS])
             total = np.zeros(len(c))
             for number, weight in subsequences(c):
                 total += weight * self._table[number].sum(1)
-            out[i : i + 20_000] = total / sizes(c) + self.bias
+            out[i : i + AT_ONCE_WINDOWS] = total / sizes(c) + self.bias
         return out
 
     def scores(self, strongest: np.ndarray) -> np.ndarray:
@@ -174,7 +177,8 @@ class Scorer:
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return self.machine.scores(self.strongest(texts))
+        parts = [self.machine.scores(self.strongest(texts[i : i + AT_ONCE])) for i in range(0, len(texts), AT_ONCE)]
+        return np.concatenate([np.zeros(0), *parts])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -190,12 +194,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Primal squared-hinge machine by Newton steps over the rows inside the margin."""
+    """Primal squared-hinge machine by Newton steps over the rows inside the margin, a stretch of rows at a time."""
     w = np.zeros(z.shape[1])
     for _ in range(30):
-        inside = y * (z @ w) < 1
-        a, c = z[inside], cost[inside]
-        new = np.linalg.solve((a * c[:, None]).T @ a + np.eye(len(w)), a.T @ (c * y[inside]))
+        left, right = np.eye(len(w)), np.zeros(len(w))
+        for i in range(0, len(z), AT_ONCE_WINDOWS):
+            part, signs = z[i : i + AT_ONCE_WINDOWS].astype(float), y[i : i + AT_ONCE_WINDOWS]
+            inside = signs * (part @ w) < 1
+            part, signs, c = part[inside], signs[inside], cost[i : i + AT_ONCE_WINDOWS][inside]
+            left += (part * c[:, None]).T @ part
+            right += part.T @ (c * signs)
+        new = np.linalg.solve(left, right)
         done = np.abs(new - w).max() < 1e-8
         w = new
         if done:
@@ -226,9 +235,9 @@ class _Landmarks:
 
     def kernel(self, windows: list[str]) -> np.ndarray:
         out = np.zeros((len(windows), self.matrix.shape[1]))
-        for i in range(0, len(windows), 2_000):
-            c = codes(windows[i : i + 2_000])
-            part = out[i : i + 2_000]
+        for i in range(0, len(windows), 1_000):
+            c = codes(windows[i : i + 1_000])
+            part = out[i : i + 1_000]
             for number, weight in subsequences(c):
                 place = self._place[number]
                 r, k = np.nonzero(place < len(self.numbers))
@@ -239,6 +248,14 @@ class _Landmarks:
         return out
 
 
+def _feature_rows(space: _Landmarks, windows: list[str]) -> np.ndarray:
+    """Features of windows with a one behind, in single precision."""
+    out = np.ones((len(windows), space.map.shape[1] + 1), np.float32)
+    for i in range(0, len(windows), 1_000):
+        out[i : i + 1_000, :-1] = space.kernel(windows[i : i + 1_000]) @ space.map
+    return out
+
+
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, turns: int = 3) -> Machine:
     """Learns from whole texts and their labels; the same for any order of the rows."""
     order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
@@ -283,8 +300,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, turns:
         target = np.array([1.0] * len(positive) + [-1.0] * (len(rows) - len(positive)))
         seen = np.array([toxic[w] if t > 0 else clean[w] for w, t in zip(rows, target, strict=True)], float)
         cost = np.sqrt(np.maximum(seen, 1)) * np.where(target > 0, 4.0, 1.0)
-        z = np.concatenate([space.kernel(rows) @ space.map, np.ones((len(rows), 1))], axis=1)
-        w = _squared_hinge(z, target, cost)
+        w = _squared_hinge(_feature_rows(space, rows), target, cost)
         alpha = space.map @ w[:-1]
         machine = Machine(space.numbers, (space.matrix[:-1] @ alpha).astype(np.float32), float(w[-1]), constant)
         if turn + 1 == turns:
