@@ -488,7 +488,7 @@ def test_trie_probabilities_sum_to_one():
 
 
 def test_licenses(spark):
-    mit = " ".join(licenses.SENTENCES[2]) + " " + licenses.SENTENCES[3][0] + ".\n" + licenses.SENTENCES[4][0] + "."
+    mit = licenses.SENTENCES[2][0] + "\n\n" + licenses.SENTENCES[3][0] + ".\n" + licenses.SENTENCES[4][0] + "."
     texts = [*EDGES, (20, "Intro.\nReleased under the MIT License."), (21, mit), (22, "all RIGHTS reserved!\nLicensed under CC BY-NC 4.0."), (23, "licensed under the apache license version 2 0")]
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, texts)).collect()}
     assert rows[20]["licenses"] == "MIT" and rows[21]["sentence_ids"] == "2,3,4" and rows[21]["licenses"] == "MIT"
