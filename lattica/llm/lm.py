@@ -43,7 +43,7 @@ LEAST_COUNT = 2
 DISCOUNT = 0.75
 BOOK = 256
 #: Tokens that are counted or scored at once, and words whose hashes a task remembers.
-COUNTED, SCORED, REMEMBERED = 1 << 21, 1 << 20, 1 << 20
+COUNTED, SCORED, REMEMBERED = 1 << 20, 1 << 18, 1 << 18
 #: The end's number among word hashes.
 END = 1
 
