@@ -1,18 +1,20 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie in shards.
 
-Tokens are the words of the lower-cased text and one end. Counts of words cover the whole training part; the trie
-holds the words with at least ``WORD_SHARE`` of all tokens and the n-grams with at least ``GRAM_SHARE``: since shares
-of all tokens add up to one, there are at most ``1 / share`` of them, however large the corpus, so the trie can be
-broadcast. Probabilities are interpolated with an absolute discount; what a context's kept followers leave goes to
-the next shorter context, and in the end to words outside the trie, in equal parts, so that each context's
-probabilities sum to one.
+Tokens are the words of the lower-cased text and one end. The trie holds every word of the training part and every
+n-gram that occurs ``LEAST_COUNT`` times, whatever the corpus' size. Probabilities are interpolated with an absolute
+discount; what a context's kept followers leave goes to the next shorter context, and in the end to words that
+training never saw, so that each context's probabilities sum to one.
 
-A level of the trie is a sequence of nodes by parent and word. The places where parents' children begin (pointers)
-and the word numbers, made monotone by their parent's number times the vocabulary, are Elias-Fano sequences; log
-probabilities and back-offs are numbers into books of 256. A level is asked by successor search relative to the
-context, whose number times the vocabulary is where its words begin. Workers map the levels' bytes from an unlinked file.
+A level of the trie is a sequence of nodes by parent and word. It is cut into shards between parents, of about
+``SHARD`` nodes each, so that their number grows with the corpus and their size does not; words are cut by hash. Tasks
+make the shards from sorted ranges of the counts and leave them in the shared folder; the driver knows only where each
+begins. Workers map the files, so that pages are shared and can be dropped; a portion's questions are sorted and
+asked shard by shard. Nothing of the trie is broadcast or collected.
 
-Counts of words outside the trie, which only the base score needs, are joined by exchange and never broadcast.
+In a shard the places where parents' children begin (pointers) and the word numbers, made monotone by their parent's
+number times the vocabulary, are Elias-Fano sequences; discounted shares and back-offs are numbers into the shard's
+books of 256. It is asked by successor search relative to the context, whose number times the vocabulary is where its
+words begin.
 
 Defined cases: a null or empty text is its end alone; a row without an id is scored and not learned from; repeated
 rows count each; without training rows all counts are zero; an empty table gives no rows; other columns are ignored.
@@ -23,8 +25,11 @@ from __future__ import annotations
 import math
 import mmap
 import pickle
+import re
+import shutil
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.folds import fold
-from lattica.runtime import written
+from lattica.runtime import drop_written, shared_dir, written
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
-WORD_SHARE, GRAM_SHARE = 2.0**-21, 2.0**-23
+#: Words or n-grams of a shard, about.
+SHARD = 1 << 21
 #: n-grams of two words and more are kept from this count on.
 LEAST_COUNT = 2
 DISCOUNT = 0.75
@@ -51,7 +57,7 @@ END = 1
 class Numbers:
     """Numbers of words, remembered: 63-bit hashes, or with a trie its word numbers, and outside it minus the hash."""
 
-    def __init__(self, trie: Trie | None = None):
+    def __init__(self, trie: Shards | None = None):
         import xxhash
 
         self._hash, self._trie = xxhash.xxh3_64_intdigest, trie
@@ -219,7 +225,7 @@ class Level:
 
 
 class Trie:
-    """Words by hash with their counts and probabilities, and the levels above."""
+    """A whole trie in memory, of one shard a level, with smoothed probabilities in place of shares: no query makes one."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.argsort(hashes)
@@ -319,34 +325,212 @@ def _since(fresh: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(fresh, at, 0))
 
 
-def packed(trie: Trie) -> tuple[bytes, bytes, list[tuple[int, int]]]:
-    """The trie's structure, its arrays' bytes end to end, and where each lies."""
+# Shards ---------------------------------------------------------------------------------------------------------
+
+
+def _place(uri: str):
+    """The file system of a folder and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", uri))
+
+
+def save(part: object, uri: str) -> None:
+    """A file of the object's structure and its arrays' bytes; it has its name once it is whole."""
     buffers: list[pickle.PickleBuffer] = []
-    head = pickle.dumps(trie, protocol=5, buffer_callback=buffers.append)
-    body, places = bytearray(), []
-    for b in buffers:
-        raw = b.raw()
-        body += bytes(-len(body) % 16)
-        places.append((len(body), raw.nbytes))
-        body += raw
-    return head, bytes(body), places
-
-
-_mapped: dict[int, tuple] = {}
-
-
-def mapped(shared) -> Trie:
-    """The broadcast trie over a mapped file that has no name: it goes with the worker."""
-    key = id(shared)
-    if key not in _mapped:
-        _mapped.clear()
-        head, body, places = shared.value
-        with tempfile.TemporaryFile() as f:
-            f.write(body or b"\0")
-            f.flush()
+    head = pickle.dumps(part, protocol=5, buffer_callback=buffers.append)
+    raws, places, at = [b.raw() for b in buffers], [], 0
+    for raw in raws:
+        places.append((at, raw.nbytes))
+        at += raw.nbytes + -raw.nbytes % 16
+    lead = pickle.dumps((head, places))
+    files, path = _place(uri)
+    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(own) as out:
+        out.write(len(lead).to_bytes(16, "little") + lead + bytes(-len(lead) % 16))
+        for raw in raws:
+            out.write(raw)
+            out.write(bytes(-raw.nbytes % 16))
+    files.move(own, path)
+
+
+_opened: dict[str, object] = {}
+
+
+def opened(uri: str):
+    """The object in a file, its arrays mapped; where the folder is no mounted one, from an unlinked copy."""
+    if uri not in _opened:
+        if _opened and next(iter(_opened)).rsplit("/", 1)[0] != uri.rsplit("/", 1)[0]:
+            _opened.clear()  # another trie's
+        from pyarrow import fs
+
+        files, path = _place(uri)
+        with open(path, "rb") if isinstance(files, fs.LocalFileSystem) else tempfile.TemporaryFile() as f:
+            if not isinstance(files, fs.LocalFileSystem):
+                with files.open_input_stream(path) as source:
+                    shutil.copyfileobj(source, f)
+                f.flush()
             view = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        _mapped[key] = (pickle.loads(head, buffers=[view[at : at + n] for at, n in places]), shared)
-    return _mapped[key][0]
+        size = int.from_bytes(view[:16], "little")
+        head, places = pickle.loads(view[16 : 16 + size])
+        body = view[16 + size + -size % 16 :]
+        _opened[uri] = pickle.loads(head, buffers=[body[at : at + n] for at, n in places])
+    return _opened[uri]
+
+
+@dataclass
+class Cut:
+    """Where a level's shards lie: their files, first hashes or parents, and numbers of their first nodes and the end."""
+
+    files: list[str]
+    firsts: np.ndarray
+    begins: np.ndarray
+
+    def runs(self, ascending: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Shards and the stretches of ascending questions that are theirs, ``of`` being what begins each shard."""
+        edges = [0, *np.searchsorted(ascending, of[1 : len(self.files)]).tolist(), len(ascending)]
+        return ((k, edges[k], edges[k + 1]) for k in range(len(self.files)) if edges[k] < edges[k + 1])
+
+
+@dataclass
+class Words:
+    hashes: np.ndarray
+    counts: np.ndarray
+
+
+@dataclass
+class Nodes:
+    """One shard of a level: nodes whose parents are ``first`` to ``last``, with counts where a level follows."""
+
+    first: int
+    last: int
+    level: Level
+    counts: np.ndarray
+
+
+class Shards:
+    """The trie: words by hash, and the levels above, in mapped shards."""
+
+    def __init__(self, folder: str, total: int, distinct: int):
+        if distinct >= 1 << 31:
+            raise ValueError("word numbers have 31 bits")
+        self.folder, self.total, self.distinct = folder, total, distinct
+        self.words, self.levels = Cut([], np.zeros(0, np.int64), np.zeros(1, np.int64)), []
+
+    def _each(self, questions: np.ndarray, cut: Cut, of: np.ndarray, answer: Callable, *blank: np.ndarray) -> list[np.ndarray]:
+        """Answers to each question once, shard by shard; ``blank`` where a shard has none."""
+        asked, back = np.unique(questions, return_inverse=True)
+        out = [np.full(len(asked), b) for b in blank]
+        for k, low, high in cut.runs(asked, of):
+            for o, a in zip(out, answer(opened(cut.files[k]), asked[low:high], int(cut.begins[k])), strict=True):
+                o[low:high] = a
+        return [o[back] for o in out]
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Word numbers, -1 for words that training never saw."""
+
+        def answer(part: Words, asked: np.ndarray, begin: int) -> tuple[np.ndarray]:
+            place = np.minimum(np.searchsorted(part.hashes, asked), len(part.hashes) - 1)
+            return (np.where(part.hashes[place] == asked, begin + place, -1),)
+
+        return self._each(hashes, self.words, self.words.firsts, answer, np.int64(-1))[0]
+
+    def counts(self, nodes: np.ndarray, length: int = 1) -> np.ndarray:
+        """Counts of nodes of ``length`` words."""
+        cut = self.words if length == 1 else self.levels[length - 2]
+        return self._each(nodes, cut, cut.begins, lambda part, asked, begin: (part.counts[asked - begin],), np.int64(0))[0]
+
+    def after(self, length: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words after their context's node: their own node (-1 for none), their share, and what the context leaves."""
+        v, cut = self.distinct, self.levels[length - 2]
+
+        def answer(part: Nodes, asked: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            node, share, left = np.full(len(asked), -1), np.zeros(len(asked)), np.ones(len(asked))
+            parents = asked // v
+            inside = np.flatnonzero((parents >= part.first) & (parents <= part.last))
+            place, hit = part.level.words.successor((asked[inside] - part.first * v).astype(np.uint64))
+            left[inside] = 10.0 ** part.level.backoff_book[part.level.backoff[parents[inside] - part.first]]
+            node[inside[hit]] = begin + place[hit]
+            share[inside[hit]] = 10.0 ** part.level.book[part.level.probability[place[hit]]]
+            return node, share, left
+
+        node, share, left = self._each(parent * v + np.maximum(word, 0), cut, cut.firsts * v, answer, np.int64(-1), 0.0, 1.0)
+        return np.where(word < 0, -1, node), np.where(word < 0, 0.0, share), left
+
+    def nodes(self, ids: np.ndarray, fresh: np.ndarray, length: int) -> np.ndarray:
+        """Node of the ``length`` words up to each token, -1 if there is none; ``fresh`` marks texts' first tokens."""
+        node, since = ids, _since(fresh)
+        for k in range(2, length + 1):
+            before = np.r_[-1, node[:-1]]
+            ask = np.flatnonzero((before >= 0) & (ids >= 0) & (since >= k - 1))
+            node = np.full(len(ids), -1)
+            node[ask] = self.after(k, before[ask], ids[ask])[0]
+        return node
+
+    def scores(self, ids: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """log10 probability of each token after those before it in its text."""
+        # half a token for words that training never saw
+        probability = np.full(len(ids), 0.5 / (self.total + 0.5))
+        inside = np.flatnonzero(ids >= 0)
+        probability[inside] = self.counts(ids[inside]) / (self.total + 0.5)
+        node, since = ids, _since(fresh)
+        for k in range(2, len(self.levels) + 2):
+            before = np.r_[-1, node[:-1]]
+            known = np.flatnonzero((before >= 0) & (since >= k - 1))
+            node = np.full(len(ids), -1)
+            node[known], share, left = self.after(k, before[known], ids[known])
+            probability[known] = share + left * probability[known]
+        return np.log10(probability)
+
+    def _kept(self, ranges: DataFrame, name: str, make: Callable) -> Cut:
+        """Shards of sorted ranges of ``key, n``, and where they lie: one row a shard reaches the driver."""
+        folder = self.folder
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                keys, counts = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "n"))
+                first, part = make(keys, counts)
+                file = f"{folder}/{name}-{first}"
+                save(part, file)
+                yield pa.RecordBatch.from_pylist([{"first": first, "n": len(keys), "file": file}])
+
+        rows = sorted((r["first"], r["n"], r["file"]) for r in ranges.sortWithinPartitions("key").select("key", "n").mapInArrow(task, "first long, n long, file string").collect())
+        first, n, files = zip(*rows, strict=True) if rows else ((), (), ())
+        return Cut(list(files), np.array(first, np.int64), np.cumsum([0, *n]))
+
+    def add_words(self, counts: DataFrame, shard: int) -> None:
+        """``counts``: key (hash) and n of every word."""
+        ranges = counts.repartitionByRange(-(-self.distinct // shard) or 1, "key")
+        self.words = self._kept(ranges, "words", lambda keys, n: (int(keys[0]), Words(keys, n)))
+
+    def add_level(self, grams: DataFrame, shard: int, last: bool) -> None:
+        """``grams``: key (parent * vocabulary + word) and n of every kept n-gram, written."""
+        v, length, n_nodes = max(self.distinct, 1), len(self.levels) + 2, grams.count()
+        known, grown = self, (self.levels[-1] if self.levels else self.words).begins[-1]
+        if int(grown) * v >= 1 << 62:
+            raise ValueError("keys of parents and words have 62 bits")
+
+        def make(keys: np.ndarray, counts: np.ndarray) -> tuple[int, Nodes]:
+            parent = keys // v
+            first, final = int(parent[0]), int(parent[-1])
+            own = known.counts(parent, length - 1)
+            kept = np.maximum(counts - DISCOUNT, 0) / own
+            size = final - first + 1
+            left = np.maximum(1 - np.bincount(parent - first, kept, size), 1e-9)
+            code, book = quantised(np.log10(kept))
+            backoff, backoff_book = quantised(np.log10(left))
+            begins = np.searchsorted(parent, np.arange(first, final + 2))
+            words = EliasFano.encode(keys - first * v, size * v + 1)
+            words._zeros = words._zeros_before()  # into the file
+            level = Level(EliasFano.encode(begins, len(keys) + 1), words, code, book, backoff, backoff_book)
+            small = counts[:0] if last else counts.astype(np.min_scalar_type(int(counts.max())))
+            return first, Nodes(first, final, level, small)
+
+        # parents stay whole
+        ranges = grams.withColumn("parent", F.expr(f"key div {v}")).repartitionByRange(-(-n_nodes // shard) or 1, "parent")
+        self.levels.append(self._kept(ranges, f"level{length}", make))
 
 
 # Counting and scoring --------------------------------------------------------------------------------------------
@@ -392,43 +576,32 @@ def count_words(texts: DataFrame) -> DataFrame:
     return _summed(texts.mapInArrow(task, "key long, n long"))
 
 
-NUMBERED = "row long, doc_id long, held_out boolean, learned boolean, n_tokens long, n_known long, logs double, ids binary, rare array<long>, times array<long>"
+NUMBERED = "doc_id long, held_out boolean, learned boolean, n_tokens long, n_known long, logs double, ids binary"
 
 
-def number_texts(documents: DataFrame, trie: Trie, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row its word numbers (-1 outside the trie), what they add to the base score, and the other words' hashes."""
-    shared = documents.sparkSession.sparkContext.broadcast(packed(trie))
+def number_texts(documents: DataFrame, trie: Shards, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row its word numbers (-1 for words that training never saw) and what words add to the base score."""
 
-    def rows(trie: Trie, part: pa.RecordBatch, held: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(part: pa.RecordBatch, held: list[np.ndarray]) -> pa.RecordBatch:
         ids, fresh = _joined(held)
         of, inside = np.cumsum(fresh) - 1, ids >= 0
-        logs = np.bincount(of[inside], np.log10(trie.counts[ids[inside]] + 1), len(held))
+        logs = np.bincount(of[inside], np.log10(trie.counts(ids[inside]) + 1), len(held))
         known = np.bincount(of[inside], minlength=len(held))
-        # the others by text and word
-        who, what = of[~inside], -ids[~inside]
-        order = np.lexsort((what, who))
-        who, what = who[order], what[order]
-        new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (what[1:] != what[:-1])]) if len(who) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[new, len(who)])
-        offsets = pa.array(np.searchsorted(who[new], np.arange(len(held) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (what[new], times)]
         small = [np.maximum(h, -1).astype("<i4").tobytes() for h in held]
-        own = [part.column(k) for k in ("row", "doc_id", "held_out", "learned")]
-        columns = [*own, pa.array([len(h) for h in held], pa.int64()), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(small, pa.binary()), *lists]
+        own = [part.column(k) for k in ("doc_id", "held_out", "learned")]
+        columns = [*own, pa.array([len(h) for h in held], pa.int64()), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(small, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NUMBERED.split(", ")])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = mapped(shared)
         numbers = Numbers(trie)
         for batch in batches:
             first = 0
             for held in _portions(map(numbers.tokens, batch.column("text").to_pylist()), SCORED):
-                yield rows(trie, batch.slice(first, len(held)), held)
+                yield rows(batch.slice(first, len(held)), held)
                 first += len(held)
 
     remainder = fold(F.col(doc_id), folds)
     source = documents.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(remainder == held_out, F.lit(False)).alias("held_out"),
         F.coalesce(remainder != held_out, F.lit(False)).alias("learned"),
@@ -441,11 +614,10 @@ def _numbers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(b, "<i4").astype(np.int64) for b in batch.column("ids").to_pylist())
 
 
-def count_level(numbered: DataFrame, shared, length: int, least: int) -> DataFrame:
-    """``key, n`` of the n-grams of ``length`` words with a count of ``least`` whose shorter parts the trie holds."""
+def count_level(numbered: DataFrame, trie: Shards, length: int, least: int = LEAST_COUNT) -> DataFrame:
+    """``key, n`` of the n-grams of ``length`` words with a count of ``least``, whose shorter parts have it too."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = mapped(shared)
         for held in _portions((ids for b in batches for ids in _numbers(b)), COUNTED):
             ids, fresh = _joined(held)
             node = trie.nodes(ids, fresh, length - 1)
@@ -453,39 +625,34 @@ def count_level(numbered: DataFrame, shared, length: int, least: int) -> DataFra
             if length > 2:
                 keep &= node >= 0  # the last words' own n-gram
             at = np.flatnonzero(keep)
-            yield _counted(node[at - 1] * len(trie.hashes) + ids[at])
+            yield _counted(node[at - 1] * trie.distinct + ids[at])
 
     return _summed(numbered.select("ids").mapInArrow(task, "key long, n long")).where(F.col("n") >= least)
 
 
-def train(documents: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text") -> tuple[Trie, DataFrame, DataFrame]:
-    """The trie, the written counts of all words, and the written numbers of all rows' words."""
+def train(documents: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> tuple[Shards, DataFrame]:
+    """The trie and the written numbers of all rows' words."""
     if order not in (1, 2, 3):
         raise ValueError("orders are 1 to 3")
-    context = documents.sparkSession.sparkContext
     learned = F.coalesce(fold(F.col(doc_id), folds) != held_out, F.lit(False))
     counts = written(count_words(documents.where(learned).select(F.col(text).alias("text"))), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.where(F.col("n") >= max(1.0, total * WORD_SHARE)).toArrow()  # at most 1 / WORD_SHARE rows
-    trie = Trie(frequent["key"].to_numpy(), frequent["n"].to_numpy(), total, distinct)
+    trie = Shards(f"{shared_dir(documents.sparkSession)}/lattica/lm-trie-{uuid.uuid4().hex}", total, distinct)
+    trie.add_words(counts, shard)
+    drop_written(counts)
     numbered = written(number_texts(documents, trie, folds, held_out, doc_id, text), "lm-numbers")
     for length in range(2, order + 1):
-        shared = context.broadcast(packed(trie))
-        least = max(LEAST_COUNT, math.ceil(total * GRAM_SHARE))
-        grams = count_level(numbered.where("learned"), shared, length, least).toArrow()  # at most 1 / GRAM_SHARE rows
-        place = np.argsort(grams["key"].to_numpy())
-        trie.add_level(grams["key"].to_numpy()[place], grams["n"].to_numpy()[place])
-        shared.unpersist()
-    return trie.finished(), counts, numbered
+        grams = written(count_level(numbered.where("learned"), trie, length), "lm-grams")
+        trie.add_level(grams, shard, length == order)
+        drop_written(grams)
+    return trie, numbered
 
 
-def score_numbered(numbered: DataFrame, trie: Trie, counts: DataFrame) -> DataFrame:
+def score_numbered(numbered: DataFrame, trie: Shards) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of a written ``number_texts``."""
-    shared = numbered.sparkSession.sparkContext.broadcast(packed(trie))
-    own = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs"]
+    own = ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = mapped(shared)
         for batch in batches:
             first = 0
             for held in _portions(_numbers(batch), SCORED):
@@ -495,28 +662,17 @@ def score_numbered(numbered: DataFrame, trie: Trie, counts: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(score)], names=[*own, "score"])
                 first += len(held)
 
-    scored = numbered.select(*own, "ids").mapInArrow(task, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
-    rare = numbered.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
-    # words under WORD_SHARE of all tokens, so that no key is hot
-    found = rare.join(counts, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    base = F.log10(F.lit(float(trie.total + trie.distinct + 1)))
-    return scored.join(found, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(trie.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * base).alias("base_score"),
-        "score",
-    )
+    base = math.log10(trie.total + trie.distinct + 1)
+    scored = numbered.select(*own, "ids").mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * base).alias("base_score"), "score")
 
 
 def score_documents(documents: DataFrame, order: int = ORDER, **options) -> DataFrame:
     """Learns from the training part of ``documents`` and scores all of them."""
-    trie, counts, numbered = train(documents, order, **options)
-    return score_numbered(numbered, trie, counts)
+    trie, numbered = train(documents, order, **options)
+    return score_numbered(numbered, trie)
 
 
-def score_texts(documents: DataFrame, trie: Trie, counts: DataFrame, **options) -> DataFrame:
+def score_texts(documents: DataFrame, trie: Shards, **options) -> DataFrame:
     """Scores other documents with a trained trie."""
-    return score_numbered(written(number_texts(documents, trie, **options), "lm-numbers"), trie, counts)
+    return score_numbered(written(number_texts(documents, trie, **options), "lm-numbers"), trie)

@@ -484,6 +484,47 @@ def test_trie_probabilities_sum_to_one():
         assert inside + outside == pytest.approx(1, abs=0.05)
 
 
+def test_language_model_keeps_rare_words_of_a_large_corpus(spark):
+    # over 2^22 tokens, of which the pair has two each
+    texts = [(i, "the cat " * 50_000) for i in range(100, 160)] + [(i, "zig zag") for i in learned_ids(2)] + [(None, "zig zag"), (None, "zig zog")]
+    rows = lm.score_documents(documents(spark, texts)).where("doc_id IS NULL").orderBy("base_score").collect()
+    assert rows[0]["train_tokens"] > 2**22 and [r["n_known"] for r in rows] == [2, 3]
+    # zig by its two occurrences, zag by the pair, the end by the three and else by its pair
+    n, pair = rows[0]["train_tokens"] + 0.5, 1.25 / 2
+    assert rows[1]["score"] == pytest.approx(math.log10(2 / n) + math.log10(pair) + math.log10(pair + (1 - pair) * pair), abs=0.001)
+
+
+def learned_ids(n):
+    return [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 7 != 2][:n]
+
+
+def test_language_model_in_shards_equals_brute_force(spark):
+    rng = np.random.default_rng(17)
+    texts = [(i, " ".join(f"w{k}" for k in rng.zipf(1.5, rng.integers(0, 60)) if k < 90)) for i in range(150)]
+    shards, numbered = lm.train(documents(spark, texts), shard=20)
+    assert len(shards.words.files) > 2 and all(len(level.files) > 2 for level in shards.levels)
+    rows = numbered.collect()
+    ids = [np.frombuffer(r["ids"], "<i4").tolist() for r in rows]
+    learned = [i for i, r in zip(ids, rows, strict=True) if r["learned"]]
+    count = Counter(tuple(i[k : k + n]) for i in learned for n in (1, 2, 3) for k in range(len(i) - n + 1))
+    count = {g: c for g, c in count.items() if len(g) == 1 or c >= 2}
+    used = Counter()
+    for g, c in count.items():
+        used[g[:-1]] += c - 0.75
+
+    def probability(context, w):
+        if not context:
+            return count.get((w,), 0.5) / (shards.total + 0.5)
+        shorter = probability(context[1:], w)
+        if context not in count:
+            return shorter
+        return max(count.get((*context, w), 0) - 0.75, 0) / count[context] + (1 - used[context] / count[context]) * shorter
+
+    for i in ids:
+        expected = [math.log10(probability(tuple(i[max(0, k - 2) : k]), w)) for k, w in enumerate(i)]
+        assert np.allclose(shards.scores(np.array(i), np.arange(len(i)) == 0), expected, atol=1e-6)
+
+
 # Licences
 
 
