@@ -276,20 +276,98 @@ def permutation_test(spark, sf_dir, shuffles: int = 200):
     return rows.groupBy("g").applyInArrow(test, "auc double, null_mean double, null_max double, p double")
 
 
+def _moments(vectors: DataFrame, kind: str) -> DataFrame:
+    """Per label and over all rows (``whole``): rows, means and sums of centred products, one row a task and label."""
+
+    def task(batches):
+        held, own = {}, None
+        for batch in batches:
+            own = batch.schema.field("label").type
+            labels = np.array(batch.column("label").to_pylist())
+            x = np.array(batch.column("embedding").to_pylist(), float)
+            for label in np.unique(labels):
+                held[label] = _merged([*held.get(label, []), _moment(x[labels == label])])
+        rows = [(False, k, *v) for k, (v,) in held.items()]
+        if rows:
+            rows += [(True, None, *_merged([r[2:] for r in rows])[0])]
+            numbers = pa.list_(pa.float64())
+            schema = pa.schema([("whole", pa.bool_()), ("label", own), ("n", pa.int64()), ("mean", numbers), ("products", numbers)])
+            yield pa.RecordBatch.from_pylist([{"whole": w, "label": None if k is None else k.item(), "n": n, "mean": m.tolist(), "products": c.ravel().tolist()} for w, k, n, m, c in rows], schema)
+
+    return vectors.mapInArrow(task, f"whole boolean, label {kind}, n long, mean array<double>, products array<double>")
+
+
+def _moment(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    mean = x.mean(0)
+    return len(x), mean, (x - mean).T @ (x - mean)
+
+
+def _merged(parts: list) -> list:
+    """One moment of several."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    return [(n, mean, sum(c + k * np.outer(m - mean, m - mean) for k, m, c in parts))]
+
+
+def _axes(table_: pa.Table) -> pa.Table:
+    parts = [(r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(len(r["mean"]), -1)) for r in table_.to_pylist()]
+    n, _, products = _merged(parts)[0]
+    axis, share = [None], [None] * 3
+    if n > 1 and np.trace(products) > 0:
+        axes, found = kernels.principal_of(products / (n - 1), 3)
+        axis, share = [axes[0].tolist()], [*found.tolist(), None, None][:3]
+    own = table_.slice(0, 1).select(["whole", "label"])
+    for name, value in (("rows", pa.array([n])), ("axis_1", pa.array(axis, pa.list_(pa.float64()))), *((f"share_{k}", pa.array([v], pa.float64())) for k, v in enumerate(share, 1))):
+        own = own.append_column(name, value)
+    return own
+
+
+def _silhouettes(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """``row, label, silhouette`` of all ``rows`` (row, label, embedding), from distances of blocks to blocks."""
+    kind = rows.schema["label"].dataType.simpleString()
+    blocks = -(-n // block) or 1
+    dealt = rows.withColumn("a", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    others = rows.sparkSession.range(blocks).withColumnRenamed("id", "b")
+    ours = dealt.join(F.broadcast(others), F.col("b") >= 0)
+    second = dealt.select(F.col("a").alias("b"), F.col("label").alias("label"), F.col("embedding").alias("embedding"))
+    theirs = second.join(F.broadcast(others.withColumnRenamed("b", "a")), F.col("a") >= 0)
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (np.array(t["embedding"].to_pylist(), float) for t in (left, right))
+        kinds, of = np.unique(np.array(right["label"].to_pylist()), return_inverse=True)
+        if not len(x) or not len(y):
+            return pa.table({"row": pa.array([], pa.int64()), "other": right["label"].slice(0, 0), "total": pa.array([], pa.float64())})
+        member = (of[:, None] == np.arange(len(kinds))).astype(float)
+        step = max(1, (1 << 22) // y.size)
+        found = np.concatenate([np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(2)) @ member for i in range(0, len(x), step)])
+        return pa.table({"row": np.repeat(left["row"].to_numpy(), len(kinds)), "other": pa.array(kinds.tolist() * len(x), right.schema.field("label").type), "total": found.ravel()})
+
+    pairs = ours.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInArrow(sums, f"row long, other {kind}, total double")
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    totals = pairs.groupBy("row", "other").agg(F.sum("total").alias("total")).join(sizes.withColumnRenamed("label", "other"), "other")
+    totals = totals.join(rows.select(F.col("row").alias("row"), F.col("label").alias("label")), "row")
+    own = F.col("other") == F.col("label")
+    each = totals.groupBy("row", "label").agg(
+        F.max(F.when(own, F.col("size"))).alias("size"),
+        F.max(F.when(own, F.col("total") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("inside"),
+        F.min(F.when(~own, F.col("total") / F.col("size"))).alias("outside"),
+    )
+    value = (F.col("outside") - F.col("inside")) / F.greatest("outside", "inside", F.lit(kernels.EPS))
+    return each.select("row", "label", F.when((F.col("size") > 1) & F.col("outside").isNotNull(), value).otherwise(0.0).alias("silhouette"))
+
+
 @query()
-def latent_structure(spark, sf_dir):
-    """Per embedding label: first axis, variance shares; over all: how well labels separate."""
-    vectors = table(spark, sf_dir, "embeddings").select("label", "embedding").withColumn("g", F.lit(1))
-    picked = vectors.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.hash("embedding")))).where("r <= 40")
-
-    def compute(table_: pa.Table) -> pa.Table:
-        x, labels = np.array(table_["embedding"].to_pylist(), float), table_["label"].to_numpy()
-        order = np.lexsort((x[:, 0], labels))
-        x, labels = x[order], labels[order]
-        _, share = kernels.principal(x, 3)
-        return pa.table({"rows": [len(x)], "share_1": [share[0]], "share_2": [share[1]], "share_3": [share[2]], "silhouette": [kernels.silhouette(x, labels)]})
-
-    return picked.groupBy("g").applyInArrow(compute, "rows long, share_1 double, share_2 double, share_3 double, silhouette double")
+def latent_structure(spark, sf_dir, block: int = 1_000):
+    """Per embedding label and over all rows (``whole``): first axis, variance shares, how well labels separate."""
+    vectors = table(spark, sf_dir, "embeddings").select("label", "embedding").where("label IS NOT NULL AND embedding IS NOT NULL")
+    rows = written(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    kind = rows.schema["label"].dataType.simpleString()
+    axes = _moments(rows.select("label", "embedding"), kind).groupBy("whole", "label").applyInArrow(
+        _axes, f"whole boolean, label {kind}, rows long, axis_1 array<double>, share_1 double, share_2 double, share_3 double"
+    )
+    single = _silhouettes(rows, rows.count(), block)
+    value = single.rollup("label").agg(F.avg("silhouette").alias("silhouette")).select(F.col("label").alias("of"), "silhouette")
+    return axes.join(value, F.col("label").eqNullSafe(F.col("of"))).drop("of")
 
 
 # Sources and sinks -------------------------------------------------------------------------------------------------

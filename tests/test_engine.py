@@ -265,6 +265,20 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(found.values())[-1] <= own.max() + 7
 
 
+def test_latent_structure_uses_all_rows(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "embedding").toPandas()
+    x, labels = np.stack(rows["embedding"]).astype(float), rows["label"].to_numpy()
+    assert max(np.unique(labels, return_counts=True)[1]) > 40
+    found = {r["label"]: r for r in catalog.QUERIES["latent_structure"](spark, sf_dir, block=200).collect()}
+    assert set(found) == {None, *labels.tolist()} and found[None]["whole"]
+    for label, r in found.items():
+        own = x if label is None else x[labels == label]
+        axes, share = kernels.principal(own, 3)
+        assert r["rows"] == len(own) and np.allclose([r["share_1"], r["share_2"], r["share_3"]], share) and np.allclose(np.abs(np.dot(r["axis_1"], axes[0])), 1)
+    assert found[None]["silhouette"] == pytest.approx(kernels.silhouette(x, labels))
+
+
 # Contract
 
 
