@@ -57,7 +57,20 @@ class HazardConfig:
     capacity_least: float = 1e-4
 
 
-STATE, HAZARD = StateConfig(), HazardConfig()
+@dataclass(frozen=True)
+class ActivationConfig:
+    """What counts as an activation of a strength that is zero in quiet times."""
+
+    threshold: float = 0.5
+    persist: int = 5
+    revert: int = 20
+    long: int = 30
+    reach: int = 60
+    quiet: float = 0.1
+    stirring: float = 0.05
+
+
+STATE, HAZARD, ACTIVATION = StateConfig(), HazardConfig(), ActivationConfig()
 EPS = 1e-12
 #: Regimes from loose to rigid.
 FLOW, SHIFT, RIGID = "flow", "shift", "rigid"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.config import EPS
+from lattica.config import ACTIVATION, EPS, ActivationConfig
 from lattica.sources.panels import by
 
 
@@ -86,6 +86,41 @@ def runs(series: DataFrame, flag: Column, key: str = "uid", order: str = "t") ->
     return island.groupBy(key, "island", "flag").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("length")).drop("island")
 
 
+def activations(series: DataFrame, cfg: ActivationConfig = ACTIVATION) -> DataFrame:
+    """One row per series of ``uid, t, x``: the kind of its first lasting activation and where it stands now.
+
+    An activation is the first run above ``threshold`` of ``persist`` rows and more. Its kind is RAMP where that run or
+    the one that still goes on has ``long`` rows, else SPIKE where values fall under ``quiet`` within ``revert`` rows,
+    else BUILDING; NONE without one. ``growth`` counts the rows before it, ``reach`` at most, that rise or lie above
+    ``stirring``. Places count from zero; ``effective_start`` is that of the run that still goes on, if it lasts.
+    """
+    w = by("uid")
+    placed = numbered(series.select("uid", "t", "x")).withColumn("rn", F.col("rn") - 1)
+    lengths = runs(placed.select("uid", F.col("rn").alias("t"), "x"), F.col("x") > cfg.threshold).where("flag")
+    lasting = lengths.where(F.col("length") >= cfg.persist)
+    first = lasting.groupBy("uid").agg(F.min("start").alias("start"), F.min_by("length", "start").alias("lasting"))
+    known = placed.withColumn("stirs", (F.col("x") < F.lead("x").over(w)) | (F.col("x") > cfg.stirring)).join(first, "uid", "left")
+    before = (F.col("rn") < F.col("start")) & (F.col("rn") >= F.col("start") - cfg.reach)
+    summed = known.groupBy("uid").agg(
+        F.max("n").alias("n"), F.max("start").alias("start"), F.max("lasting").alias("lasting"),
+        F.min(F.when((F.col("rn") >= F.col("start") + cfg.persist) & (F.col("x") < cfg.quiet), F.col("rn"))).alias("low"),
+        F.coalesce(F.max(F.when(before & ~F.col("stirs"), F.col("rn"))), F.greatest(F.max("start") - cfg.reach, F.lit(0)) - 1).alias("still"),
+    )
+    last = lengths.groupBy("uid").agg(F.max_by(F.struct("end", "length"), "end").alias("last"))
+    now = F.coalesce(F.when(F.col("last.end") == F.col("n") - 1, F.col("last.length")), F.lit(0))
+    found = summed.join(last, "uid", "left").withColumn("now", now)
+    goes_on, reverted = F.col("now") >= cfg.persist, F.coalesce(F.col("low") < F.col("start") + cfg.revert, F.lit(False))
+    ramp = F.greatest("lasting", "now") >= cfg.long
+    kind = F.when(F.col("start").isNull(), "NONE").when(ramp, "RAMP").when(reverted, "SPIKE").otherwise("BUILDING")
+    some = lambda c, empty=0: F.when(F.col("start").isNull(), empty).otherwise(c).cast("long")
+    return found.select(
+        "uid", kind.alias("kind"), some(F.col("start"), -1).alias("start"), some(F.when(goes_on, F.col("n") - F.col("now")).otherwise(F.col("start")), -1).alias("effective_start"),
+        some(F.col("now")).alias("current_run"), some(F.col("start") - 1 - F.col("still")).alias("growth"),
+        some(F.when(ramp & (F.col("lasting") < cfg.long), F.col("now")).otherwise(F.col("lasting"))).alias("persistence"),
+        some(F.when(goes_on, F.col("now")).otherwise(F.coalesce("low", "n") - F.col("start"))).alias("duration"),
+    )
+
+
 def phase_divergence(state: DataFrame, columns: list[str]) -> DataFrame:
     """``1 - |cos|`` between the scaled state and its change; the first change is zero."""
     whole, w = Window.partitionBy("uid"), by("uid")
