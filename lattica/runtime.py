@@ -5,22 +5,26 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
-#: Rows of a batch between Spark and Python, where the session does not say: rows hold whole texts.
-BATCH_ROWS = 1_000
+#: Rows and bytes of a batch between Spark and Python, where the session does not say: rows hold whole texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the session's executors, once per application, and keep batches of texts small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -74,10 +78,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_released = (0.0, 0.0)  # when this process last did, and how long it took
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs: it does so once nothing in the driver refers to them."""
+    """Let Spark delete the shuffle files of finished jobs: it does so once nothing in the driver refers to them.
+
+    A full collection of a large driver takes a while, so one in twenty seconds at most goes into them.
+    """
+    global _released
+    began = time.monotonic()
+    if began - _released[0] < 20 * _released[1]:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _released = (time.monotonic(), time.monotonic() - began)
 
 
 def drop_written(*frames: DataFrame) -> None:
@@ -89,3 +104,19 @@ def drop_written(*frames: DataFrame) -> None:
             if "/lattica/" in parent:
                 path = jvm.org.apache.hadoop.fs.Path(parent)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_remembered: dict[tuple, DataFrame] = {}
+
+
+def remembered(spark: SparkSession, key: tuple, sf_dir: str, sources: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes of the tables, written once per session for a key and the tables' files as they are now."""
+    files = []
+    for path in (f"{sf_dir}/{name}.parquet" for name in sources):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(place)]
+    whole = (spark.sparkContext.applicationId, key, tuple(sorted(files)))
+    if whole not in _remembered:
+        _remembered[whole] = written(build(), str(key[0]))
+    return _remembered[whole]
