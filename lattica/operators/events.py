@@ -107,6 +107,21 @@ def censored_target(state: DataFrame, condition: Column, horizon: int) -> DataFr
     return joined.withColumn("target", F.coalesce((F.col("event") - F.col("rn") <= horizon).cast("int"), F.lit(0)))
 
 
+def crossing_with_fallback(frame: DataFrame, x: str, thresholds: tuple[float, ...], persist: int) -> DataFrame:
+    """``uid, crossing, event_rn, threshold``: where x first stays above the first of the thresholds that it does stay above.
+
+    The run of ``persist`` rows ends before the series' last row: what has just begun does not count yet.
+    """
+    placed = series.numbered(frame.select("uid", "t", x)).withColumn("_open", F.col("n") - F.col("rn") >= persist)
+    found = []
+    for k, limit in enumerate(thresholds):
+        on = F.when(F.col("_open") & F.col(f"_on{k}"), F.struct("t", "rn", F.lit(limit).alias("threshold")))
+        placed = placed.withColumn(f"_on{k}", series.over_threshold_for(x, limit, persist))
+        found.append(F.min(on))
+    first = placed.groupBy("uid").agg(F.coalesce(*found).alias("_f"))
+    return first.select("uid", F.col("_f.t").alias("crossing"), F.col("_f.rn").cast("long").alias("event_rn"), F.col("_f.threshold").alias("threshold"))
+
+
 def lead_times(first: DataFrame, second: DataFrame, left_censored_rows: int = 60) -> DataFrame:
     """Days from one crossing to another and what they say. Both have ``uid, crossing``; the second also ``event_rn``."""
     joined = first.select("uid", F.col("crossing").alias("t_geometry")).join(second.select("uid", F.col("crossing").alias("t_structure"), "event_rn"), "uid", "full")

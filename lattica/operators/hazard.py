@@ -7,9 +7,23 @@ from pyspark.sql import functions as F
 
 from lattica.config import EPS, HAZARD, RIGID, STATE, HazardConfig
 from lattica.operators import series
+from lattica.operators.state import knee
 from lattica.sources.panels import by
 
 
+def with_capacity_limit(full: DataFrame, cfg: HazardConfig = HAZARD) -> DataFrame:
+    """Adds ``phi_star``, the knee of a series' memory, and ``estimated``: whether it has none and twice its peak stands in."""
+    peak = F.round(2 * F.max("phi").over(Window.partitionBy("uid")), 9)
+    known = full.join(knee(full, "phi"), "uid")
+    estimated = F.col("knee") < cfg.capacity_least
+    return known.withColumn("estimated", estimated).withColumn("phi_star", F.when(estimated, F.greatest(peak, F.lit(cfg.capacity_least))).otherwise(F.col("knee"))).drop("knee")
+
+
+def structural_label(theta: Column, capacity_share: Column) -> Column:
+    """What a row is called: damage outweighs an attractor's strength."""
+    return F.when(capacity_share < 0.9, "DAMAGED").when(theta >= 2.0, "CRYSTALLIZED").when(theta > 0.1, "CRYSTALLIZING").otherwise("NOMINAL")
+
+
 def capacity(state: DataFrame, cfg: HazardConfig = HAZARD) -> DataFrame:
     """Adds what is left of ``phi_star``: ``capacity, capacity_share, fragility, depletion, depletion_mean, exhaustion``
     and ``false_recovery``. ``state`` has ``oh, oh_pre, phi, phi_star, regime``."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.config import EPS, FLOW, RIGID, SHIFT, STATE, StateConfig
 from lattica.operators import coupling, network, series
-from lattica.runtime import written
+from lattica.runtime import remembered, written
 from lattica.sources.panels import by, returns, weekly_universes
 
 
@@ -56,11 +56,21 @@ def with_regime(state: DataFrame, cfg: StateConfig = STATE) -> DataFrame:
     return limits.withColumn("regime", F.when(rigid, RIGID).when(shifting, SHIFT).otherwise(FLOW)).drop("_o75", "_o95", "_p75", "_p95")
 
 
+SOURCES = ("orders", "customer", "nation", "region")
+
+
+def universe_windows(spark: SparkSession, sf_dir: str, cfg: StateConfig = STATE) -> DataFrame:
+    """Windows of the weekly universes with their place and the rigidity number, written once per session and input."""
+
+    def build() -> DataFrame:
+        return rigidity_number(written(window_state(returns(weekly_universes(spark, sf_dir)), cfg), "windows"), cfg)
+
+    return remembered(spark, ("rigidity", sf_dir, cfg), sf_dir, SOURCES, build)
+
+
 def universe_state(spark: SparkSession, sf_dir: str, cfg: StateConfig = STATE) -> DataFrame:
-    """The whole chain over the weekly universes, written: most readers need it several times."""
-    rets = returns(weekly_universes(spark, sf_dir))
-    placed = written(rigidity_number(window_state(rets, cfg), cfg), "state")
-    return written(with_regime(with_memory(placed, cfg), cfg), "state")
+    """The whole chain over the weekly universes, written once per session and input: many readers need it."""
+    return remembered(spark, ("state", sf_dir, cfg), sf_dir, SOURCES, lambda: with_regime(with_memory(universe_windows(spark, sf_dir, cfg), cfg), cfg))
 
 
 def quiet_candidates(dates: DataFrame, cfg: StateConfig = STATE) -> DataFrame:

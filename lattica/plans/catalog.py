@@ -215,44 +215,54 @@ def centroid_graph_curvature(spark, sf_dir):
 
 
 TRADE = """flows AS (
-  SELECT DISTINCT c_nationkey AS source, s_nationkey AS target FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
-  WHERE o_totalprice > {limit}
-), tgraph AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM flows WHERE source <> target)"""
-LIMIT = 495000.0
+  SELECT least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2
+), tgraph AS (SELECT u, v FROM (SELECT u, v, 100 * n * count(*) OVER () > {percent} * sum(n) OVER () AS strong FROM flows) WHERE strong)"""
+#: Percent of the mean number of items between two nations that an edge stands for at least.
+STRONG = 100
 
 
-def trade_graph(spark, sf_dir, limit: float = LIMIT) -> DataFrame:
-    """Customer and supplier nations of large orders, undirected."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > limit)
-    joined = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    linked = joined.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return network.undirected(linked.select(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target")).distinct())
+def trade_flows(spark, sf_dir, *more: str) -> DataFrame:
+    """Items by pair of customer and supplier nation, of all orders: ``u, v, n`` and the other columns; a few hundred rows a group."""
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    ordered = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "c_nationkey")
+    supplied = table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
+    joined = ordered.join(supplied, F.col("o_orderkey") == F.col("l_orderkey")).where("c_nationkey <> s_nationkey")
+    keyed = joined.select(*(F.expr(m) for m in more), F.least("c_nationkey", "s_nationkey").alias("u"), F.greatest("c_nationkey", "s_nationkey").alias("v"))
+    return keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(o.sql(TRADE.format(limit=LIMIT), "SELECT count(*) FILTER (a.n_regionkey = b.n_regionkey) AS intra, count(*) FILTER (a.n_regionkey <> b.n_regionkey) AS inter FROM tgraph JOIN nation a ON a.n_nationkey = u JOIN nation b ON b.n_nationkey = v"))
+def trade_graph(spark, sf_dir, percent: int = STRONG) -> DataFrame:
+    """Pairs of nations with more items between them than the mean pair, undirected."""
+    flows = trade_flows(spark, sf_dir)
+    whole = Window.partitionBy()  # over pairs of nations, a few hundred rows
+    return flows.withColumn("strong", 100 * F.col("n") * F.count(F.lit(1)).over(whole) > percent * F.sum("n").over(whole)).where("strong").select("u", "v")
+
+
+@query(o.sql(TRADE.format(percent=STRONG), "SELECT count(*) FILTER (a.n_regionkey = b.n_regionkey) AS intra, count(*) FILTER (a.n_regionkey <> b.n_regionkey) AS inter FROM tgraph JOIN nation a ON a.n_nationkey = u JOIN nation b ON b.n_nationkey = v"))
 def intra_inter_split(spark, sf_dir):
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("label"))
     return network.split_by_label(trade_graph(spark, sf_dir), nodes)
 
 
-@query(o.sql(TRADE.format(limit=LIMIT), "ends AS (SELECT u AS id FROM tgraph UNION SELECT v FROM tgraph)", "SELECT (SELECT count(*) FROM tgraph) AS edges, count(*) AS nodes, round(2 * (SELECT count(*) FROM tgraph) / (count(*) * (count(*) - 1)), 6) AS density FROM ends HAVING count(*) > 1"))
+@query(o.sql(TRADE.format(percent=STRONG), "ends AS (SELECT u AS id FROM tgraph UNION SELECT v FROM tgraph)", "SELECT (SELECT count(*) FROM tgraph) AS edges, count(*) AS nodes, round(2 * (SELECT count(*) FROM tgraph) / (count(*) * (count(*) - 1)), 6) AS density FROM ends HAVING count(*) > 1"))
 def graph_density(spark, sf_dir):
     graph = trade_graph(spark, sf_dir)
-    nodes = graph.select(F.col("u").alias("id")).union(graph.select("v")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
-    counted = graph.agg(F.count(F.lit(1)).alias("edges")).withColumn("k", F.lit(1)).join(nodes.withColumn("k", F.lit(1)), "k")
+    ends = graph.select(F.explode(F.array("u", "v")).alias("id"))
+    counted = ends.agg((F.count(F.lit(1)) / 2).cast("long").alias("edges"), F.countDistinct("id").alias("nodes"))
     return counted.where("nodes > 1").select("edges", "nodes", F.round(2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"))
 
 
-@query(o.sql(TRADE.format(limit=499500.0), "two AS (SELECT u, v FROM tgraph UNION SELECT v, u FROM tgraph)", "reach AS (SELECT u AS id, u AS other FROM two UNION SELECT r.id, t.v FROM reach r JOIN two t ON t.u = r.other)", "SELECT id, min(other) AS component FROM reach GROUP BY id", recursive=True))
+@query(o.sql(TRADE.format(percent=130), "two AS (SELECT u, v FROM tgraph UNION SELECT v, u FROM tgraph)", "reach AS (SELECT u AS id, u AS other FROM two UNION SELECT r.id, t.v FROM reach r JOIN two t ON t.u = r.other)", "SELECT id, min(other) AS component FROM reach GROUP BY id", recursive=True))
 def graph_components(spark, sf_dir):
-    return network.components(trade_graph(spark, sf_dir, 499500.0))
+    return network.components(trade_graph(spark, sf_dir, 130))
 
 
 # State -----------------------------------------------------------------------------------------------------------
 
 
 def _oh_state(spark, sf_dir):
-    return state.rigidity_number(state.window_state(all_returns(spark, sf_dir)))
+    return state.universe_windows(spark, sf_dir)
 
 
 @query(o.sql(*o.WINDOWS, "SELECT uid, t, round(eta_ref, 6) AS eta_ref, round(lambda_c, 6) AS lambda_c, round(oh, 6) AS oh FROM ohs"))
@@ -280,7 +290,7 @@ BASE = o.WINDOWS[:-1]
 
 
 def _windows(spark, sf_dir):
-    return series.numbered(state.window_state(all_returns(spark, sf_dir)))
+    return state.universe_windows(spark, sf_dir).drop("eta_ref", "lambda_c", "oh")
 
 
 @query(o.sql(*BASE, CANDIDATES, "SELECT * FROM candidates"))
@@ -336,11 +346,7 @@ def preparation_ratio(spark, sf_dir):
     return state.preparation_ratio(state.universe_state(spark, sf_dir))
 
 
-@query(o.sql(o.REVENUE, """above AS (SELECT uid, t, x FROM (SELECT *, avg(x) OVER (PARTITION BY uid) AS m FROM series) WHERE x > m
-), placed AS (SELECT uid, x, row_number() OVER (PARTITION BY uid ORDER BY x, t) AS i, count(*) OVER (PARTITION BY uid) AS m FROM above
-), d1s AS (SELECT *, 1.0::DOUBLE / (m - 1) AS h, CASE WHEN lag(x) OVER w IS NULL THEN (lead(x) OVER w - x) / (1.0::DOUBLE / (m - 1)) WHEN lead(x) OVER w IS NULL THEN (x - lag(x) OVER w) / (1.0::DOUBLE / (m - 1)) ELSE (lead(x) OVER w - lag(x) OVER w) / (2 * (1.0::DOUBLE / (m - 1))) END AS d1 FROM placed WHERE m > 10 WINDOW w AS (PARTITION BY uid ORDER BY i)
-), d2s AS (SELECT *, CASE WHEN lag(d1) OVER w IS NULL THEN (lead(d1) OVER w - d1) / h WHEN lead(d1) OVER w IS NULL THEN (d1 - lag(d1) OVER w) / h ELSE (lead(d1) OVER w - lag(d1) OVER w) / (2 * h) END AS d2 FROM d1s WINDOW w AS (PARTITION BY uid ORDER BY i)
-), ks AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY round(abs(d2) / pow(1 + d1 * d1, 1.5::DOUBLE), 12) DESC, i) AS r FROM d2s)""", "SELECT s.uid, coalesce(max(round(k.x, 6)), 0.0::DOUBLE) AS knee FROM (SELECT DISTINCT uid FROM series) s LEFT JOIN ks k ON k.uid = s.uid AND r = 1 GROUP BY s.uid"))
+@query(o.sql(o.REVENUE, o.knee_sql("series", "x"), "SELECT uid, knee FROM knees"))
 def knee_threshold(spark, sf_dir):
     return state.knee(panels.revenue_series(spark, sf_dir), "x")
 

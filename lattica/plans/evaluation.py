@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import kernels
-from lattica.operators import attention, evaluate, windows
+from lattica.operators import attention, evaluate, fits, series, windows
 from lattica.plans import oracle as o
 from lattica.plans.catalog import _oh_state, all_returns, one_returns, query, r6
-from lattica.runtime import table, written
+from lattica.runtime import remembered, table, written
 from lattica.sources import formats, panels
 
 SCORED = """labelled AS (
@@ -111,7 +111,8 @@ def matrices(spark, sf_dir) -> DataFrame:
     roles = spark.createDataFrame([("assistant", 0), ("system", 1), ("user", 2)], "role string, k long")
     turns = table(spark, sf_dir, "conversations")
     moves = turns.select(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("f"), F.col("role").alias("r"))
-    cells = roles.select(F.col("role").alias("f"), F.col("k").alias("i")).join(roles.select(F.col("role").alias("r"), F.col("k").alias("j")), F.col("i") >= 0)
+    pairs = spark.range(9).select(F.floor(F.col("id") / 3).alias("i"), (F.col("id") % 3).alias("j"))
+    cells = pairs.join(roles.select(F.col("role").alias("f"), F.col("k").alias("i")), "i").join(roles.select(F.col("role").alias("r"), F.col("k").alias("j")), "j")
     counted = cells.join(moves.where("f IS NOT NULL").groupBy("f", "r").agg(F.count(F.lit(1)).alias("n")), ["f", "r"], "left")
     trans = counted.select(F.lit("roles").alias("g"), "i", "j", F.coalesce("n", F.lit(0)).cast("double").alias("a"))
     return attention.synthetic_attention(spark, SIZE).unionByName(trans)
@@ -178,102 +179,156 @@ def engagement_windows(spark, sf_dir):
     return windows.by_window(one_returns(spark, sf_dir), 10, windows.engagement_state, ["oh", "eta", "mean_corr", "gap", "xi", "active"])
 
 
-@query()
+RECURRED = o.recurrence_sql("series", "x")
+RATES = ", ".join(f"round({c}, 6) AS {c}" for c in ("rr", "det", "lam", "tt")) + ", round(theta + 1e-11, 6) AS theta"
+
+
+@query(o.sql(o.REVENUE, RECURRED, f"SELECT uid, t, {RATES}, geometry FROM recurred"))
 def rqa_rolling(spark, sf_dir):
-    frame = panels.revenue_series(spark, sf_dir).groupBy("uid", F.to_date(F.date_trunc("week", "t")).alias("t")).agg(F.sum("x").alias("x"))
-    return windows.recurrence_series(frame)
+    """Recurrence of daily revenue over the 60 days before each."""
+    return windows.recurrence_series(panels.revenue_series(spark, sf_dir)).select("uid", "t", *r6("rr", "det", "lam", "tt"), F.round(F.round("theta", 9) + 1e-11, 6).alias("theta"), "geometry")
+
+
+@query(o.sql(o.REVENUE, o.lag_sql("series", "x"), "SELECT uid, lag FROM lagged"))
+def embedding_lag(spark, sf_dir):
+    return windows.lags(panels.revenue_series(spark, sf_dir))
+
+
+def activation_sql(source: str, x: str) -> str:
+    """``activated``: the kind of a numbered series' first lasting activation, as ``series.activations`` has it."""
+    return f"""flagged AS (SELECT uid, rn - 1 AS t, {x} > 0.5 AS flag FROM {source}
+), {o.RUNS}, lasting AS (SELECT uid, min("start") AS start, arg_min(length, "start") AS lasting FROM runs WHERE flag AND length >= 5 GROUP BY uid
+), stirred AS (SELECT uid, rn - 1 AS i, n, {x} AS x, {x} < lead({x}) OVER (PARTITION BY uid ORDER BY rn) OR {x} > 0.05 AS stirs FROM {source}
+), summed AS (
+  SELECT s.uid, max(n) AS n, max(l.start) AS start, max(lasting) AS lasting, min(i) FILTER (i >= l.start + 5 AND x < 0.1) AS low,
+         coalesce(max(i) FILTER (i < l.start AND i >= l.start - 60 AND NOT stirs), greatest(max(l.start) - 60, 0) - 1) AS still FROM stirred s LEFT JOIN lasting l USING (uid) GROUP BY s.uid
+), ends AS (SELECT uid, max("end") AS e, arg_max(length, "end") AS len FROM runs WHERE flag GROUP BY uid
+), now AS (SELECT s.*, CASE WHEN e = n - 1 THEN len ELSE 0 END AS now FROM summed s LEFT JOIN ends USING (uid)
+), activated AS (
+  SELECT uid, CASE WHEN start IS NULL THEN 'NONE' WHEN greatest(lasting, now) >= 30 THEN 'RAMP' WHEN low < start + 20 THEN 'SPIKE' ELSE 'BUILDING' END AS kind,
+         CAST(coalesce(start, -1) AS BIGINT) AS start, CAST(CASE WHEN start IS NULL THEN -1 WHEN now >= 5 THEN n - now ELSE start END AS BIGINT) AS effective_start,
+         CAST(CASE WHEN start IS NULL THEN 0 ELSE now END AS BIGINT) AS current_run, CAST(coalesce(start - 1 - still, 0) AS BIGINT) AS growth,
+         CAST(CASE WHEN start IS NULL THEN 0 WHEN lasting < 30 AND now >= 30 THEN now ELSE lasting END AS BIGINT) AS persistence,
+         CAST(CASE WHEN start IS NULL THEN 0 WHEN now >= 5 THEN now ELSE coalesce(low, n) - start END AS BIGINT) AS duration FROM now)"""
+
+
+@query(o.sql(o.REVENUE, RECURRED, activation_sql("recurred", "theta"), "SELECT * FROM activated"))
+def theta_activation(spark, sf_dir):
+    return series.activations(windows.recurrence_series(panels.revenue_series(spark, sf_dir)).select("uid", "t", F.round("theta", 9).alias("x")))
+
+
+PRESSED = "pressed AS (SELECT uid, t, rn, n, greatest(0.0::DOUBLE, round(oh - 0.3, 9)) AS x FROM ohs)"
+
+
+@query(o.sql(*o.WINDOWS, PRESSED, activation_sql("pressed", "x"), "SELECT * FROM activated"))
+def pressure_activation(spark, sf_dir):
+    """The same of the universes' pressure above 0.3."""
+    return series.activations(_oh_state(spark, sf_dir).select("uid", "t", F.greatest(F.lit(0.0), F.round(F.col("oh") - 0.3, 9)).alias("x")))
 
 
 @query()
-def theta_activation(spark, sf_dir):
-    return windows.activations(rqa_rolling(spark, sf_dir).select("uid", "t", F.col("theta").alias("x")))
+def spot_check(spark, sf_dir):
+    """Attractor strength of the last window by observable, and whether the observables agree."""
+    frame = _oh_state(spark, sf_dir)
+    values = F.create_map(*(x for c in ("oh", "eta", "mean_corr") for x in (F.lit(c), F.col(c))))
+    return windows.spot_check(frame.select("uid", "t", F.explode(values).alias("observable", "x")))
 
 
 def _training(spark, sf_dir) -> DataFrame:
+    """Rows with a target, written: fits pass over them several times."""
     frame = _oh_state(spark, sf_dir)
     target = F.max((F.col("oh") > 0.9).cast("int")).over(Window.partitionBy("uid").orderBy("t").rowsBetween(1, 12))
-    return frame.withColumn("y", target).where("y IS NOT NULL").select("uid", "t", "mean_corr", "eta", "vol", "oh", "y")
+    rows = frame.withColumn("y", target).where("y IS NOT NULL").select("uid", "t", "mean_corr", "eta", "vol", "oh", "y", F.xxhash64("uid", "t").alias("row"))
+    return remembered(spark, ("training", sf_dir), sf_dir, ("orders", "customer", "nation", "region"), lambda: rows)
 
 
 FEATURES = ["mean_corr", "eta", "vol", "oh"]
-
-
-def _design(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = rows.sort_by([("uid", "ascending"), ("t", "ascending")])
-    return np.stack([rows[f].to_numpy() for f in FEATURES], axis=1), rows["y"].to_numpy().astype(float), rows["uid"].to_numpy(zero_copy_only=False)
-
-
-def _scaled(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
-    mean, deviation = train.mean(0), np.where(train.std(0) > 1e-12, train.std(0), 1.0)
-    return [(x - mean) / deviation for x in (train, *others)]
+_all = lambda batch: np.ones((batch.num_rows, 1))
 
 
 @query()
 def hazard_logit_fit(spark, sf_dir):
     """Weights of the scaled logistic fit over all universes."""
+    weights, _ = fits.logistic_models(_training(spark, sf_dir), FEATURES, 1, _all)
+    return spark.createDataFrame(list(zip(["constant", *FEATURES], weights[0].tolist(), strict=True)), "term string, weight double")
 
-    def fit(rows: pa.Table) -> pa.Table:
-        x, y, _ = _design(rows)
-        w = kernels.logistic_fit(_scaled(x)[0], y)
-        return pa.table({"term": ["constant", *FEATURES], "weight": w})
 
-    return _training(spark, sf_dir).withColumn("g", F.lit(1)).groupBy("g").applyInArrow(fit, "term string, weight double")
+def _out_of(names: list[str]) -> fits.Weigh:
+    place = {u: k for k, u in enumerate(names)}
+
+    def own(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([place[u] for u in batch.column("uid").to_pylist()])[:, None] == np.arange(len(names))
+
+    return own
 
 
 @query()
 def louo_cv(spark, sf_dir):
-    """Leave one universe out: each fold is a group of its own, with the fold's rows marked."""
-    rows = written(_training(spark, sf_dir), "training")
-    folds = rows.select(F.col("uid").alias("fold")).distinct()
-    dealt = rows.join(folds, F.col("fold") >= "")
+    """Leave one universe out: a model for each, which counts the others' rows, and its separation of its own."""
+    rows = _training(spark, sf_dir)
+    names = [r["uid"] for r in rows.select("uid").distinct().orderBy("uid").collect()]  # universes are a stated few
+    own = _out_of(names)
+    _, plain = fits.logistic_models(rows, FEATURES, len(names), lambda batch: ~own(batch) * 1.0)
+    known = np.isfinite(plain).all(1)
+    scored = fits.scores(rows, FEATURES, np.nan_to_num(plain), lambda batch: own(batch) & known, ["uid", "y"])
+    ranked = evaluate.rank_auc(scored.select(F.col("uid").alias("g"), F.round("score", 12).alias("score"), "y"))
+    return ranked.where("positives > 0 AND negatives > 0").select(F.col("g").alias("fold"), (F.col("positives") + F.col("negatives")).alias("n"), "auc")
 
-    def fit(part: pa.Table) -> pa.Table:
-        fold = part["fold"][0].as_py()
-        x, y, uid = _design(part)
-        out = uid == fold
-        if y[~out].min() == y[~out].max() or y[out].min() == y[out].max():
-            return pa.table({"fold": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "auc": pa.array([], pa.float64())})
-        train, test = _scaled(x[~out], x[out])
-        return pa.table({"fold": [fold], "n": [int(out.sum())], "auc": [kernels.auc(kernels.logistic_scores(kernels.logistic_fit(train, y[~out]), test), y[out])]})
 
-    return dealt.groupBy("fold").applyInArrow(fit, "fold string, n long, auc double")
+@query()
+def bootstrap_ci(spark, sf_dir, draws: int = 1_000):
+    """Intervals and sign stability of the fit's weights over resampled rows: a model for each draw."""
+    number = np.arange(draws)
+    weights, _ = fits.logistic_models(_training(spark, sf_dir), FEATURES, draws, lambda batch: fits.resampled(batch.column("row").to_numpy(), number))
+    weights = weights[np.isfinite(weights).all(1)]
+    low, middle, high = np.quantile(weights, [0.025, 0.5, 0.975], axis=0) if len(weights) else np.full((3, len(FEATURES) + 1), np.nan)
+    rows = [(t, len(weights), *map(float, (low[k], middle[k], high[k], np.abs(np.sign(weights[:, k]).mean()) if len(weights) else np.nan))) for k, t in enumerate(["constant", *FEATURES])]
+    return spark.createDataFrame(rows, "term string, draws long, low double, middle double, high double, sign_stability double")
 
 
 @query()
-def bootstrap_ci(spark, sf_dir, draws: int = 200):
-    """Intervals and sign stability of the fit's weights over resampled rows; draws spread over tasks."""
-    rows = _training(spark, sf_dir)
-    dealt = rows.join(spark.range(20).withColumnRenamed("id", "part"), F.col("part") >= 0)
+def noise_feature(spark, sf_dir):
+    """The fit with a feature of noise: what weight chance gets beside the others."""
+    rows = _training(spark, sf_dir).withColumn("noise", F.pmod("row", F.lit(10_007)) / 10_007.0)
+    weights, _ = fits.logistic_models(rows, [*FEATURES, "noise"], 1, _all)
+    return spark.createDataFrame(list(zip(["constant", *FEATURES, "noise"], weights[0].tolist(), strict=True)), "term string, weight double")
 
-    def fit(table_: pa.Table) -> pa.Table:
-        part = table_["part"][0].as_py()
-        x, y, _ = _design(table_)
-        out = []
-        for k in range(draws // 20):
-            pick = np.random.default_rng(1000 * part + k).integers(0, len(y), len(y))
-            if 0 < y[pick].sum() < len(y):
-                out.append(kernels.logistic_fit(_scaled(x[pick])[0], y[pick]))
-        flat = np.array(out).reshape(-1, len(FEATURES) + 1)
-        return pa.table({"term": pa.array(["constant", *FEATURES] * len(flat), pa.string()), "weight": flat.ravel()})
 
-    drawn = dealt.groupBy("part").applyInArrow(fit, "term string, weight double")
-    q = lambda p: F.percentile("weight", F.lit(p))
-    return drawn.groupBy("term").agg(F.count(F.lit(1)).alias("draws"), q(0.025).alias("low"), q(0.5).alias("middle"), q(0.975).alias("high"), F.abs(F.avg(F.signum("weight"))).alias("sign_stability"))
+@query()
+def ablation(spark, sf_dir):
+    """What separation the fit loses without each feature, and what it has by each alone."""
+    rows, d = _training(spark, sf_dir), len(FEATURES)
+    masks = np.concatenate([np.ones((1, d), bool), ~np.eye(d, dtype=bool), np.eye(d, dtype=bool)])
+    weigh = lambda batch: np.ones((batch.num_rows, len(masks)))
+    _, plain = fits.logistic_models(rows, FEATURES, len(masks), weigh, masks=masks)
+    scored = fits.scores(rows, FEATURES, np.nan_to_num(plain), weigh, ["y"]).select(F.col("model").cast("string").alias("g"), F.round("score", 12).alias("score"), "y")
+    names = F.array(*[F.lit(x) for x in ("full", *(f"without {f}" for f in FEATURES), *(f"{f} alone" for f in FEATURES))])
+    found = evaluate.rank_auc(scored).select(F.element_at(names, F.col("g").cast("int") + 1).alias("model"), "auc")
+    loss = F.round(F.max(F.when(F.col("model") == "full", F.col("auc"))).over(Window.partitionBy()) - F.col("auc"), 6)  # over a row a model
+    told = F.when(F.col("loss") > 0.05, "CRITICAL").when(F.col("loss") > 0.01, "important").when(F.col("loss") > 0.001, "minor").otherwise("redundant")
+    return found.withColumn("loss", loss).withColumn("meaning", F.when(F.col("model").startswith("without"), told))
 
 
 @query()
 def permutation_test(spark, sf_dir, shuffles: int = 200):
-    """The score's separation against that of shuffled labels."""
-    rows = _training(spark, sf_dir).withColumn("g", F.lit(1))
+    """The score's separation against that of labels drawn anew for every row at the labels' rate, by ranks."""
+    rows = _training(spark, sf_dir)
+    each = rows.groupBy(F.lit("oh").alias("g"), F.col("oh").alias("score")).agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.partitionBy("g").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.join(each.select(F.col("score").alias("oh"), (before - (F.col("k") - 1) / 2).alias("rank")), "oh").select("rank", "y", "row")
+    rate = rows.agg(F.avg("y")).first()[0] or 0.0
 
-    def test(table_: pa.Table) -> pa.Table:
-        x, y, _ = _design(table_)
-        score = x[:, FEATURES.index("oh")]
-        own, rng = kernels.auc(score, y), np.random.default_rng(0)
-        null = np.array([kernels.auc(score, rng.permutation(y)) for _ in range(shuffles)])
-        return pa.table({"auc": [own], "null_mean": [null.mean()], "null_max": [null.max()], "p": [float((null >= own).mean())]})
+    def sums(batch: pa.RecordBatch) -> np.ndarray:
+        rank, y = batch.column("rank").to_numpy().astype(float), batch.column("y").to_numpy().astype(float)
+        drawn = np.column_stack([y, fits.mixed(batch.column("row").to_numpy(), np.arange(1, shuffles + 1)) < rate])
+        return np.column_stack([drawn.T @ rank, drawn.sum(0), np.full(shuffles + 1, len(y))])
 
-    return rows.groupBy("g").applyInArrow(test, "auc double, null_mean double, null_max double, p double")
+    total, positive, n = fits._summed(ranked, sums, shuffles + 1, 3).T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        auc = (total - positive * (positive + 1) / 2) / (positive * (n - positive))
+    own, null = auc[0], auc[1:][np.isfinite(auc[1:])]
+    row = (float(own), float(null.mean()), float(null.max()), float((1 + (null >= own).sum()) / (1 + len(null)))) if len(null) and np.isfinite(own) else (None,) * 4
+    return spark.createDataFrame([row], "auc double, null_mean double, null_max double, p double")
 
 
 def _moments(vectors: DataFrame, kind: str) -> DataFrame:
@@ -327,10 +382,10 @@ def _silhouettes(rows: DataFrame, n: int, block: int) -> DataFrame:
     kind = rows.schema["label"].dataType.simpleString()
     blocks = -(-n // block) or 1
     dealt = rows.withColumn("a", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    others = rows.sparkSession.range(blocks).withColumnRenamed("id", "b")
-    ours = dealt.join(F.broadcast(others), F.col("b") >= 0)
-    second = dealt.select(F.col("a").alias("b"), F.col("label").alias("label"), F.col("embedding").alias("embedding"))
-    theirs = second.join(F.broadcast(others.withColumnRenamed("b", "a")), F.col("a") >= 0)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    # all pairs are asked for: each block goes to every pair of blocks that it is part of
+    ours = dealt.select("*", every.alias("b"))
+    theirs = dealt.select(F.col("a").alias("b"), F.col("label").alias("label"), F.col("embedding").alias("embedding"), every.alias("a"))
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         x, y = (np.array(t["embedding"].to_pylist(), float) for t in (left, right))
@@ -379,10 +434,11 @@ def edge_list_source(spark, sf_dir):
     return formats.parse_edges(found, "line", ["doc_id"])
 
 
-@query(o.sql("SELECT user_id, sha256(string_agg(props, '' ORDER BY event_id)) AS digest, count(*) AS n FROM events GROUP BY user_id"))
+@query(o.sql("SELECT user_id, CAST(sum(CAST(('0x' || substr(sha256(event_id || ':' || props), 1, 12)) AS BIGINT)) AS VARCHAR) AS digest, count(*) AS n FROM events GROUP BY user_id"))
 def manifest_digests(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("rows"))
-    return rows.select("user_id", F.sha2(F.array_join(F.transform("rows", lambda r: r["props"]), ""), 256).alias("digest"), F.size("rows").cast("long").alias("n"))
+    """A digest of each user's rows that does not hang on their order: the sum of the rows' own, combined before the exchange."""
+    own = F.conv(F.substring(F.sha2(F.concat_ws(":", "event_id", "props"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(own).cast("string").alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 @query(o.sql("SELECT CAST(ts AS DATE) AS run_date, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 90) AS warnings FROM events GROUP BY 1"))

@@ -13,7 +13,7 @@ from lattica import streaming
 from lattica.functions import kernels
 from lattica.operators import attention, evaluate, events, rules, series, state, windows
 from lattica.plans import oracle as o
-from lattica.plans.catalog import _oh_state, all_returns, one_returns, query, r6
+from lattica.plans.catalog import all_returns, query, r6, trade_flows
 from lattica.plans.evaluation import ATTENTION, labelled, matrices
 from lattica.plans.monitoring import SPIKES, REPORT
 from lattica.runtime import shared_dir, ship, table
@@ -84,12 +84,6 @@ def insight_rules(spark, sf_dir):
     return rules.insights(report, {"peak": F.col("oh_max") > 0.97, "frozen": F.col("tau_max") >= 10, "loaded": F.col("phi_max") > 0.5, "calm": (F.col("n_spikes") == 0) & (F.col("tau_max") < 10)})
 
 
-@query(o.sql(*o.WINDOWS, "SELECT uid, t, CASE WHEN vol > 0.6 THEN 'DAMAGED' WHEN oh > 0.95 THEN 'CRYSTALLIZED' WHEN oh > 0.7 THEN 'CRYSTALLIZING' ELSE 'NOMINAL' END AS label FROM ohs"))
-def structural_labels(spark, sf_dir):
-    label = F.when(F.col("vol") > 0.6, "DAMAGED").when(F.col("oh") > 0.95, "CRYSTALLIZED").when(F.col("oh") > 0.7, "CRYSTALLIZING").otherwise("NOMINAL")
-    return _oh_state(spark, sf_dir).select("uid", "t", label.alias("label"))
-
-
 WEIGHTS = [(k, round(0.1 * (k % 4), 1), round(0.1 * (k % 7), 1), round(0.1 * (k % 5), 1)) for k in range(12)]
 LABELLED = """labelled AS (
   SELECT l.quality AS y, CAST(n_chars AS DOUBLE) / 1000 AS f1, round(CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) / greatest(length(text), 1), 9) AS f2, round(CAST(length(text) - length(replace(text, '!', '')) AS DOUBLE) / greatest(length(text), 1), 9) AS f3 FROM documents d JOIN labels l USING (doc_id)
@@ -125,17 +119,19 @@ def attention_to_state(spark, sf_dir):
 # Streams ---------------------------------------------------------------------------------------------------------
 
 
-@query(o.sql("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2"))
+@query(o.sql("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR"))
 def stream_hourly(spark, sf_dir):
-    """Tumbling windows over the event stream, run to the end of what is there; the last state is the result."""
+    """Tumbling windows over the event stream: each is written once, when the watermark has passed its end.
+
+    Windows that may still change when the stream ends are not among them.
+    """
     ship(spark)
     place = f"{shared_dir(spark)}/lattica/stream-{uuid.uuid4().hex}"
     found = streaming.windowed(streaming.event_stream(spark, sf_dir, name="events.parquet"))
-    save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/out")
-    running = found.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    running = found.writeStream.outputMode("append").format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     start = F.date_trunc("hour", "start").cast("timestamp_ntz")
-    return spark.read.parquet(f"{place}/out").select(start.alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+    return spark.read.schema(found.schema).parquet(f"{place}/out").select(start.alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
 @query(o.sql("""g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events)""", "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)", "SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"))
@@ -151,36 +147,7 @@ def session_windows(spark, sf_dir):
 @query()
 def topological_shift(spark, sf_dir):
     """Wasserstein distance of each window's cycles from those of the quiet share's middle window."""
-    rets = one_returns(spark, sf_dir)
-
-    def compute(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("t", "ascending"), ("asset", "ascending")])
-        dates = np.unique(rows["t"].to_numpy())
-        x = rows["r"].to_numpy().reshape(len(dates), -1)
-        diagrams = [kernels.barcodes(windows.distance_of(x[k - 21 : k + 1]))[1] for k in range(21, len(x))]
-        calm = int(0.4 * len(diagrams))
-        own = diagrams[calm // 2] if diagrams else np.zeros((0, 2))
-        return pa.table({"uid": pa.array([rows["uid"][0].as_py()] * len(diagrams), pa.string()), "t": pa.array(dates[21:], pa.date32()), "shift": pa.array([kernels.wasserstein(d, own) for d in diagrams], pa.float64())})
-
-    return rets.groupBy("uid").applyInArrow(compute, "uid string, t date, shift double")
-
-
-@query()
-def spot_check(spark, sf_dir):
-    """Attractor strength of the last window by observable, and whether the observables agree."""
-    frame = _oh_state(spark, sf_dir)
-    long = frame.select(F.concat_ws("|", "uid", F.lit("x")).alias("k"), "uid", "t", F.explode(F.create_map(F.lit("oh"), F.col("oh"), F.lit("eta"), F.col("eta"), F.lit("mean_corr"), F.col("mean_corr"))).alias("observable", "x"))
-    keyed = long.select(F.concat_ws("|", "uid", "observable").alias("uid"), "t", "x")
-
-    def compute(uid, t, x):
-        theta, geometry = kernels.spot_strength(x)
-        return {"uid": [uid], "theta": [theta], "geometry": [geometry]}
-
-    found = windows.series_kernel(keyed, compute, "uid string, theta double, geometry string")
-    split = found.select(F.substring_index("uid", "|", 1).alias("uid"), F.substring_index("uid", "|", -1).alias("observable"), "theta", "geometry")
-    whole = Window.partitionBy("uid")
-    active, valid = F.count_if(F.col("theta") > 0.5).over(whole), F.count_if(F.col("geometry") != "N/A").over(whole)
-    return split.withColumn("consensus", F.when((active == valid) & (valid > 0), "ALIGNED").when(active > 0, "PARTIAL").otherwise("NONE"))
+    return windows.topological_shift(all_returns(spark, sf_dir))
 
 
 @query()
@@ -200,8 +167,10 @@ def cubical_lifetimes(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    """Groups of the trade graph by greedy modularity, and edges inside and between them."""
-    from lattica.plans.catalog import trade_graph
+    """Groups of each order year's trade graph by greedy modularity, and edges inside and between them."""
+    flows = trade_flows(spark, sf_dir, "CAST(year(o_orderdate) AS BIGINT) AS g")
+    whole = Window.partitionBy("g")
+    strong = flows.withColumn("strong", 100 * F.col("n") * F.count(F.lit(1)).over(whole) > 110 * F.sum("n").over(whole)).where("strong")
 
     def compute(rows: pa.Table) -> pa.Table:
         edges = sorted(zip(rows["u"].to_pylist(), rows["v"].to_pylist(), strict=True))
@@ -209,7 +178,7 @@ def communities(spark, sf_dir):
         number = {x: k for k, x in enumerate(names)}
         group = kernels.modularity_groups(len(names), [(number[a], number[b]) for a, b in edges])
         inside = sum(group[number[a]] == group[number[b]] for a, b in edges)
-        return pa.table({"groups": [len(set(group.tolist()))], "intra": [int(inside)], "inter": [len(edges) - int(inside)]})
+        return pa.table({"g": [rows["g"][0].as_py()], "groups": [len(set(group.tolist()))], "intra": [int(inside)], "inter": [len(edges) - int(inside)]})
 
-    # one stated graph of at most a few hundred nodes
-    return trade_graph(spark, sf_dir).withColumn("g", F.lit(1)).groupBy("g").applyInArrow(compute, "groups long, intra long, inter long")
+    # a graph has as many edges as pairs of nations at most
+    return strong.select("g", "u", "v").groupBy("g").applyInArrow(compute, "g long, groups long, intra long, inter long")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lattica.config import HAZARD
-from lattica.operators import events, hazard, series, state
+from lattica.config import HAZARD, STATE
+from lattica.operators import events, hazard, series, state, windows
 from lattica.plans import oracle as o
 from lattica.plans.catalog import _oh_state, query, r6
-from lattica.runtime import table, written
+from lattica.runtime import remembered, table, written
 from lattica.sources import panels
 
-STAR = """starred AS (SELECT s.*, greatest(round(2 * max(phi) OVER (PARTITION BY uid), 9), 1e-4::DOUBLE) AS phi_star FROM state s)"""
+STAR = f"""{o.knee_sql('state', 'phi')}
+, starred AS MATERIALIZED (
+  SELECT s.*, knee < 1e-4::DOUBLE AS estimated, CASE WHEN knee >= 1e-4::DOUBLE THEN knee ELSE greatest(round(2 * max(phi) OVER (PARTITION BY s.uid), 9), 1e-4::DOUBLE) END AS phi_star FROM state s JOIN knees USING (uid))"""
 CAPACITY = """spent AS MATERIALIZED (
   SELECT *, round(phi_star - phi, 9) AS capacity, round(round(phi_star - phi, 9) / phi_star, 9) AS capacity_share,
          round(greatest(0.0::DOUBLE, least(20.0::DOUBLE, ln(phi_star / greatest(round(phi_star - phi, 9), 1e-12)))), 9) AS fragility,
@@ -30,7 +32,8 @@ def logit(b: tuple[float, ...]) -> str:
     return f"round(1 / (1 + exp(-greatest(-20.0::DOUBLE, least(20.0::DOUBLE, {b[0]}::DOUBLE + {b[1]}::DOUBLE * fragility + {b[2]}::DOUBLE * greatest(depletion_mean, 0.0::DOUBLE) + {b[3]}::DOUBLE * eta_norm + {b[4]}::DOUBLE * theta)))), 12)"
 
 
-HAZARDS = f"""thetas AS (SELECT *, greatest(0.0::DOUBLE, round(oh - 1, 9)) AS theta FROM normed
+HAZARDS = f"""{o.recurrence_sql('state', 'mean_corr')}
+, thetas AS (SELECT c.*, r.theta, r.geometry FROM normed c JOIN recurred r USING (uid, rn)
 ), hz AS (SELECT *, {logit(HAZARD.beta_90)} AS h90, {logit(HAZARD.beta_60)} AS h60 FROM thetas
 ), hazards AS MATERIALIZED (
   SELECT *, 1 - pow(1 - h90, 30) AS p30, 1 - pow(1 - h60, 60) AS p60, 1 - pow(1 - h90, 90) AS p90, greatest(0.0::DOUBLE, least(1e6::DOUBLE, ln(0.5::DOUBLE) / ln(1 - h90))) AS half_life_90 FROM hz)"""
@@ -39,14 +42,22 @@ RISK = (*SPENT, ETA, HAZARDS)
 
 
 def starred(spark, sf_dir):
-    whole = Window.partitionBy("uid")
-    return state.universe_state(spark, sf_dir).withColumn("phi_star", F.greatest(F.round(2 * F.max("phi").over(whole), 9), F.lit(HAZARD.capacity_least)))
+    """The state with its capacity ``phi_star``: the knee of its memory, or an estimate where it has none."""
+    return hazard.with_capacity_limit(state.universe_state(spark, sf_dir))
 
 
 def hazards(spark, sf_dir):
-    """The chain with pressure above one standing for the attractor's strength, so that SQL can follow it."""
-    frame = hazard.normal_rigidity(written(hazard.capacity(starred(spark, sf_dir)), "capacity")).withColumn("theta", F.greatest(F.lit(0.0), F.round(F.col("oh") - 1, 9)))
-    return hazard.with_hazard(frame)
+    """The chain from state to hazard: capacity up to the memory's knee, strength of the attractor from recurrences.
+
+    Recurrence is that of the mean coupling, which varies in quiet times too; the memory at its floor would say nothing.
+    """
+
+    def build():
+        full = state.universe_state(spark, sf_dir)
+        strength = windows.recurrence_series(full.select("uid", "t", F.col("mean_corr").alias("x"))).select("uid", "t", F.round("theta", 9).alias("theta"), "geometry")
+        return hazard.with_hazard(hazard.normal_rigidity(written(hazard.capacity(hazard.with_capacity_limit(full)), "capacity")).join(strength, ["uid", "t"]))
+
+    return remembered(spark, ("hazards", sf_dir, STATE, HAZARD), sf_dir, ("orders", "customer", "nation", "region"), build)
 
 
 @query(o.sql(*SPENT, "SELECT uid, t, round(capacity, 6) AS capacity, round(capacity_share, 6) AS capacity_share, round(fragility, 6) AS fragility, round(depletion_mean, 6) + 0.0::DOUBLE AS depletion_mean FROM capacities", recursive=True))
@@ -82,9 +93,9 @@ def hazard_dual_horizon(spark, sf_dir):
 ALERT = "CASE WHEN capacity_share < 0 OR (h90 >= 0.10 AND capacity_share < 0.5) THEN 'EMERGENCY' WHEN (h90 >= 0.02 AND capacity_share < 0.7) OR half_life_90 < 90 THEN 'WARNING' WHEN capacity_share < 0.5 OR fragility > 1.5 THEN 'WATCH' ELSE 'NOMINAL' END"
 
 
-@query(o.sql(*RISK, f"SELECT uid, t, {ALERT} AS alert_level FROM hazards", recursive=True))
+@query(o.sql(*RISK, f"SELECT uid, t, CASE WHEN estimated THEN 'BASELINE_INSUFFICIENT' ELSE {ALERT} END AS alert_level FROM hazards", recursive=True))
 def alert_levels(spark, sf_dir):
-    return hazards(spark, sf_dir).select("uid", "t", hazard.alert_level(F.lit(False)).alias("alert_level"))
+    return hazards(spark, sf_dir).select("uid", "t", hazard.alert_level(F.col("estimated")).alias("alert_level"))
 
 
 @query(o.sql(*RISK, """SELECT uid, t, round(CASE WHEN max(abs(theta)) OVER (PARTITION BY uid) > 1e-12 THEN least(greatest(fragility, 0.0::DOUBLE) / 2.0::DOUBLE, 1.0::DOUBLE) * greatest(least(theta, 1.0::DOUBLE), 0.0::DOUBLE) ELSE least(greatest(fragility, 0.0::DOUBLE) / 2.0::DOUBLE, 1.0::DOUBLE) END, 6) AS pressure FROM hazards""", recursive=True))
@@ -186,17 +197,40 @@ def cross_universe_rules(spark, sf_dir):
     return events.contagion(events.universe_report(state.universe_state(spark, sf_dir)), spark.createDataFrame(LINKS, "source string, target string"))
 
 
-def cross(x: str, threshold: str, persist: int) -> str:
-    return f"SELECT uid, min(t) FILTER (lo AND k = {persist}) AS crossing, min(rn) FILTER (lo AND k = {persist}) AS event_rn FROM (SELECT uid, t, rn, bool_and({x} > {threshold}) OVER w AS lo, count(*) OVER w AS k FROM state WINDOW w AS (PARTITION BY uid ORDER BY t ROWS BETWEEN CURRENT ROW AND {persist - 1} FOLLOWING)) GROUP BY uid"
+def lasting_sql(x: str, threshold: str, persist: int, source: str, whole: bool = True) -> str:
+    """``uid, crossing, event_rn``: the first row from which x stays above for ``persist`` rows (``whole``: up to the last)."""
+    upto = "" if whole else f" AND rn <= n - {persist}"
+    return f"SELECT uid, min(t) FILTER (lo AND k = {persist}{upto}) AS crossing, min(rn) FILTER (lo AND k = {persist}{upto}) AS event_rn FROM (SELECT uid, t, rn, n, bool_and({x} > {threshold}) OVER w AS lo, count(*) OVER w AS k FROM {source} WINDOW w AS (PARTITION BY uid ORDER BY t ROWS BETWEEN CURRENT ROW AND {persist - 1} FOLLOWING)) GROUP BY uid"
+
+
+GEOMETRY = f"""strong AS ({lasting_sql('theta', '0.5::DOUBLE', 5, 'hazards', whole=False)}
+), weak AS ({lasting_sql('theta', '0.1::DOUBLE', 5, 'hazards', whole=False)}
+), geo AS (SELECT uid, coalesce(s.crossing, w.crossing) AS crossing, coalesce(s.event_rn, w.event_rn) AS event_rn, CASE WHEN s.crossing IS NOT NULL THEN 0.5::DOUBLE WHEN w.crossing IS NOT NULL THEN 0.1::DOUBLE END AS threshold FROM strong s JOIN weak w USING (uid)
+), struc AS (SELECT uid, min(t) FILTER (capacity_share < 0.9::DOUBLE) AS crossing, min(rn) FILTER (capacity_share < 0.9::DOUBLE) AS event_rn FROM hazards GROUP BY uid)"""
 
 
-@query(o.sql(*o.FULL, f"geo AS ({cross('oh', '0.99', 2)}), str AS ({cross('phi', 'phi_c', 2)})", """SELECT g.uid, g.crossing AS t_geometry, s.crossing AS t_structure, CAST(s.crossing - g.crossing AS BIGINT) AS lead_days,
-  CASE WHEN s.crossing IS NULL AND g.crossing IS NULL THEN 'NO_SIGNAL' WHEN s.crossing IS NULL THEN 'GEOMETRY_ONLY' WHEN s.event_rn < 60 THEN 'LEFT_CENSORED' WHEN g.crossing IS NULL THEN 'STRUCTURE_ONLY' WHEN s.crossing - g.crossing > 0 THEN 'GEOMETRY_LEADS' WHEN s.crossing - g.crossing = 0 THEN 'SIMULTANEOUS' ELSE 'STRUCTURE_LEADS' END AS verdict FROM geo g JOIN str s USING (uid)""", recursive=True))
+def geometric_crossing(frame):
+    """When the attractor's strength first stays up, at half or else at a tenth: ``uid, crossing, event_rn, threshold``."""
+    return events.crossing_with_fallback(frame, "theta", (0.5, 0.1), 5)
+
+
+@query(o.sql(*RISK, GEOMETRY, "SELECT uid, crossing, event_rn, threshold FROM geo", recursive=True))
+def geometric_crossings(spark, sf_dir):
+    return geometric_crossing(hazards(spark, sf_dir))
+
+
+@query(o.sql(*RISK, GEOMETRY, """SELECT g.uid, g.crossing AS t_geometry, s.crossing AS t_structure, CAST(s.crossing - g.crossing AS BIGINT) AS lead_days,
+  CASE WHEN s.crossing IS NULL AND g.crossing IS NULL THEN 'NO_SIGNAL' WHEN s.crossing IS NULL THEN 'GEOMETRY_ONLY' WHEN s.event_rn < 60 THEN 'LEFT_CENSORED' WHEN g.crossing IS NULL THEN 'STRUCTURE_ONLY' WHEN s.crossing - g.crossing > 0 THEN 'GEOMETRY_LEADS' WHEN s.crossing - g.crossing = 0 THEN 'SIMULTANEOUS' ELSE 'STRUCTURE_LEADS' END AS verdict FROM geo g JOIN struc s USING (uid)""", recursive=True))
 def lead_times(spark, sf_dir):
-    full = state.universe_state(spark, sf_dir)
-    structure = series.first_crossing(full, "phi", F.col("phi_c"), 2)
-    placed = structure.join(full.select("uid", F.col("t").alias("crossing"), F.col("rn").alias("event_rn")), ["uid", "crossing"], "left")
-    return events.lead_times(series.first_crossing(full, "oh", 0.99, 2), placed)
+    full = hazards(spark, sf_dir)
+    worn = F.col("capacity_share") < 0.9
+    structure = full.groupBy("uid").agg(F.min(F.when(worn, F.col("t"))).alias("crossing"), F.min(F.when(worn, F.col("rn"))).alias("event_rn"))
+    return events.lead_times(geometric_crossing(full).select("uid", "crossing"), structure)
+
+
+@query(o.sql(*RISK, "SELECT uid, t, CASE WHEN capacity_share < 0.9::DOUBLE THEN 'DAMAGED' WHEN theta >= 2 THEN 'CRYSTALLIZED' WHEN theta > 0.1::DOUBLE THEN 'CRYSTALLIZING' ELSE 'NOMINAL' END AS label FROM hazards", recursive=True))
+def structural_labels(spark, sf_dir):
+    return hazards(spark, sf_dir).select("uid", "t", hazard.structural_label(F.col("theta"), F.col("capacity_share")).alias("label"))
 
 
 HOURS = """hours AS (SELECT *, hour(t) AS h FROM (SELECT date_trunc('hour', ts) AS t, round(avg(value), 6) AS oh, round(stddev_pop(value), 6) AS eta, count(DISTINCT user_id) AS xi, round(corr(value, user_id), 6) AS mean_corr FROM events GROUP BY 1))"""

@@ -88,3 +88,56 @@ FULL = (*WINDOWS, PHI)
 RUNS = """marked AS (SELECT *, sum(CASE WHEN flag IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY t) AS island
   FROM (SELECT *, lag(flag) OVER (PARTITION BY uid ORDER BY t) AS before FROM flagged)
 ), runs AS (SELECT uid, island, flag, min(t) AS "start", max(t) AS "end", count(*) AS length FROM marked GROUP BY uid, island, flag)"""
+
+
+def lag_sql(source: str, x: str, most: int = 20) -> str:
+    """``lagged(uid, lag)``: the smallest lag at which a series ``uid, rn, x`` and itself moved on do not go together."""
+    moved = ", ".join(f"lag(x, {k}) OVER w AS l{k}" for k in range(1, most))
+    fits = ", ".join(
+        f"CASE WHEN floor(count(x) / 2) > {k} AND covar_pop(x, l{k}) <= 0 AND stddev_pop(CASE WHEN l{k} IS NOT NULL THEN x END) > 0 AND stddev_pop(l{k}) > 0 THEN {k} END" for k in range(1, most)
+    )
+    return f"""moved AS (SELECT uid, x, {moved} FROM (SELECT uid, rn, {x} AS x FROM {source}) WINDOW w AS (PARTITION BY uid ORDER BY rn)
+), lagged AS (SELECT uid, CAST(coalesce(least({fits}), least(greatest(floor(count(x) / 4), 1), {most})) AS INTEGER) AS lag FROM moved GROUP BY uid)"""
+
+
+def recurrence_sql(source: str, x: str, window: int = 60) -> str:
+    """``recurred(uid, t, rr, det, lam, tt, theta, geometry)`` of a numbered series ``uid, t, rn, n, x``."""
+    z = lambda c, w: f"{w}::DOUBLE * CASE WHEN k_{c} > 5 THEN greatest(coalesce(({c} - m_{c}) / greatest(s_{c}, 0.01::DOUBLE), 0.0::DOUBLE), 0.0::DOUBLE) ELSE 0.0::DOUBLE END"
+    quiet = ", ".join(f"count({c}) FILTER ({CALM}) OVER u AS k_{c}, avg({c}) FILTER ({CALM}) OVER u AS m_{c}, stddev_pop({c}) FILTER ({CALM}) OVER u AS s_{c}" for c in ("det", "lam", "tt"))
+    return f"""{lag_sql(source, x)}
+, asked AS (SELECT s.uid, s.rn AS e, lag FROM {source} s JOIN lagged USING (uid) WHERE s.rn > {window}
+), points AS (
+  SELECT w.uid, w.e, a.rn - w.e + {window} AS i, a.{x} AS x0, b.{x} AS x1, c.{x} AS x2 FROM asked w
+  JOIN {source} a ON a.uid = w.uid AND a.rn BETWEEN w.e - {window} AND w.e - 1
+  JOIN {source} b ON b.uid = w.uid AND b.rn = a.rn + lag AND b.rn < w.e JOIN {source} c ON c.uid = w.uid AND c.rn = a.rn + 2 * lag AND c.rn < w.e
+), sizes AS (SELECT uid, e, count(*) AS m FROM points GROUP BY uid, e HAVING count(*) >= 10
+), apart AS (
+  SELECT p.uid, p.e, p.i, q.i AS j, sqrt((p.x0 - q.x0) * (p.x0 - q.x0) + (p.x1 - q.x1) * (p.x1 - q.x1) + (p.x2 - q.x2) * (p.x2 - q.x2)) AS d
+  FROM points p JOIN points q ON p.uid = q.uid AND p.e = q.e AND p.i < q.i
+), limit_of AS (SELECT uid, e, greatest(quantile_cont(d, 0.1), 1e-12) AS eps FROM apart GROUP BY uid, e
+), close AS MATERIALIZED (SELECT uid, e, i, j FROM apart JOIN limit_of USING (uid, e) WHERE d <= eps
+), diagonals AS (
+  SELECT uid, e, sum(k) AS k FROM (SELECT uid, e, count(*) AS k FROM (SELECT uid, e, j - i AS o, i - row_number() OVER (PARTITION BY uid, e, j - i ORDER BY i) AS g FROM close) GROUP BY uid, e, o, g) WHERE k >= 2 GROUP BY uid, e
+), cells AS (SELECT uid, e, i, j FROM close UNION ALL SELECT uid, e, j, i FROM close UNION ALL SELECT uid, e, i, i FROM points
+), walls AS (
+  SELECT uid, e, sum(k) AS k, avg(k) AS tt FROM (SELECT uid, e, count(*) AS k FROM (SELECT uid, e, j, i - row_number() OVER (PARTITION BY uid, e, j ORDER BY i) AS g FROM cells) GROUP BY uid, e, j, g) WHERE k >= 2 GROUP BY uid, e
+), totals AS (SELECT uid, e, m, m + 2 * coalesce(c, 0) AS total FROM sizes LEFT JOIN (SELECT uid, e, count(*) AS c FROM close GROUP BY uid, e) USING (uid, e)
+), rates AS (
+  SELECT uid, e AS rn, total / CAST(m * m AS DOUBLE) AS rr, (m + 2 * coalesce(d.k, 0)) / CAST(total AS DOUBLE) AS det, coalesce(w.k, 0) / CAST(total AS DOUBLE) AS lam, coalesce(w.tt, 0.0::DOUBLE) AS tt
+  FROM totals LEFT JOIN diagonals d USING (uid, e) LEFT JOIN walls w USING (uid, e)
+), placed_rates AS (SELECT s.uid, s.t, s.rn, s.n, r.rr, r.det, r.lam, r.tt FROM {source} s LEFT JOIN rates r ON r.uid = s.uid AND r.rn = s.rn
+), scored_rates AS (SELECT *, {quiet} FROM placed_rates WINDOW u AS (PARTITION BY uid)
+), strengths AS (
+  SELECT *, coalesce(k_det > 5 AND s_det < 0.005::DOUBLE, false) OR coalesce(k_lam > 5 AND s_lam < 0.005::DOUBLE, false) AS flat, least({z('det', 0.4)} + {z('lam', 0.35)} + {z('tt', 0.25)}, 5.0::DOUBLE) AS raw FROM scored_rates
+), recurred AS MATERIALIZED (
+  SELECT uid, t, rn, n, rr, det, lam, tt, CASE WHEN n < 60 OR flat THEN 0.0::DOUBLE ELSE round(raw, 9) END AS theta, CASE WHEN n < 60 THEN 'NOT_APPLIED' WHEN flat THEN 'SATURATED' ELSE 'HIGH' END AS geometry FROM strengths)"""
+
+
+def knee_sql(source: str, x: str, name: str = "knees") -> str:
+    """``{name}(uid, knee)``: the values above their mean, sorted, at their greatest curvature (zero with ten or fewer)."""
+    return f"""above AS (SELECT uid, t, x FROM (SELECT uid, t, {x} AS x, avg({x}) OVER (PARTITION BY uid) AS m FROM {source}) WHERE x > m
+), sorted AS (SELECT uid, x, row_number() OVER (PARTITION BY uid ORDER BY x, t) AS i, count(*) OVER (PARTITION BY uid) AS m FROM above
+), d1s AS (SELECT *, 1.0::DOUBLE / (m - 1) AS h, CASE WHEN lag(x) OVER w IS NULL THEN (lead(x) OVER w - x) / (1.0::DOUBLE / (m - 1)) WHEN lead(x) OVER w IS NULL THEN (x - lag(x) OVER w) / (1.0::DOUBLE / (m - 1)) ELSE (lead(x) OVER w - lag(x) OVER w) / (2 * (1.0::DOUBLE / (m - 1))) END AS d1 FROM sorted WHERE m > 10 WINDOW w AS (PARTITION BY uid ORDER BY i)
+), d2s AS (SELECT *, CASE WHEN lag(d1) OVER w IS NULL THEN (lead(d1) OVER w - d1) / h WHEN lead(d1) OVER w IS NULL THEN (d1 - lag(d1) OVER w) / h ELSE (lead(d1) OVER w - lag(d1) OVER w) / (2 * h) END AS d2 FROM d1s WINDOW w AS (PARTITION BY uid ORDER BY i)
+), ks AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY round(abs(d2) / pow(1 + d1 * d1, 1.5::DOUBLE), 12) DESC, i) AS r FROM d2s
+), {name} AS (SELECT s.uid, coalesce(max(round(k.x, 6)), 0.0::DOUBLE) AS knee FROM (SELECT DISTINCT uid FROM {source}) s LEFT JOIN ks k ON k.uid = s.uid AND r = 1 GROUP BY s.uid)"""
