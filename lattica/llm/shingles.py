@@ -3,22 +3,24 @@
 A document's set holds the 64-bit hashes of its distinct runs of ``SHINGLE`` words. Two sets link where
 ``100 * |x & y| >= percent * |x | y|``. The join goes by tiles:
 
-* Sizes are cut into bands. In a band whose largest set has n elements, linked sets differ in at most D(n) elements,
-  so hashes are cut into K parts, K = D(n) + 1 and some over: linked sets agree on parts. A tile is a band, a part
-  and the part's exact content; two linked sets meet in at least one. A set enters its own band's tiles and, where
-  its partners can reach it, the next band's. Parts that are empty make tiles only for the rare sets that have
-  nearly nothing else in common to agree on. Bands of over a thousand elements have larger and fewer parts: hashes
-  deal differences to parts at random, and the chance that linked sets agree on none of them is under ``MISS``, as
-  small as that of equal 64-bit hashes. Content of several shingles names a tile, so passages that many documents
-  share do not gather their documents.
-* In a tile, every member is first paired with its smallest member. Pairs are bounded by their hashed bitmap
-  signatures: differing bits are at most differing elements, so bit counts bound the overlap from above. What
-  survives is decided by exact intersection of sorted arrays.
+* The elements of a sorted set, with a mark before and behind, make pairs of neighbours. An element that only one of
+  two sets has breaks two pairs of its own set and one of the other, so linked sets have all but ``lost`` of their
+  pairs in common, whatever their sizes. By the order of the pairs' names, linked sets then share at least L of their
+  first ``lost + L`` pairs. Sizes are cut into bands, and a tile is a band and such a pair; a set enters its own
+  band's tiles and, where larger partners reach it, the next band's. Two shingles name a tile, so passages that many
+  documents share seldom gather their documents.
+* Within a stretch of rows and then over all, each member of a tile is paired with a smallest one, so that a large
+  group sends one member a stretch through the exchange. Pairs are bounded by their hashed bitmap signatures:
+  differing bits are at most differing elements, so bit counts bound the overlap from above. What survives is decided
+  by exact intersection of sorted arrays.
 * Linked sets are joined to components. Tiles whose members all lie in one component are done. In the others, pairs
   of members from different components go through the same bound and the same exact intersection, so that no link
   between components is missed, while a large group of near copies costs its number of members, not of pairs.
+* Tiles with over ``POPULAR`` members besides their largest component are not compared that way: linked sets share L
+  tiles, so a pair is met elsewhere unless both of its sets have L popular tiles. Such sets are compared by single
+  shingles: the rarest of them that linked sets cannot all differ in, by exact counts over these sets.
 
-Equal sets are joined to their smallest document first and enter tiles once per task.
+Equal sets are joined to their smallest document first, and that one alone enters tiles.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; a repeated row is a copy; a row without an id gets a null
@@ -32,7 +34,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.components import connected_components
@@ -40,11 +43,21 @@ from lattica.runtime import drop_written, written
 
 SHINGLE, PERCENT = 4, 85
 #: Ratio of a band's largest to its smallest set.
-BAND = 1.5
+BAND = 2.0
+#: Percent from which pairs of neighbours name tiles; below, linked sets may have none in common, and single elements do.
+PAIRS_FROM = 60
+#: Tiles that linked sets share at least: one, and one more for each so many elements.
+SPARE = 32
+#: Members besides the largest component's from which a tile counts as popular.
+POPULAR = 64
+#: Tile entries that are paired at once before the exchange.
+STRETCH = 1 << 19
 #: 64-bit words of a bitmap signature.
 WORDS = 32
 #: Documents whose ids are broadcast to pick their texts; more than these go by exchange.
 BROADCAST_IDS = 1 << 21
+#: Shingles that are broadcast with their counts; more than these go by exchange.
+BROADCAST_SHINGLES = 1 << 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 1 << 18
 
@@ -100,67 +113,42 @@ def set_key(a: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(a.tobytes())
 
 
-def most_apart(n: int, percent: int) -> int:
-    """How many elements two linked sets of at most n elements differ in at most."""
-    return 2 * n * (100 - percent) // (100 + percent)
+@lru_cache(1 << 14)
+def lost(n: int, percent: int, larger: bool) -> int:
+    """How many of its names a set of n elements may not share with a linked one (``larger``: of n elements or more)."""
+    own = np.arange(n + 1)  # elements that the other set lacks
+    others = (n - own) * (100 - percent) // percent - own  # at most so many that only the other has
+    fits = others >= (own if larger else 0)
+    broken = 2 * own + others if percent >= PAIRS_FROM else own
+    return int(broken[fits].max(initial=0))
 
 
-#: Mean elements of a part, from a band's largest set on; smaller sets have one part for each possible difference.
-LARGE = [(8_000, 14), (4_000, 13), (2_000, 11), (1_000, 8)]
-#: Parts that a large set enters at most.
-MOST_PARTS = 400
-#: Chance that two linked sets share no tile that the parts of large sets must stay under.
-MISS = 1e-13
+def shared(n: int) -> int:
+    """Tiles that a set of n elements has in common with a linked one, at least."""
+    return 1 + n // SPARE
 
 
-@lru_cache(1024)
-def band_parts(band: int, percent: int) -> tuple[int, int, int]:
-    """Parts of a band, how many of them count, and how many linked sets agree on at least (0: by chance only)."""
-    largest = int(BAND ** (band + 1)) + 1
-    apart = most_apart(largest, percent)
-    more = apart // 32 if apart else 0
-    for least, mean in LARGE:
-        parts = largest // mean
-        used = min(parts, MOST_PARTS)
-        # a part of the union is agreed on if no element of it is a difference
-        agreed = np.exp(-mean * 2 * (100 - percent) / (100 + percent))
-        if largest >= least and used * np.log1p(-agreed) < np.log(MISS):
-            return parts, used, 0
-    return apart + 1 + more, apart + 1 + more, 1 + more
+def band_of(n: int) -> int:
+    return int(np.log(n) / np.log(BAND) + 1e-9)
 
 
-def band_of(n: int) -> int:
-    band = max(0, int(np.log(n) / np.log(BAND)))
-    while int(BAND ** (band + 1)) + 1 < n:
-        band += 1
-    while band and int(BAND**band) + 1 >= n:
-        band -= 1
-    return band
+def bands_of(n: int, percent: int) -> list[int]:
+    """A set's own band and those in which larger partners may be."""
+    return list(range(band_of(n), band_of(max(n, 100 * n // percent)) + 1))
 
 
 def tile_names(a: np.ndarray, percent: int) -> np.ndarray:
     """The tiles that a set enters, as 64-bit names."""
     n = len(a)
-    own = band_of(n)
-    bands = [own]
-    # partners have at most 100 / percent times as many elements
-    while band_of(max(1, 100 * n // percent)) > bands[-1]:
-        bands.append(bands[-1] + 1)
+    if 100 * n < percent * (n + 1):  # only an equal set is alike enough
+        return np.zeros(0, np.uint64)
+    names = mixed(a * _ODD[0])
+    if percent >= PAIRS_FROM:
+        names = mixed(np.concatenate(([np.uint64(1)], names)) + np.concatenate((a, [np.uint64(2)])))
     out = []
-    for band in bands:
-        parts, used, agree = band_parts(band, percent)
-        # a is sorted, so each part is a stretch of it
-        place = ((a >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        content = np.add.reduceat(mixed(a ^ _ODD[2]), first)
-        full = place[first]
-        seed = np.array([band + 1], np.uint64) * _ODD[3]
-        names = mixed(mixed(full * _ODD[0] + seed) + content)
-        out.append(names[full < np.uint64(used)])
-        if agree and parts - len(full) >= agree:
-            # so few parts have content that linked sets might agree on empty ones alone
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), full)
-            out.append(mixed(mixed(empty * _ODD[1] + seed) + _ODD[4]))
+    for k, band in enumerate(bands_of(n, percent)):
+        most = min(len(names), lost(n, percent, k > 0) + shared(n))
+        out.append(mixed(np.partition(names, most - 1)[:most] + np.array([band + 1], np.uint64) * _ODD[3]))
     return np.concatenate(out)
 
 
@@ -193,11 +181,12 @@ BITS = [f"b{k}" for k in range(WORDS)]
 
 
 def shingle_sets(documents: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n, key, met, b0.., tiles``: a set that the task has met before has that document's id, no bitmap and no tiles."""
-    names = ["doc_id", "n", "key", "met", *BITS, "tiles"]
+    """``doc_id, task, n, key, met, b0.., tiles``: a set that the task has met before has that document's id, no bitmap and no tiles."""
+    names = ["doc_id", "task", "n", "key", "met", *BITS, "tiles"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(size), {}
+        number = TaskContext.get().partitionId()
         for batch in batches:
             n, keys, tiles, met, bits = [], [], [], [], []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -213,11 +202,43 @@ def shingle_sets(documents: DataFrame, size: int, percent: int, doc_id: str, tex
                 if new:
                     seen[key] = doc
             columns = np.array(bits, np.uint64).reshape(len(n), WORDS).T
-            own = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(met, pa.int64())]
+            own = [batch.column(0), pa.array([number] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(met, pa.int64())]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(_signed(np.ascontiguousarray(c))) for c in columns), pa.array(tiles, pa.list_(pa.int64()))], names=names)
 
     bits = ", ".join(f"{b} long" for b in BITS)
-    return _source(documents, doc_id, text).mapInArrow(task, f"doc_id long, n long, key binary, met long, {bits}, tiles array<long>")
+    return _source(documents, doc_id, text).mapInArrow(task, f"doc_id long, task int, n long, key binary, met long, {bits}, tiles array<long>")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows ``doc_id, tiles``, a stretch of entries at a time: tiles, documents by tile, and whether a tile begins there."""
+
+    def ordered(docs: list, tiles: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tile = np.concatenate(tiles)
+        doc = np.repeat(np.array(docs, np.int64), [len(t) for t in tiles])
+        order = np.lexsort((doc, tile))
+        tile, doc = tile[order], doc[order]
+        return tile, doc, np.r_[True, tile[1:] != tile[:-1]]
+
+    docs, tiles, held = [], [], 0
+    for batch in batches:
+        for doc, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs.append(doc)
+            tiles.append(own.values.to_numpy())
+            held += len(tiles[-1])
+            if held >= STRETCH:
+                yield ordered(docs, tiles)
+                docs, tiles, held = [], [], 0
+    if held:
+        yield ordered(docs, tiles)
+
+
+def _by_stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``tile, doc, center``: of each stretch, a tile's smallest document without a center, the others with it."""
+    for tile, doc, start in _stretches(batches):
+        center = doc[start][np.cumsum(start) - 1]
+        for at in range(0, len(tile), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(tile[part]), pa.array(doc[part]), pa.array(center[part], mask=start[part])], names=["tile", "doc", "center"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +279,17 @@ def _arrays(documents: DataFrame, wanted: DataFrame, size: int, doc_id: str, tex
             arrays = [shingler.shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary())], names=["doc", "a"])
 
-    ids = wanted.select(F.col("doc").alias("doc_id"))
-    few = wanted.count() <= BROADCAST_IDS
-    return _source(documents, doc_id, text).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(task, "doc long, a binary")
+    return _chosen(documents, wanted, doc_id, text).mapInArrow(task, "doc long, a binary")
+
+
+def _chosen(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, text`` of the documents whose ids ``wanted`` has as ``doc``."""
+    return _source(documents, doc_id, text).join(_small(wanted.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if they are counted to be few; else they go by exchange."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _bounded(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -299,45 +328,130 @@ def _linked(pairs: DataFrame, documents: DataFrame, size: int, percent: int, doc
     return found
 
 
+def _across(members: DataFrame, tile: list[str], signatures: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``x, y`` of a tile's members in different components that sizes and bitmap bits let link."""
+    signed = members.join(signatures, "doc")
+    x, y = (signed.select(*tile, *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "component", "n", *BITS))) for name in "xy")
+    across = x.join(y, tile).where((F.col("x_component") < F.col("y_component")) & _may_link("x", "y", percent))
+    return across.select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
+
+
+def _prefix(n: int, percent: int) -> int:
+    """Of a set's elements in any one order, how many first ones hold one of each linked set's as many first ones."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _by_rarest(documents: DataFrame, unsafe: DataFrame, signatures: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Pairs of the sets ``doc, component`` by their rarest shingles: as many as linked sets cannot all differ in.
+
+    Shingles are counted over these sets. Those that several have are broadcast if they are counted to be few; else
+    they meet the sets by exchange.
+    """
+    chosen = _chosen(documents, unsafe, doc_id, text)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for batch in batches:
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a = _signed(shingler.shingles(t.as_py()))
+                for at in range(0, len(a), 1 << 16):
+                    part = a[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(a))), pa.array(part)], names=["doc", "n", "shingle"])
+
+    rows = chosen.mapInArrow(every, "doc long, n long, shingle long")
+    counts = written(rows.groupBy("shingle").agg(F.countDistinct("doc").alias("times")).where("times > 1"), "popular-counts")
+    if counts.count() <= BROADCAST_SHINGLES:
+        known = counts.toArrow()  # of at most BROADCAST_SHINGLES rows
+        order = np.argsort(known["shingle"].to_numpy())
+        shared_counts = documents.sparkSession.sparkContext.broadcast((known["shingle"].to_numpy()[order], known["times"].to_numpy()[order]))
+
+        def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler, (popular, times) = Shingler(size), shared_counts.value
+            for batch in batches:
+                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    a = _signed(shingler.shingles(t.as_py()))
+                    place = np.minimum(np.searchsorted(popular, a), max(len(popular) - 1, 0))
+                    common = popular[place] == a if len(popular) else np.zeros(len(a), bool)
+                    # the shingles of one set alone come before all others and make no tile
+                    left = _prefix(len(a), percent) - (len(a) - int(common.sum()))
+                    if left > 0:
+                        own = a[common]
+                        own = own[np.lexsort((own, times[place[common]]))][:left]
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), doc))], names=["shingle", "doc"])
+
+        first = chosen.mapInArrow(rarest, "shingle long, doc long").distinct()
+    else:
+        whole = Window.partitionBy("doc")
+        ranked = rows.distinct().join(counts, "shingle").select(
+            "doc", "n", "shingle", F.row_number().over(whole.orderBy("times", "shingle")).alias("rank"), F.count(F.lit(1)).over(whole).alias("common")
+        )
+        most = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") + 1
+        first = ranked.where(F.col("rank") <= most - (F.col("n") - F.col("common"))).select("shingle", "doc")
+    pairs = written(_across(first.join(unsafe, "doc"), ["shingle"], signatures, percent), "popular-pairs")
+    drop_written(counts)
+    return pairs
+
+
 def join_shingles(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: ``doc_id, n_shingles, component_id`` (smallest document that links reach)."""
     dealt = written(shingle_sets(documents, size, percent, doc_id, text), "shingle-sets")
-    sets = written(dealt.drop("tiles"), "shingle-counts")
-    signatures = sets.where("key IS NOT NULL AND met IS NULL").select(F.col("doc_id").alias("doc"), "n", *BITS)
+    counts = written(dealt.select("doc_id", "n"), "shingle-counts")
     # copies within a task are known there; what is left of a set is one document per task
-    firsts = sets.where("key IS NOT NULL AND met IS NULL").select("key", "doc_id")
-    smallest = firsts.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    copies = sets.where("met IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("met").alias("b")).unionByName(
-        firsts.join(smallest, "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    firsts = dealt.where("key IS NOT NULL AND met IS NULL").select("key", F.struct("doc_id", "task").alias("place"))
+    smallest = firsts.groupBy("key").agg(F.min("place").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = written(firsts.join(smallest, "key").where("place <> rep").select("place.doc_id", "place.task", F.col("rep.doc_id").alias("rep")), "copies")
+    copies = dealt.where("met IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("met").alias("b")).unionByName(
+        again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     )
-    entered = dealt.where("tiles IS NOT NULL").select(F.explode("tiles").alias("tile"), "doc_id")
-    tiles = written(entered.repartition("tile").sortWithinPartitions("tile", "doc_id").mapInArrow(_met, "tile long, doc long, center long"), "tiles")
-    drop_written(dealt)
-
-    stars = tiles.where("doc <> center").select(F.col("doc").alias("x"), F.col("center").alias("y")).distinct()
-    bounded = written(_bounded(stars, signatures, percent), "star-pairs")
+    copies = written(copies, "copy-links")
+    entered = dealt.where("tiles IS NOT NULL").join(_small(again.select("doc_id", "task")), ["doc_id", "task"], "left_anti")
+    signatures = written(entered.select(F.col("doc_id").alias("doc"), "n", *BITS), "signatures")
+    entered = entered.select("doc_id", "tiles")
+    entries = written(entered.mapInArrow(_by_stretch, "tile long, doc long, center long"), "tile-entries")
+    drop_written(dealt, again)
+    smallest_of = entries.where("center IS NULL").select("tile", "doc").repartition("tile").sortWithinPartitions("tile", "doc")
+    stars = smallest_of.mapInArrow(_met, "tile long, doc long, center long").unionByName(entries.where("center IS NOT NULL"))
+    tiles = written(stars.where("doc <> center"), "tiles")
+    drop_written(entries)
+
+    bounded = written(_bounded(tiles.select(F.col("doc").alias("x"), F.col("center").alias("y")).distinct(), signatures, percent), "star-pairs")
     starred = _linked(bounded, documents, size, percent, doc_id, text)
     found = written(starred.unionByName(copies), "links")
     components = written(connected_components(found), "components")
-
-    # tiles with members of several components, one of each membership: their pairs across components
-    placed = tiles.select("tile", "doc").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("tile", "doc", F.coalesce("component", "doc").alias("component"))
+    drop_written(bounded, starred, copies)
+
+    # a tile of two is decided; in larger ones, how many members lie in how many components
+    larger = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("others"), F.min("center").alias("doc")).where("others > 1").select("tile", "doc")
+    larger = written(larger, "larger-tiles")
+    members = larger.unionByName(tiles.join(larger.select("tile"), "tile", "left_semi").select("tile", "doc"))
+    placed = members.join(components.withColumnRenamed("id", "doc"), "doc", "left").select("tile", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = written(placed, "placed")
+    drop_written(larger, tiles)
     membership = (F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc")).alias("mark"), F.sum(F.col("doc") % 1_000_003).alias("rest"))
-    torn = placed.groupBy("tile").agg(F.min("component").alias("least"), F.max("component").alias("most"), *membership).where("least < most")
-    torn = written(torn.groupBy("size", "mark", "rest").agg(F.min("tile").alias("tile")).select("tile"), "torn-tiles")
-    members = written(placed.join(torn, "tile").join(signatures, "doc"), "torn-members")
-    x, y = (members.select("tile", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "component", "n", *BITS))) for name in "xy")
-    across = x.join(y, "tile").where((F.col("x_component") < F.col("y_component")) & _may_link("x", "y", percent))
-    pairs = written(across.select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct(), "cross-pairs")
-    drop_written(tiles, torn, members, bounded, starred)
-    more = _linked(pairs, documents, size, percent, doc_id, text)
-    if more.head(1):
-        components = connected_components(found.unionByName(more))
-    drop_written(pairs, found, more)
-    return (
-        sets.select("doc_id", "n")
-        .join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    by_component = placed.groupBy("tile", "component").agg(*membership)
+    sums = (F.sum("size").alias("size"), F.max("size").alias("main"), F.bit_xor("mark").alias("mark"), F.sum("rest").alias("rest"))
+    torn = written(by_component.groupBy("tile").agg(*sums).where("main < size"), "torn-tiles")
+    popular = torn.where(F.col("size") - F.col("main") > POPULAR).select("tile")
+    # one tile of each membership
+    quiet = torn.where(F.col("size") - F.col("main") <= POPULAR).groupBy("size", "mark", "rest").agg(F.min("tile").alias("tile")).select("tile")
+    pairs = written(_across(placed.join(quiet, "tile"), ["tile"], signatures, percent), "cross-pairs")
+    often = placed.join(popular, "tile").groupBy("doc", "component").agg(F.count(F.lit(1)).alias("popular"))
+    unsafe = often.join(signatures.select("doc", "n"), "doc").where(F.col("popular") >= 1 + F.floor(F.col("n") / SPARE)).select("doc", "component")
+    unsafe = written(unsafe, "unsafe-sets")
+    drop_written(placed, torn)
+    if unsafe.head(1):
+        more = _by_rarest(documents, unsafe, signatures, size, percent, doc_id, text)
+        both = written(pairs.unionByName(more).distinct(), "pairs")
+        drop_written(pairs, more)
+        pairs = both
+    across = _linked(pairs, documents, size, percent, doc_id, text)
+    if across.head(1):
+        components = written(connected_components(found.unionByName(across)), "components")
+    drop_written(pairs, unsafe, signatures, found, across)
+    known = counts.where("doc_id IS NOT NULL").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    # rows without an id would all go to one task of the join
+    return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).unionByName(
+        counts.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     )
 
 
