@@ -1,9 +1,10 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-Equal vectors become one row with a count. Vectors are rotated to principal axes, largest variance first; the first
-two coordinates deal them into square cells as wide as two linked vectors can lie apart, so that only neighbouring
-cells are compared. Cells are cut into blocks, and every pair of blocks that can hold a link is a tile, one task's
-work. A tile accumulates products over leading coordinates, adds the product of the norms of what is left, and
+Equal vectors become one row with a count. Vectors are rotated to principal axes, largest variance first. A tree of cuts
+along the leading coordinates, made on a sample, deals them into cells; of each cell, the exact least and greatest of
+every leading coordinate and of the norm of the rest are gathered over all rows. Two cells are compared only if those
+boxes come as near as two linked vectors lie, so what a vector is compared with grows with what lies around it. Large
+cells are cut into blocks, and every pair of blocks of near cells is a tile, one task's work. A tile accumulates products over leading coordinates, adds the product of the norms of what is left, and
 leaves pairs whose bound stays under the threshold; those that are left are decided by their cosine in double
 precision. A tile gives, per vector, how many it links and the smallest vector that it reaches within the tile:
 never the links one by one.
@@ -16,7 +17,9 @@ component; an empty table gives no rows; other columns are ignored, whatever the
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,10 @@ from lattica.runtime import written
 THRESHOLD = 0.9
 #: Vectors that the axes are fitted on; they order the work and decide nothing.
 SAMPLE = 8_192
-#: Rows of a block, between these; in between, so many blocks that their pairs keep a cluster busy.
-LEAST_ROWS, MOST_ROWS, BLOCKS = 1_024, 8_192, 24
+#: Rows of a cell, about, as long as there are no more cells than these; rows of a block of a cell.
+LEAF_ROWS, MOST_LEAVES, MOST_ROWS = 1_024, 1_024, 8_192
+#: Leading coordinates that cells are cut and bounded by.
+LEADING = 16
 #: Below the threshold by this much, rounding could hide a link from the bound.
 SLACK = 1e-9
 
@@ -75,6 +80,60 @@ def _by_size(data: list[bytes]) -> Iterator[np.ndarray]:
         yield np.flatnonzero(sizes == size)
 
 
+def leading(y: np.ndarray) -> np.ndarray:
+    """The first ``LEADING`` coordinates of rotated unit vectors and the norm of the others."""
+    lead = np.zeros((len(y), LEADING + 1))
+    k = min(LEADING, y.shape[1])
+    lead[:, :k] = y[:, :k]
+    lead[:, -1] = np.sqrt(np.maximum((y[:, k:] ** 2).sum(1), 0))
+    return lead
+
+
+@dataclass(frozen=True)
+class Cells:
+    """A tree of cuts: node k goes on to ``below`` or ``above`` by a coordinate; leaves are cells."""
+
+    feature: np.ndarray
+    cut_at: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+    cell: np.ndarray
+
+    @classmethod
+    def cut(cls, data: list[bytes], axes: dict[int, np.ndarray], leaves: int) -> Cells:
+        """The largest part is halved along its widest coordinate until there are as many parts as wanted."""
+        x, norm = _unit(data)
+        lead = leading(_rotated(x, norm, axes))
+        nodes = [[-1, 0.0, -1, -1]]
+        open_parts = [(-len(lead), 0, np.arange(len(lead)))]
+        made = 1
+        while made < leaves and open_parts and open_parts[0][0] < -1:
+            _, node, rows = heapq.heappop(open_parts)
+            part = lead[rows]
+            f = int(np.argmax(part.var(0)))
+            at = float(np.median(part[:, f]))
+            up = part[:, f] > at
+            if not up.any():
+                continue
+            nodes[node] = [f, at, len(nodes), len(nodes) + 1]
+            for side in (rows[~up], rows[up]):
+                heapq.heappush(open_parts, (-len(side), len(nodes), side))
+                nodes.append([-1, 0.0, -1, -1])
+            made += 1
+        feature = np.array([n[0] for n in nodes])
+        cell = np.where(feature < 0, np.cumsum(feature < 0) - 1, -1)
+        return cls(feature, np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes]), cell)
+
+    def of(self, lead: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(lead), np.int64)
+        going = np.flatnonzero(self.feature[node] >= 0)
+        while going.size:
+            at = node[going]
+            node[going] = np.where(lead[going, self.feature[at]] > self.cut_at[at], self.above[at], self.below[at])
+            going = going[self.feature[node[going]] >= 0]
+        return self.cell[node]
+
+
 def linked_pairs(a: np.ndarray, a_norm: np.ndarray, b: np.ndarray, b_norm: np.ndarray, axes: dict[int, np.ndarray], threshold: float, upper: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the pairs at or over the threshold; ``upper``: a is b, and only i < j are asked for."""
     width = a.shape[1]
@@ -132,53 +191,68 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     # equal vectors meet in the map-side combine already; one row per key and task is exchanged
     reps = written(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v")), "vectors")
     sample = reps.orderBy(F.xxhash64("key"), "rep").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
-    axes = context.broadcast(principal_axes(sample))  # a square matrix per vector length
-    width = float(np.sqrt(max(2 - 2 * threshold, 0.0))) + 1e-6
+    total = reps.count()
+    sizes = {len(d) // 8 for d in sample}
+    own_axes = principal_axes(sample)
+    leaves = min(MOST_LEAVES, max(1, -(-total // LEAF_ROWS)))
+    trees = {size: Cells.cut([d for d in sample if len(d) == 8 * size], own_axes, leaves) for size in sizes}
+    axes, cells = context.broadcast(own_axes), context.broadcast(trees)  # a matrix per vector length; as many cells as leaves
 
-    def cells(data: list[bytes]) -> np.ndarray:
-        """Vector size and the cell by the first two coordinates."""
-        out = np.zeros((len(data), 3), np.int64)
+    def placed(data: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By vector length: the length, row numbers, cells, leading coordinates with the norm of the rest."""
         for rows in _by_size(data):
             x, norm = _unit([data[r] for r in rows])
-            y = _rotated(x, norm, axes.value)
-            out[rows, 0] = x.shape[1]
-            out[rows, 1 : 1 + min(2, y.shape[1])] = np.floor(y[:, :2] / width)
-        return out
+            lead = leading(_rotated(x, norm, axes.value))
+            yield x.shape[1], rows, cells.value[x.shape[1]].of(lead) if x.shape[1] in cells.value else np.zeros(len(rows), np.int64), lead
 
-    def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bounds = [f"{side}{k}" for side in ("low", "high") for k in range(LEADING + 1)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per task and cell: rows, and the least and greatest of each coordinate."""
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            kinds, counts = np.unique(cells(batch.column("v").to_pylist()), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, kinds.T), pa.array(counts)], names=["size", "x", "y", "n"])
-
-    # coordinates lie within one, so a vector length has few cells, whatever the number of vectors
-    counted = reps.select("v").mapInArrow(count_cells, "size long, x long, y long, n long").groupBy("size", "x", "y").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in counted)
-    rows_of_block = min(MOST_ROWS, max(LEAST_ROWS, total // BLOCKS))
-    first, blocks = {}, 0
-    for r in sorted(counted):
-        first[r["size"], r["x"], r["y"]] = (blocks, -(-r["n"] // rows_of_block))
-        blocks += first[r["size"], r["x"], r["y"]][1]
+            for size, _, cell, lead in placed(batch.column("v").to_pylist()):
+                for c in np.unique(cell):
+                    own = lead[cell == c]
+                    n, low, high = held.get((size, int(c)), [0, np.inf, -np.inf])
+                    held[size, int(c)] = [n + len(own), np.minimum(low, own.min(0)), np.maximum(high, own.max(0))]
+        rows = [(size, c, n, *low, *high) for (size, c), (n, low, high) in held.items()]
+        columns = list(map(list, zip(*rows))) if rows else [[] for _ in range(3 + len(bounds))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 3 else pa.float64()) for k, x in enumerate(columns)], names=["size", "cell", "n", *bounds])
+
+    ddl = ", ".join(["size long, cell long, n long", *(f"{c} double" for c in bounds)])
+    extremes = [(F.min if c.startswith("low") else F.max)(c).alias(c) for c in bounds]
+    # a row a cell, of which there are MOST_LEAVES at most for each vector length
+    counted = reps.select("v").mapInArrow(measure, ddl).groupBy("size", "cell").agg(F.sum("n").alias("n"), *extremes).orderBy("size", "cell").collect()
+    first, partners, blocks = {}, {}, 0
+    for r in counted:
+        first[r["size"], r["cell"]] = (blocks, -(-r["n"] // MOST_ROWS))
+        blocks += first[r["size"], r["cell"]][1]
+    for size in {r["size"] for r in counted}:
+        own = [r for r in counted if r["size"] == size]
+        low, high = (np.array([[r[f"{side}{k}"] for k in range(LEADING + 1)] for r in own]) for side in ("low", "high"))
+        for k, r in enumerate(own):
+            gap = np.maximum(np.maximum(low[k] - high, low - high[k]), 0)
+            near = np.flatnonzero((gap * gap).sum(1) <= 2 - 2 * threshold + SLACK)
+            spans = [first[size, own[j]["cell"]] for j in near]
+            partners[size, r["cell"]] = np.concatenate([np.arange(start, start + n) for start, n in spans])
+    dealt_to = context.broadcast((first, partners))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector goes to every tile of its block."""
-        partners: dict[tuple, np.ndarray] = {}
+        """Each vector goes to every tile of its block that can hold a link of it."""
+        begin, near = dealt_to.value
         for batch in batches:
             data = batch.column("v").to_pylist()
-            where = cells(data)
-            numbers = [int.from_bytes(k[:8], "little") for k in batch.column("key").to_pylist()]
+            numbers = np.array([int.from_bytes(k[:7], "little") for k in batch.column("key").to_pylist()], np.int64)
             row, low, high, side = [], [], [], []
-            for i, (cell, number) in enumerate(zip(map(tuple, where.tolist()), numbers, strict=True)):
-                start, n = first[cell]
-                own = start + number % n
-                if cell not in partners:
-                    size, x, y = cell
-                    near = [first[size, x + dx, y + dy] for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (size, x + dx, y + dy) in first]
-                    partners[cell] = np.concatenate([np.arange(s, s + m) for s, m in near])
-                other = partners[cell]
-                row.append(np.full(len(other), i))
-                low.append(np.minimum(own, other))
-                high.append(np.maximum(own, other))
-                side.append((other < own).astype(np.int32))
+            for size, rows, cell, _ in placed(data):
+                for i, c in zip(rows.tolist(), cell.tolist(), strict=True):
+                    start, n = begin[size, c]
+                    own, other = start + numbers[i] % n, near[size, c]
+                    row.append(np.full(len(other), i))
+                    low.append(np.minimum(own, other))
+                    high.append(np.maximum(own, other))
+                    side.append((other < own).astype(np.int32))
             if row:
                 row = np.concatenate(row)
                 out = [np.concatenate(low), np.concatenate(high), np.concatenate(side)]
