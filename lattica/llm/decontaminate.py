@@ -6,7 +6,8 @@ a whole shorter item. Words are mapped to the items' vocabulary first, and only
 enough for a hit enter the automaton.
 
 An automaton is made on the driver of at most ``SHARD_CHARS`` characters of items and broadcast; a larger test set
-is cut into shards of that size, each with a pass of its own, and their hits are merged per document.
+is cut into shards of that size. All are asked in one pass over the documents, one at a time, and their hits are merged
+per document.
 
 Defined cases: a null or empty text or item has no words; an item without words is never found; repeated items count
 each by its id; a repeated document row gets its answer each time; empty tables give no rows or no hits; other
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.runtime import written
-
 WINDOW = 13
-SHARD_CHARS = 1_000_000
+SHARD_CHARS = 2_000_000
+#: Bytes of texts that a task asks all shards about at once, where there are several.
+HELD_CHARS = 16 << 20
 #: A document is contaminated if it has a hit and ``COVERAGE`` times its hit words are no fewer than its words.
 COVERAGE = 20
 
@@ -40,13 +41,13 @@ def words(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers."""
+    """Generalised suffix automaton over word numbers; once built, flat arrays, with a table for states that branch."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.following: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self._following: list[dict[int, int]] = [{}]
+        self._link, self._length = [-1], [0]
         texts = [(item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws]) for item, ws in items if ws]
         for _, text in texts:
             last = 0
@@ -55,83 +56,120 @@ class Automaton:
         #: Shortest stretch that can be a hit.
         self.least = min([window, *(len(t) for _, t in texts)])
         self._windows(texts)
+        self._flatten()
 
     def _state(self, length: int, link: int, following: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.following.append(following)
-        return len(self.length) - 1
+        self._length.append(length)
+        self._link.append(link)
+        self._following.append(following)
+        return len(self._length) - 1
 
     def _split(self, start: int, word: int, target: int) -> int:
         """The part of ``target`` that begins behind ``start``, made a state of its own."""
-        copy = self._state(self.length[start] + 1, self.link[target], dict(self.following[target]))
-        while start >= 0 and self.following[start].get(word) == target:
-            self.following[start][word] = copy
-            start = self.link[start]
-        self.link[target] = copy
+        copy = self._state(self._length[start] + 1, self._link[target], dict(self._following[target]))
+        while start >= 0 and self._following[start].get(word) == target:
+            self._following[start][word] = copy
+            start = self._link[start]
+        self._link[target] = copy
         return copy
 
     def _extend(self, last: int, word: int) -> int:
-        target = self.following[last].get(word)
+        target = self._following[last].get(word)
         if target is not None:  # an earlier item has this prefix
-            return target if self.length[target] == self.length[last] + 1 else self._split(last, word, target)
-        new = self._state(self.length[last] + 1, 0, {})
+            return target if self._length[target] == self._length[last] + 1 else self._split(last, word, target)
+        new = self._state(self._length[last] + 1, 0, {})
         at = last
-        while at >= 0 and word not in self.following[at]:
-            self.following[at][word] = new
-            at = self.link[at]
+        while at >= 0 and word not in self._following[at]:
+            self._following[at][word] = new
+            at = self._link[at]
         if at >= 0:
-            target = self.following[at][word]
-            self.link[new] = target if self.length[target] == self.length[at] + 1 else self._split(at, word, target)
+            target = self._following[at][word]
+            self._link[new] = target if self._length[target] == self._length[at] + 1 else self._split(at, word, target)
         return new
 
     def _windows(self, texts: list[tuple[str, list[int]]]) -> None:
-        """Items by the state of their windows, and for each state what its matches hold."""
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
-        self.at_window = [-1] * len(self.length)
+        """Items by the state of their windows, and the nearest state on each state's way down that ends shorter items."""
+        order = sorted(range(1, len(self._length)), key=self._length.__getitem__)
+        window_state = [-1] * len(self._length)
         for s in order:
-            if self.length[s] >= self.window:
-                self.at_window[s] = s if self.length[self.link[s]] < self.window else self.at_window[self.link[s]]
+            if self._length[s] >= self.window:
+                window_state[s] = s if self._length[self._link[s]] < self.window else window_state[self._link[s]]
         self.items: dict[int, set[str]] = {}
-        whole: dict[int, list[tuple[int, str]]] = {}
+        whole: dict[int, dict[int, list[str]]] = {}
         for item, text in texts:
             state = 0
             for k, word in enumerate(text, 1):
-                state = self.following[state][word]
+                state = self._following[state][word]
                 if k >= self.window:
-                    self.items.setdefault(self.at_window[state], set()).add(item)
+                    self.items.setdefault(window_state[state], set()).add(item)
             if len(text) < self.window:
-                whole.setdefault(state, []).append((len(text), item))
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * len(self.length)
+                whole.setdefault(state, {}).setdefault(len(text), []).append(item)
+        #: Shorter items by the state that they end in and their length, shortest first.
+        self.whole = {s: sorted(found.items()) for s, found in whole.items()}
+        ends = [0] * len(self._length)
         for s in order:
-            self.short[s] = (*whole.get(s, ()), *self.short[self.link[s]])
+            ends[s] = s if s in self.whole else ends[self._link[s]]
+        self._at_window, self._ends = window_state, ends
+
+    def _flatten(self) -> None:
+        """Most states go on with one word: two arrays hold it, a table the words of the others."""
+        one = [next(iter(f.items())) if len(f) == 1 else (-1, -1) for f in self._following]
+        self.branches = {s: f for s, f in enumerate(self._following) if len(f) > 1}
+        columns = (self._link, self._length, self._at_window, self._ends, [w for w, _ in one], [t for _, t in one])
+        self.arrays = [np.array(c, np.int32) for c in columns]
+        del self._following, self._link, self._length, self._at_window, self._ends
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_lists"}
 
     def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit stretches of words, merged, and the items whose windows occur."""
+        if not hasattr(self, "_lists"):
+            self._lists = [a.tolist() for a in self.arrays]  # plain numbers are quicker one by one
+        link, length, at_window, ends, only_word, only_next = self._lists
+        branches, whole, window = self.branches, self.whole, self.window
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
         edges = np.flatnonzero(np.diff(np.concatenate(([False], ids >= 0, [False])).astype(np.int8)))
         hits: list[tuple[int, int]] = []
         items: set[str] = set()
+        met: set = set()  # windows and shorter items that the text has had
         for begin, end in edges.reshape(-1, 2).tolist():
             if end - begin < self.least:
                 continue
             state = size = 0
             for at, word in enumerate(ids[begin:end].tolist(), begin + 1):
-                while word not in self.following[state] and state:
-                    state = self.link[state]
-                    size = self.length[state]
-                if word in self.following[state]:
-                    state = self.following[state][word]
-                    size += 1
+                while True:
+                    target = only_next[state] if only_word[state] == word else branches[state].get(word) if state in branches else None
+                    if target is not None:
+                        state = target
+                        size += 1
+                        break
+                    if not state:
+                        break
+                    state = link[state]
+                    size = length[state]
                 reach = 0
-                if size >= self.window:
-                    reach = self.window
-                    items |= self.items[self.at_window[state]]
-                for width, item in self.short[state]:
-                    if width <= size:
-                        reach = max(reach, width)
-                        items.add(item)
+                if size >= window:
+                    reach = window
+                    s = at_window[state]
+                    if s not in met:
+                        met.add(s)
+                        items |= self.items[s]
+                s = ends[state]
+                while s:
+                    for width, names in whole[s]:
+                        if width <= size:
+                            reach = max(reach, width)
+                            if (s, width) not in met:
+                                met.add((s, width))
+                                items.update(names)
+                    s = ends[link[s]]
+                    if -s in met:  # so is all that lies below
+                        reach = max(reach, whole[s][-1][0]) if s else reach
+                        break
+                    if s:
+                        met.add(-s)
                 if reach:
                     start = at - reach
                     while hits and hits[-1][1] >= start:
@@ -170,8 +208,8 @@ def _joined(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def mark_hits(documents: DataFrame, benchmark: DataFrame, text: Column, window: int = WINDOW, shard_chars: int = SHARD_CHARS, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc`` (each row as a struct), ``body`` (its text), ``n_words``, ``hits`` (merged half-open word ranges), ``items`` (sorted).
 
-    One pass over the rows for each shard of the benchmark; between passes the rows are written, so that no task
-    holds more than one automaton.
+    One pass over the rows, whatever the number of shards: a task holds a stretch of texts of ``HELD_CHARS`` characters,
+    or one longer text, and asks one shard after the other about it.
     """
     context = documents.sparkSession.sparkContext
     rows = documents.select(
@@ -181,25 +219,40 @@ def mark_hits(documents: DataFrame, benchmark: DataFrame, text: Column, window:
         F.array().cast(HITS_TYPE).alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    for k, shard in enumerate(_shards(benchmark, item_id, item_text, shard_chars)):
-        shared = context.broadcast(Automaton(shard, window))  # of at most shard_chars characters
-
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                n_words, hits, items = [], [], []
-                for t, old, known in zip(batch.column("body").to_pylist(), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                    ws = words(t)
-                    new, names = automaton.scan(ws)
-                    n_words.append(len(ws))
-                    hits.append([{"start": s, "end": e} for s, e in _joined(new + [(h["start"], h["end"]) for h in old])])
-                    items.append(sorted(names.union(known)))
-                types = batch.schema
-                columns = [batch.column("doc"), batch.column("body"), pa.array(n_words, pa.int64()), pa.array(hits, types.field("hits").type), pa.array(items, types.field("items").type)]
-                yield pa.RecordBatch.from_arrays(columns, names=types.names)
-
-        rows = (written(rows, "decontaminate") if k else rows).mapInArrow(task, rows.schema)
-    return rows
+    # each of at most shard_chars characters; executors keep them on disk
+    shards = [context.broadcast(Automaton(shard, window)) for shard in _shards(benchmark, item_id, item_text, shard_chars)]
+
+    def marked(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[([], set()) for _ in range(b.num_rows)] for b in batches]
+        split = [[words(t.as_py()) for t in b.column("body")] for b in batches]
+        for shard in shards:
+            automaton = shard.value
+            for ws, own in zip(split, found, strict=True):
+                for w, (hits, names) in zip(ws, own, strict=True):
+                    new, items = automaton.scan(w)
+                    hits += new
+                    names |= items
+            if len(shards) > 1:
+                del automaton
+                del shard._value  # the next access reads it again: one automaton is held at a time
+        for batch, ws, own in zip(batches, split, found, strict=True):
+            types = batch.schema
+            hits = [[{"start": s, "end": e} for s, e in _joined(h)] for h, _ in own]
+            columns = [batch.column("doc"), batch.column("body"), pa.array(list(map(len, ws)), pa.int64()), pa.array(hits, types.field("hits").type), pa.array([sorted(n) for _, n in own], types.field("items").type)]
+            yield pa.RecordBatch.from_arrays(columns, names=types.names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("body").nbytes
+            if size >= HELD_CHARS or len(shards) == 1:
+                yield from marked(held)
+                held, size = [], 0
+        if held:
+            yield from marked(held)
+
+    return rows.mapInArrow(task, rows.schema)
 
 
 N_HIT = "aggregate(hits, 0L, (total, h) -> total + h.end - h.start)"
