@@ -4,11 +4,12 @@ A text is cut into chunks that overlap. Each chunk is pre-tokenised by itself, i
 the boundaries of two neighbours meet in their overlap, both continue alike (the pattern looks one character ahead
 and never behind), so the chunks are stitched there, and the pieces between are what the whole text would give.
 Where neighbours share no boundary in the overlap (a pre-token longer than it), the pieces are taken from the last
-certain boundary on, over the joined chunks. Pieces are encoded by the ranks; decoding looks each id up and
+certain boundary on, over as many chunks as it takes, joined. Pieces are encoded by the ranks; decoding looks each id up and
 concatenates raw bytes.
 
-Texts of one chunk stay in their row. Only longer texts are exploded into chunks, dealt out by (text, chunk) and
-gathered again per text, as identifiers with their boundaries.
+Texts stay in their row, where chunks of ``ROW_CHUNK`` code points are stitched. Only those longer than ``CHUNK`` are
+exploded into chunks of that size, dealt out by (text, chunk) so that tasks share a long text, and gathered again per
+text, as identifiers with their boundaries.
 
 Defined cases: a null text is empty, an empty one has no tokens; strings that look like special tokens are
 ordinary text; repeated rows get the same answer; an empty table gives no rows; other columns are ignored.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Code points of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: The same within a row: a text of one chunk of the above is chunked and stitched where it is.
+ROW_CHUNK, ROW_OVERLAP = 1 << 11, 1 << 7
 #: Pieces whose identifiers a task remembers.
 REMEMBERED = 1 << 19
 #: A rank file is broadcast; one over this many bytes is refused.
@@ -103,42 +106,81 @@ def pretokenise(c: Codec, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
 LOOKAHEAD = 3
 
 
+def encode_text(c: Codec, text: str, chunk: int, overlap: int) -> bytes:
+    """A text's identifiers, by overlapping chunks if it is longer than one."""
+    if len(text) <= chunk + overlap:
+        return b"".join(c.encode(c.pieces(text)))
+    return stitch(c, *overlapping(text, chunk, overlap))
+
+
+def overlapping(text: str, chunk: int, overlap: int) -> tuple[list[int], list[str]]:
+    """Places of the chunks of a text, and the chunks."""
+    starts = [k * chunk for k in range(max(1, -(-(len(text) - overlap) // chunk)))]
+    return starts, [text[s : s + chunk + overlap] for s in starts]
+
+
 def stitch(c: Codec, starts: list[int], texts: list[str]) -> bytes:
     """Identifiers of the text that overlapping chunks cover; ``starts`` are the chunks' places in it."""
     parts = [pretokenise(c, t) for t in texts]
     return stitch_parts(c, starts, texts, parts)
 
 
+def _meeting(begin: int, text: str, ends: np.ndarray, certain: int, start: int, following: str, part: tuple[np.ndarray, np.ndarray, bytes]) -> int:
+    """The first place where both texts have a boundary for certain, -1 if there is none."""
+    stop = begin + len(text)
+    sure = ends[: np.searchsorted(ends, len(text) - LOOKAHEAD, side="right")][: max(0, len(ends) - 1)] + begin
+    sure = sure[np.searchsorted(sure, max(certain, start)) :]
+    theirs = (part[0][:-1] if start + len(following) > stop else part[0]) + start
+    if len(sure) and sure[0] == start:
+        return start
+    place = np.searchsorted(theirs, sure)
+    place[place == len(theirs)] = 0
+    met = np.flatnonzero(theirs[place] == sure) if len(theirs) else place[:0]
+    return int(sure[met[0]]) if len(met) else -1
+
+
 def stitch_parts(c: Codec, starts: list[int], texts: list[str], parts: list[tuple[np.ndarray, np.ndarray, bytes]]) -> bytes:
+    """Where neighbours share no boundary, chunks are gathered until they double what is at hand, and tokenised once
+    more together: a run of any length costs time in proportion to it."""
     out = []
     if not texts:
         return b""
     begin, text, (ends, counts, ids) = starts[0], texts[0], parts[0]
     certain = 0  # what lies before this place of the whole text is in out
+    gathered, held, stop = [], 0, begin + len(text)  # what follows the text at hand, not tokenised with it yet
 
     def take(upto: int) -> None:
-        """Appends the pieces of the current chunk between the certain place and ``upto``, both boundaries."""
+        """Appends the pieces of the text at hand between the certain place and ``upto``, both boundaries."""
         i, j = np.searchsorted(ends, [certain - begin, upto - begin], side="right")
         low = counts[i - 1] if i else 0
         high = counts[j - 1] if j else 0
         out.append(ids[4 * low : 4 * high])
 
-    for start, following, part in zip(starts[1:], texts[1:], parts[1:], strict=True):
-        stop = begin + len(text)
-        sure = ends[ends <= len(text) - LOOKAHEAD][: max(0, len(ends) - 1)] + begin
-        meet = np.intersect1d(sure[sure >= certain], np.append(part[0][:-1] if start + len(following) > stop else part[0], 0) + start)
-        if len(meet):
-            take(int(meet[0]))
-            certain = int(meet[0])
+    for k in range(1, len(texts)):
+        start, following, part = starts[k], texts[k], parts[k]
+        if not gathered:
+            place = _meeting(begin, text, ends, certain, start, following, part)
+            if place < 0:
+                # no common boundary: go on from the last sure one
+                sure = ends[: np.searchsorted(ends, len(text) - LOOKAHEAD, side="right")][: max(0, len(ends) - 1)] + begin
+                last = int(sure[-1]) if len(sure) and sure[-1] > certain else certain
+                take(last)
+                certain, text, begin = last, text[last - begin :], last
+        if gathered or place < 0:
+            gathered.append(following[max(0, stop - start) :])
+            held += len(gathered[-1])
+            stop = max(stop, start + len(following))
+            if held < len(text) and k < len(texts) - 1:
+                continue
+            text += "".join(gathered)
+            gathered, held = [], 0
+            ends, counts, ids = pretokenise(c, text)
+            place = _meeting(begin, text, ends, certain, start, following, part)
+        if place >= 0:
+            take(place)
+            certain = place
             begin, text, (ends, counts, ids) = start, following, part
-            continue
-        # no common boundary: go on from the last sure one over both chunks
-        last = int(sure[-1]) if len(sure) and sure[-1] > certain else certain
-        take(last)
-        certain = last
-        text = text[last - begin :] + following[max(0, stop - start) :]
-        begin = last
-        ends, counts, ids = pretokenise(c, text)
+            stop = max(stop, start + len(following))
     take(begin + len(text))
     return b"".join(out)
 
@@ -158,7 +200,7 @@ def _rows(c: Codec, doc_ids: list, ids: list[bytes], digests: bool) -> pa.Record
     return pa.RecordBatch.from_arrays([docs, n, pa.array(map(sha, ids), pa.string()), pa.array([sha(c.decode(x)) for x in ids], pa.string())], schema=SCHEMA)
 
 
-def encode(documents: DataFrame, ranks: Ranks, doc_id: str = "doc_id", text: str = "text", digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(documents: DataFrame, ranks: Ranks, doc_id: str = "doc_id", text: str = "text", digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, row_chunk: int = ROW_CHUNK, row_overlap: int = ROW_OVERLAP) -> DataFrame:
     """Per document ``doc_id, n_tokens, ids`` (bytes), or the digests of the identifiers and of what they decode to."""
     shared = documents.sparkSession.sparkContext.broadcast(ranks)  # at most RANKS_BYTES
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -168,7 +210,7 @@ def encode(documents: DataFrame, ranks: Ranks, doc_id: str = "doc_id", text: str
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in batches:
-            ids = [b"".join(c.encode(c.pieces(t))) for t in batch.column(1).to_pylist()]
+            ids = [encode_text(c, t, row_chunk, row_overlap) for t in batch.column(1).to_pylist()]
             yield _rows(c, batch.column(0).to_pylist(), ids, digests)
 
     def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
