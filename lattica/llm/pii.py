@@ -6,8 +6,9 @@ back up behind an earlier match of their kind and use possessive loops, so a tex
 length, whatever it holds.
 
 Kinds, in output order: ``email ip card phone`` are the base, leftmost and without overlaps per kind;
-``account`` (IBAN by its check digits), ``identity`` (three-two-four digit numbers), ``login`` (credentials in a
-URL's authority) and ``address`` (house number, capitalised words, street word) are added.
+``account`` (IBAN by its check digits, in one or in groups of four; what a word for an account announces), ``identity``
+(three-two-four digit numbers; what a word for a document or an identity announces), ``login`` (credentials in a URL's
+authority) and ``address`` (house number, capitalised words, street word) are added.
 
 Defined cases: a null or empty text has no spans; spans of different kinds may overlap; a repeated row gets the
 same answer each time; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -34,16 +35,26 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 IDENTITY = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOGIN = re.compile(r"[^\s/@:\"'<>]{1,64}:[^\s/@\"'<>]{1,128}@[A-Za-z0-9.-]{1,253}")
 ADDRESS = re.compile(r"(?<![0-9A-Za-z.,-])[0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]{1,20}){1,3}$")
 # Words that end a street line.
-STREET_WORDS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive")
+STREET_WORDS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Way", "Place", "Square", "Terrace", "Close", "St.", "Ave.", "Rd.", "Blvd.")
+# Words that announce an account or an identity, in lower case.
+ACCOUNT_CUES = ("iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta", "routing")
+IDENTITY_CUES = ("ssn", "social security", "passport", "tax id", "national id", "driver license", "driving licence", "reisepass", "ausweis", "passeport", "pasaporte", "dni", "nif")
+#: From a cue on: a word for number, a mark, and what it announces.
+CUED = re.compile(r"(?i:(?: (?:number|num|no|nr|id|code))?)[ .:#=-]{1,4}([A-Z]{0,3}[0-9](?:[ -]?[A-Z0-9]){4,29})(?![A-Za-z0-9])", re.ASCII)
 #: An address begins at most this far before its street word: its own longest form.
 ADDRESS_REACH = 5 + 1 + 3 * 22
 
-AT, PLUS, SCHEME, DIGIT, STREET = range(5)
+AT, PLUS, SCHEME, DIGIT, STREET, ACCOUNT, IDENTIFIER = range(7)
+
+
+def _cued(words: tuple[str, ...], kind: int) -> list[tuple[str, int]]:
+    """Cue words as they are written: in lower case, with a capital, in capitals."""
+    return [(form, kind) for w in words for form in dict.fromkeys((w, w.capitalize(), w.title(), w.upper()))]
 
 
 @lru_cache(1)
@@ -51,7 +62,7 @@ def anchors():
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for word, kind in [("@", AT), ("+", PLUS), ("://", SCHEME), *((d, DIGIT) for d in "0123456789"), *((" " + w, STREET) for w in STREET_WORDS)]:
+    for word, kind in [("@", AT), ("+", PLUS), ("://", SCHEME), *((d, DIGIT) for d in "0123456789"), *((" " + w, STREET) for w in STREET_WORDS), *_cued(ACCOUNT_CUES, ACCOUNT), *_cued(IDENTITY_CUES, IDENTIFIER)]:
         automaton.add_word(word, (kind, len(word)))
     automaton.make_automaton()
     return automaton
@@ -63,7 +74,19 @@ def luhn(digits: str) -> bool:
 
 
 def _iban_holds(text: str) -> bool:
-    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+    text = text.replace(" ", "")
+    return len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def _iban_end(text: str, start: int) -> int:
+    """Where the longest valid account number ends that is the text or its first groups, 0 if none is."""
+    while len(text) >= 15:
+        if _iban_holds(text):
+            return start + len(text)
+        if " " not in text:
+            return 0
+        text = text[: text.rindex(" ")]
+    return 0
 
 
 def _digits(text: str) -> str:
@@ -97,9 +120,10 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 done["identity"] = m.end()
                 found["identity"].append(m.span())
             if at - 2 >= done["account"] and not text[at - 3 : at - 2].isalnum() and (m := IBAN.match(text, at - 2)):
-                done["account"] = m.end()
-                if _iban_holds(m[0]):
-                    found["account"].append(m.span())
+                end = _iban_end(m[0], at - 2)
+                if end:
+                    done["account"] = end
+                    found["account"].append((at - 2, end))
         elif kind == AT:
             if at < done["email"]:
                 continue
@@ -118,6 +142,12 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             if at >= done["login"] and (m := LOGIN.match(text, last + 1)):
                 done["login"] = m.end()
                 found["login"].append(m.span())
+        elif kind in (ACCOUNT, IDENTIFIER):
+            name = "account" if kind == ACCOUNT else "identity"
+            if at >= done[name] and not (at and text[at - 1].isalnum()) and (m := CUED.match(text, last + 1)):
+                if sum(c.isdigit() for c in m[1]) >= 5:
+                    done[name] = m.end()
+                    found[name].append(m.span(1))
         elif not text[last + 1 : last + 2].isalnum():
             begin = max(done["address"], at - ADDRESS_REACH)
             if m := ADDRESS.search(text[max(0, begin - 1) : at]):
