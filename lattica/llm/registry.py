@@ -36,6 +36,41 @@ def op4_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.join_shingles(table(spark, sf_dir, "documents"))
 
 
+UPPER, LOWER = licenses.UPPER, licenses.LOWER
+
+OP4_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), elements AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets
+), pairs AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a AS id, a AS other FROM pairs UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON p.a = r.other
+), component AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id FROM sets s LEFT JOIN component c ON c.id = s.doc_id"""
+
+
+OP5_SQL = f"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM found, (SELECT DISTINCT k FROM windows))
+), hits AS MATERIALIZED (SELECT DISTINCT doc_id, k, i, item_id FROM places JOIN windows USING (k, s)
+), covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM hits)) GROUP BY doc_id
+), named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT f.doc_id, CAST(len(f.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(f.w) AS contaminated
+FROM found f LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -122,4 +157,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql()}
+    return {"op4_shingles": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql()}

@@ -78,6 +78,15 @@ def test_pii_query(spark):
     assert masked.columns == documents(spark, EDGES).columns and masked.where("doc_id IS NULL").first()["text"] == "no id <EMAIL>"
 
 
+def test_pii_cues():
+    text = "Kontonummer: 4512 8890 77, Passport No. C01X00T478 and iban DE89 3704 0044 0532 0130 00 now; account of 12 people; 5 Old Mill Court"
+    found = pii.find_spans(text)
+    cut = {k: [text[s:e] for s, e in v] for k, v in found.items()}
+    assert cut["account"] == ["4512 8890 77", "DE89 3704 0044 0532 0130 00"] and cut["identity"] == ["C01X00T478"] and cut["address"] == ["5 Old Mill Court"]
+    wrong = "DE89 3704 0044 0532 0130 01 is none"
+    assert pii.find_spans(wrong)["account"] == []
+
+
 # BPE
 
 
@@ -107,6 +116,21 @@ def test_bpe_stitched_chunks_equal_the_whole(ranks, plain):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode_ordinary(text), text
 
 
+def test_bpe_gathers_long_runs_and_texts_in_rows(ranks, plain):
+    rng, codec = random.Random(12), bpe.codec(ranks)
+    for n in range(300):
+        text = "".join(rng.choice(["ab ", "x" * rng.randint(1, 90), " " * rng.randint(1, 60), "1,5 ", "\n"]) for _ in range(rng.randint(0, 40)))
+        got = bpe.encode_text(codec, text, rng.choice([4, 9, 32]), rng.choice([3, 8]))
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode_ordinary(text), text
+    calls = []
+    own, bpe.pretokenise = bpe.pretokenise, lambda c, t: calls.append(len(t)) or own(c, t)
+    try:
+        bpe.encode_text(codec, "q" * 60_000, 500, 50)
+    finally:
+        bpe.pretokenise = own
+    assert sum(calls) < 6 * 60_000  # each character a few times, not once a chunk
+
+
 def test_bpe_query_and_round_trip(spark, ranks, plain):
     texts = [*EDGES, (7, "<|endoftext|> is text"), (8, "x" * 3_000 + " y" * 500), (9, " " * 5_000), (10, "don't we'll " * 700)]
     encoded = bpe.encode(documents(spark, texts), ranks, chunk=1000, overlap=50)
@@ -176,6 +200,49 @@ def test_classifiers_on_edges(spark, module):
         assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def test_a_margin_is_the_gapped_kernel_with_the_weights():
+    from itertools import combinations
+
+    def kernel_row(window):
+        marked = [toxicity._START, *(int(c) for c in toxicity.codes([window])[0][1 : len(window) + 1]), toxicity._END]
+        total = Counter()
+        for size, span in ((3, 5), (4, 6)):
+            for places in combinations(range(len(marked)), size):
+                if places[-1] - places[0] < span:
+                    number = 0
+                    for p in places:
+                        number = number * toxicity.ALPHABET + marked[p]
+                    total[number + (toxicity.ALPHABET**3 if size == 4 else 0)] += toxicity.DECAY ** (places[-1] - places[0] + 1)
+        return total
+
+    rng = np.random.default_rng(6)
+    rows = {w: kernel_row(w) for w in ("scoundrel", "scoxundrel", "idiot", "ab", "a")}
+    numbers = np.array(sorted(set().union(*rows.values())))
+    weights = rng.normal(size=len(numbers)).astype(np.float32)
+    machine = toxicity.Machine(numbers, weights, 0.25, np.zeros(toxicity.SLOTS + 3))
+    place = dict(zip(numbers.tolist(), weights.tolist()))
+    for w, row in rows.items():
+        size = toxicity.sizes(toxicity.codes([w]))[0]
+        assert machine.margins([w])[0] == pytest.approx(sum(v * place[k] for k, v in row.items()) / size + 0.25, abs=1e-5)
+    space = toxicity._Landmarks(["scoundrel", "idiot"])
+    cross = sum(v * rows["scoundrel"][k] for k, v in rows["scoxundrel"].items())
+    norm = toxicity.sizes(toxicity.codes(["scoundrel"]))[0] * toxicity.sizes(toxicity.codes(["scoxundrel"]))[0]
+    assert space.kernel(["scoxundrel"])[0, 0] == pytest.approx(cross / norm)
+
+
+def test_quality_statistics_by_hand():
+    got = quality.statistics(b"Go go go!\nA-1 b b\n\nGo go go!")
+    text = "Go go go!\nA-1 b b\n\nGo go go!"
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    share = lambda pick: sum(map(pick, text)) / len(text)
+    assert got[0] == pytest.approx(share(str.isupper)) and got[1] == pytest.approx(share(str.isalpha)) and got[3] == pytest.approx(share(str.isdigit))
+    assert got[11:16] == pytest.approx([math.log1p(len(text)), math.log1p(len(words)), np.mean([len(w) for w in words]), np.std([len(w) for w in words]), max(map(len, words))])
+    assert got[16:19] == pytest.approx([len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:])) / len(words), sum(w.isalpha() for w in set(words)) / len(set(words))])
+    assert got[19:22] == pytest.approx([math.log1p(len(lines)), len(set(lines)) / len(lines), len(text) / len(lines)])
+    counts = Counter(text)
+    assert got[22] == pytest.approx(-sum(c / len(text) * math.log2(c / len(text)) for c in counts.values()))
+
+
 def test_trees_flattened_descend_as_grown():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(800, 5))
@@ -249,6 +316,41 @@ def test_shingle_tiles_meet_wherever_sets_link():
             assert np.intersect1d(shingles.tile_names(x, 85), shingles.tile_names(y, 85)).size
 
 
+def test_large_sets_share_as_many_tiles_as_promised():
+    rng = np.random.default_rng(13)
+    linked = 0
+    for _ in range(60):
+        n = int(rng.integers(1_000, 5_000))
+        x = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+        kind = rng.integers(0, 3)
+        gone, new = [(0, int(0.17 * n)), (int(0.149 * n), 0), (int(0.08 * n), int(0.08 * n))][kind]
+        y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(1, 2**63, new).astype(np.uint64)]))
+        if shingles.links(x, y, 85):
+            linked += 1
+            assert np.intersect1d(shingles.tile_names(x, 85), shingles.tile_names(y, 85)).size >= min(shingles.shared(len(x)), shingles.shared(len(y)))
+    assert linked > 40
+
+
+def test_a_passage_that_many_share_hides_no_link(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(120)]
+    rows = []
+    for k in range(90):
+        own = [word() for _ in range(rng.choice([0, 2, 15, 60, 150]))]
+        rows.append((k, " ".join(passage + own)))
+        if k % 3 == 0:
+            near = passage + own
+            near[rng.randrange(len(near))] = word()
+            rows.append((500 + k, " ".join(near)))
+    monkeypatch.setattr(shingles, "POPULAR", 3)  # most tiles of the passage are popular then
+    monkeypatch.setattr(shingles, "STRETCH", 2_000)
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(shingles, "BROADCAST_SHINGLES", few)
+        got = collected(shingles.join_shingles(documents(spark, rows)), "doc_id", "n_shingles", "component_id")
+        assert got == brute_join(rows, 4, 85)
+
+
 def test_met_keeps_tiles_across_batches():
     import pyarrow as pa
 
@@ -557,3 +659,138 @@ def test_pipeline_stages_take_effect(spark):
     assert not any(v for _, t in texts for v in brute_pii(t).values())
     last = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in last.collect()} == {i for i, _ in texts}
+
+
+# Licences in files
+
+
+def wrapped(text, width, prefix):
+    import textwrap
+
+    return "\n".join(prefix + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""])
+
+
+NOTICES = {
+    "MIT": [2, 3, 4],
+    "Apache-2.0": [5, 6, 7],
+    "GPL-3.0": [9, 10],
+    "GPL-2.0-or-later": [24, 11, 10],
+    "BSD-3-Clause": [16, 17, 18, 19],
+    "ISC": [22],
+    "Zlib": [32, 33],
+    "Unlicense": [23],
+}
+
+
+def test_notices_are_found_wrapped_and_commented(spark):
+    texts, expected = [], {}
+    for k, (name, ids) in enumerate(NOTICES.items()):
+        sentences = [licenses.SENTENCES[i][-1 if i == 5 else 0] if i != 5 else licenses.SENTENCES[5][1] for i in ids]
+        whole = ".\n\n".join(sentences) + "."
+        run = ". ".join(sentences) + "."
+        for j, text in enumerate([whole, run, wrapped(whole, 72, ""), wrapped(run, 72, ""), wrapped(whole, 60, " * "), wrapped(run, 60, "# "), wrapped(run, 60, "// ").replace("\n", "\r\n")]):
+            doc = 100 * k + j
+            texts.append((doc, f"Some words before.\n\n{text}\n\nand after"))
+            expected[doc] = (name, ",".join(map(str, ids)))
+    texts += [(9001, "// SPDX-License-Identifier: MPL-2.0\nint x;"), (9002, "prose line\nLicensed under CC BY 4.0\nmore prose"), (9003, "The MIT Licence is not named here")]
+    expected |= {9001: ("MPL-2.0", "20"), 9002: ("CC-BY-4.0", "13"), 9003: ("", "")}
+    got = {r["doc_id"]: (r["licenses"], r["sentence_ids"]) for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    assert got == expected
+
+
+def brute_licenses(text):
+    """The same scan, character by character."""
+    known, pieces, piece, k = licenses.sentence_ids(), [], "", 0
+    while k < len(text):
+        ends = k
+        while ends < len(text) and text[ends] in ".!?:;":
+            ends += 1
+        closed = ends
+        while ends > k and closed < len(text) and text[closed] in "\"')]":
+            closed += 1
+        if ends > k and (closed == len(text) or text[closed] in " \t\n\r\f"):
+            pieces.append(piece)
+            piece, k = "", closed + 1
+            continue
+        if text[k] == "\n":
+            far = k + 1
+            last = None
+            while far < len(text) and not (text[far].isascii() and text[far].isalnum()):
+                last = far if text[far] == "\n" else last
+                far += 1
+            if last is not None:
+                pieces.append(piece)
+                piece, k = "", last + 1
+                continue
+        piece += text[k]
+        k += 1
+    ids = []
+    for s in [*pieces, piece]:
+        bare = ["".join(c for c in line.lower() if c.isascii() and c.isalnum()) for line in s.split("\n")]
+        whole = "".join(bare)
+        ids += [known[whole]] if whole in known else [known[b] for b in bare if b in known] if len(bare) > 1 else []
+    return ids
+
+
+def test_licences_equal_brute_force(spark):
+    rng = random.Random(15)
+    parts = [s for group in licenses.SENTENCES.values() for s in group if not s.startswith(licenses.SPDX)]
+    texts = [(0, None), (1, ""), (2, "\n\n"), (3, "word " * 30_000 + "\nMIT License\n")]
+    for i in range(4, 240):
+        text = "".join(rng.choice([rng.choice(parts), ". ", ".\n", "\n", "\n\n", "\n * ", "\n#\n", "; ", ": ", " é ", "x", '."\n', " "]) for _ in range(rng.randint(0, 14)))
+        texts.append((i, rng.choice([text, wrapped(text, 40, rng.choice(["", "# ", " * "]))])))
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    assert got == {i: ",".join(map(str, brute_licenses(t or ""))) for i, t in texts}
+    assert licenses.scan_licenses(documents(spark, texts).where("false")).count() == 0
+
+
+def test_ten_shards_take_one_pass(spark):
+    rng = random.Random(16)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 13, 40])))) for k in range(60)]
+    texts = [(i, " ".join([rng.choice(vocabulary) for _ in range(50)] + [rng.choice(items)[1]] * (i % 2))) for i in range(80)]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.contamination_report(docs, bench)
+    most = max(len(t) for _, t in items)
+    many = decontaminate.contamination_report(docs, bench, shard_chars=sum(len(t) for _, t in items) // 10)
+    assert sum(len(t) for _, t in items) // 10 >= most
+    assert len(list(decontaminate._shards(bench, "item_id", "text", sum(len(t) for _, t in items) // 10))) >= 10
+    assert collected(one, *one.columns) == collected(many, *many.columns)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_vector_cells_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    centers = rng.normal(size=(12, 24))
+    x = np.concatenate([centers[rng.integers(0, 12, 700)] + 0.35 * rng.normal(size=(700, 24)), rng.normal(size=(100, 24))])
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 16)
+    monkeypatch.setattr(vectors, "MOST_ROWS", 8)
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.link_vectors(rows).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.array([min(root[i], *(root[j] for j in np.flatnonzero(linked[i])), root[i]) for i in range(len(x))])
+        if (new == root).all():
+            break
+        root = new
+    assert got == {i: (int(linked[i].sum()), int(root[i])) for i in range(len(x))}
+
+
+# SQL of the joins
+
+
+@pytest.mark.parametrize("name", ["op4_shingles", "op5_decontaminate", "op10_licenses"])
+def test_against_duckdb(spark, name):
+    import duckdb
+
+    sf_dir, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    result = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    expected = sorted(map(str, result.fetchall()))
+    got = registry.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(names) and sorted(str(tuple(r[n] for n in names)) for r in got.collect()) == expected
