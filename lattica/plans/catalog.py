@@ -121,9 +121,9 @@ SPEARMAN = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY uid, asset O
   SELECT l.uid, l.t, l.asset AS a, m.asset AS b, corr(l.k, m.k) AS c FROM ranked l JOIN ranked m ON l.uid = m.uid AND l.t = m.t AND l.s = m.s AND l.asset < m.asset GROUP BY 1, 2, 3, 4)"""
 
 
-@query(o.sql(*o.ONE, SPEARMAN, f"SELECT uid, t, a, b, round({o.CORR.format(c='c')}, 6) AS c FROM spear"))
+@query(o.sql(*o.ONE, SPEARMAN, f"SELECT uid, t, a, b, round(round({o.CORR.format(c='c')}, 9) + 1e-11, 6) AS c FROM spear"))
 def rolling_spearman_edges(spark, sf_dir):
-    return coupling.rolling_spearman(one_returns(spark, sf_dir)).select("uid", "t", "a", "b", *r6("c"))
+    return coupling.rolling_spearman(one_returns(spark, sf_dir)).select("uid", "t", "a", "b", F.round(F.round("c", 9) + 1e-11, 6).alias("c"))
 
 
 @query(o.sql(*o.ALL, o.EDGES, o.SHRUNK, "SELECT uid, t, a, b, round(c, 6) AS c, round(d, 6) AS d, round(greatest(least(1 - c, 2.0::DOUBLE), 0.0::DOUBLE), 6) AS d_plain FROM dist"))

@@ -60,10 +60,10 @@ def hazards(spark, sf_dir):
     return remembered(spark, ("hazards", sf_dir, STATE, HAZARD), sf_dir, ("orders", "customer", "nation", "region"), build)
 
 
-@query(o.sql(*SPENT, "SELECT uid, t, round(capacity, 6) AS capacity, round(capacity_share, 6) AS capacity_share, round(fragility, 6) AS fragility, round(depletion_mean, 6) + 0.0::DOUBLE AS depletion_mean FROM capacities", recursive=True))
+@query(o.sql(*SPENT, "SELECT uid, t, round(capacity, 6) + 0.0::DOUBLE AS capacity, round(capacity_share, 6) + 0.0::DOUBLE AS capacity_share, round(fragility, 6) AS fragility, round(depletion_mean, 6) + 0.0::DOUBLE AS depletion_mean FROM capacities", recursive=True))
 def capacity_fragility(spark, sf_dir):
     found = hazard.capacity(starred(spark, sf_dir))
-    return found.select("uid", "t", *r6("capacity", "capacity_share", "fragility"), (F.round("depletion_mean", 6) + 0.0).alias("depletion_mean"))
+    return found.select("uid", "t", *((F.round(c, 6) + 0.0).alias(c) for c in ("capacity", "capacity_share")), *r6("fragility"), (F.round("depletion_mean", 6) + 0.0).alias("depletion_mean"))
 
 
 @query(o.sql(*SPENT, """SELECT uid, t, oh < 1 AND capacity_share < 0.6 AND coalesce(max(CAST(regime = 'rigid' AS INTEGER)) OVER (PARTITION BY uid ORDER BY t ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING), 0) = 1 AS false_recovery FROM capacities""", recursive=True))
