@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from lattica.plans import oracle as o
 from lattica.plans.catalog import BASE, CANDIDATES, SCALED, SCORES, SQL, _oh_state, _windows, all_returns, query, r6
 from lattica.plans.evaluation import ATTENTION, activation_sql, matrices
 from lattica.plans.monitoring import RISK, SPIKES, REPORT, hazards, lasting_sql
-from lattica.runtime import table
-from lattica.sources import panels
+from lattica.runtime import shared_dir, table
+from lattica.sources import formats, panels
 
 # Attractor ---------------------------------------------------------------------------------------------------------
 
@@ -338,3 +340,29 @@ def growing_graph(spark, sf_dir):
     """Degrees of a tree that grows by preference."""
     degrees = studies.growing_graph(spark, 500).select(F.explode(F.array("u", "v")).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("degree"))
     return degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+# Sources and sinks -----------------------------------------------------------------------------------------------------
+
+
+@query(o.sql(o.MONTH_NATION, "SELECT uid, t, asset, x FROM panel"))
+def panel_incremental(spark, sf_dir):
+    """The monthly panel kept in two runs: the first years, then what is new in all."""
+    panel = panels.trade_panel(spark, sf_dir, "month", asset="n_name").select("uid", "t", "asset", "x")
+    place = f"{shared_dir(spark)}/lattica/panel-{uuid.uuid4().hex}"
+    formats.append_new(panel.where("t < DATE '1997-01-01'"), place)
+    return formats.append_new(panel, place)
+
+
+@query(o.sql(*o.WINDOWS, "SELECT uid, t, round(oh, 6) AS oh, 0.0::DOUBLE AS scr, CAST(NULL AS VARCHAR) AS label FROM ohs"))
+def bundle_filled(spark, sf_dir):
+    """A bundle by universe, read in a schema with a number and a label that it was written without."""
+    place = f"{shared_dir(spark)}/lattica/bundle-{uuid.uuid4().hex}"
+    formats.write_bundle(_oh_state(spark, sf_dir).select("uid", "t", *r6("oh")), place)
+    return formats.read_bundle(spark, place, "uid string, t date, oh double, scr double, label string")
+
+
+@query(o.sql("SELECT event_id, CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE value END AS value, 0.0::DOUBLE AS word FROM events"))
+def coerced_numbers(spark, sf_dir):
+    odd = F.when(F.col("event_type") == "view", F.lit(float("inf"))).otherwise(F.col("value"))
+    return formats.coerced(table(spark, sf_dir, "events").select("event_id", odd.alias("value"), F.col("event_type").alias("word")), ["value", "word"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -65,3 +66,71 @@ def changed(before: DataFrame, now: DataFrame) -> DataFrame:
     """Files whose digest differs, or that one side lacks."""
     both = before.select("path", F.col("digest").alias("before")).join(now.select("path", F.col("digest").alias("now")), "path", "full")
     return both.where(~F.col("before").eqNullSafe(F.col("now")))
+
+
+def read_required_csv(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
+    """CSV files of a stated schema; a required column that the header lacks is an error, not a column of nulls."""
+    header = spark.read.option("header", True).csv(path).columns
+    lacking = [c for c in required if c not in header]
+    if lacking:
+        raise ValueError(f"{path} lacks {', '.join(lacking)}")
+    types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(*[F.col(f"`{c}`").try_cast(t).alias(c) if c in header else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+
+
+def coerced(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as numbers; what is none, or not finite, becomes zero."""
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    good = lambda c: number(c).isNotNull() & ~F.isnan(number(c)) & (F.abs(number(c)) < float("inf"))
+    return frame.withColumns({c: F.when(good(c), number(c)).otherwise(0.0) for c in columns})
+
+
+def append_new(panel: DataFrame, path: str) -> DataFrame:
+    """Appends those rows of a panel ``uid, t, asset, x`` whose date lies behind the last kept one of their asset.
+
+    Returns what is kept now. The last dates, a row an asset, decide; kept rows are never rewritten.
+    """
+    spark = panel.sparkSession
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        last = spark.read.schema(panel.schema).parquet(path).groupBy("uid", "asset").agg(F.max("t").alias("_last"))
+        panel = panel.join(last, ["uid", "asset"], "left").where("_last IS NULL OR t > _last").select(*panel.columns)
+    panel.write.mode("append").parquet(path)
+    return spark.read.schema(panel.schema).parquet(path)
+
+
+def write_bundle(frame: DataFrame, path: str) -> None:
+    """Rows by universe, one folder each, which a reader of few universes prunes."""
+    frame.write.mode("overwrite").partitionBy("uid").parquet(path)
+
+
+def read_bundle(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A bundle's rows in a stated schema: numbers that it has no column for are zero, other columns null."""
+    have, wanted = spark.read.parquet(path), spark.createDataFrame([], schema).schema
+    numeric = ("byte", "short", "integer", "long", "float", "double")
+    filled = lambda f: F.lit(0).cast(f.dataType) if f.dataType.typeName() in numeric else F.lit(None).cast(f.dataType)
+    return have.select(*[(F.col(f.name).cast(f.dataType) if f.name in have.columns else filled(f)).alias(f.name) for f in wanted])
+
+
+def archive_snapshot(frame: DataFrame, path: str, run_date: str) -> None:
+    """Puts a day's rows in the place of that day's, and leaves all other days as they are."""
+    dated = frame.withColumn("run_date", F.lit(run_date).cast("date"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+
+
+def new_alerts(before: DataFrame, now: DataFrame, run_date: str) -> DataFrame:
+    """Rows for an alert log: ``run_date, uid, before, after`` where a level ``uid, alert`` changed or is new."""
+    both = now.select("uid", F.col("alert").alias("after")).join(before.select("uid", F.col("alert").alias("before")), "uid", "left")
+    return both.where(~F.col("after").eqNullSafe(F.col("before"))).select(F.lit(run_date).cast("date").alias("run_date"), "uid", "before", "after")
+
+
+def save_arrays(spark: SparkSession, path: str, arrays: dict[str, np.ndarray]) -> None:
+    """A model's arrays as Parquet: one row each, with type and shape."""
+    rows = [(name, str(a.dtype), list(a.shape), np.ascontiguousarray(a).tobytes()) for name, a in arrays.items()]
+    spark.createDataFrame(rows, "name string, dtype string, shape array<long>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.frombuffer(bytes(r["data"]), r["dtype"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}

@@ -324,6 +324,29 @@ def test_formats(spark, tmp_path):
     assert formats.changed(before, formats.manifest(spark, f"file://{tmp_path}/e.txt")).count() == 1
 
 
+def test_kept_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,x,extra\n2024-01-01,1.5,q\n2024-01-02,oops,r\n")
+    got = formats.read_required_csv(spark, f"file://{tmp_path}/a.csv", "date date, x double, y double", ["date", "x"]).orderBy("date").collect()
+    assert [(r["x"], r["y"]) for r in got] == [(1.5, None), (None, None)]
+    with pytest.raises(ValueError, match="y"):
+        formats.read_required_csv(spark, f"file://{tmp_path}/a.csv", "date date, y double", ["date", "y"])
+    panel = spark.createDataFrame([("u", day(k), a, float(k)) for k in range(6) for a in "ab"], "uid string, t date, asset string, x double")
+    place = f"file://{tmp_path}/panel"
+    assert formats.append_new(panel.where(F.col("t") < day(3)), place).count() == 6
+    assert formats.append_new(panel.withColumn("x", F.col("x") + 100), place).where("x >= 100").count() == 6  # kept rows stay
+    place = f"file://{tmp_path}/days"
+    for date, n in (("2024-01-01", 3), ("2024-01-02", 4), ("2024-01-01", 5)):
+        formats.archive_snapshot(spark.range(n), place, date)
+    assert {str(r["run_date"]): r["count"] for r in spark.read.parquet(place).groupBy("run_date").count().collect()} == {"2024-01-01": 5, "2024-01-02": 4}
+    levels = lambda rows: spark.createDataFrame(rows, "uid string, alert string")
+    changed = formats.new_alerts(levels([("a", "WATCH"), ("b", "NOMINAL")]), levels([("a", "WARNING"), ("b", "NOMINAL"), ("c", "WATCH")]), "2024-01-02")
+    assert {(r["uid"], r["before"], r["after"]) for r in changed.collect()} == {("a", "WATCH", "WARNING"), ("c", None, "WATCH")}
+    model = {"weights": np.arange(6.0).reshape(2, 3), "numbers": np.array([1, 2], np.int64)}
+    formats.save_arrays(spark, f"file://{tmp_path}/model", model)
+    back = formats.load_arrays(spark, f"file://{tmp_path}/model")
+    assert set(back) == set(model) and all(np.array_equal(back[k], v) and back[k].dtype == v.dtype for k, v in model.items())
+
+
 def test_registered_functions(spark):
     register(spark)
     row = spark.sql("SELECT eigenvalues(array(array(1D, 0.5D), array(0.5D, 1D))) AS e").first()
