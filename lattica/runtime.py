@@ -73,7 +73,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # a compressor without a native context per page and column: those pile up in long-lived executors
+    df.write.option("compression", "snappy").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
