@@ -58,6 +58,8 @@ WORDS = 32
 BROADCAST_IDS = 1 << 21
 #: Shingles that are broadcast with their counts; more than these go by exchange.
 BROADCAST_SHINGLES = 1 << 20
+#: Rarest shingles that a set's rows carry, so that a pair is met once; rows of larger sets would grow with the square.
+LISTED = 256
 #: Words whose hashes a task remembers.
 REMEMBERED = 1 << 18
 
@@ -328,12 +330,23 @@ def _linked(pairs: DataFrame, documents: DataFrame, size: int, percent: int, doc
     return found
 
 
-def _across(members: DataFrame, tile: list[str], signatures: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``x, y`` of a tile's members in different components that sizes and bitmap bits let link."""
+def _across(members: DataFrame, tile: str, signatures: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``x, y`` of a tile's members in different components that sizes and bitmap bits let link.
+
+    Members may have ``tiles``, all that they enter of their first elements in one order for all. Then a pair is met in
+    the first tile that both enter, and in no other. What two sets have in common lies among both's first elements or
+    behind those of the one whose end sooner, so the number of tiles that they share bounds their overlap as well.
+    """
     signed = members.join(signatures, "doc")
-    x, y = (signed.select(*tile, *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "component", "n", *BITS))) for name in "xy")
-    across = x.join(y, tile).where((F.col("x_component") < F.col("y_component")) & _may_link("x", "y", percent))
-    return across.select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
+    more = ["tiles"] if "tiles" in members.columns else []
+    x, y = (signed.select(tile, *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "component", "n", *BITS, *more))) for name in "xy")
+    wanted = (F.col("x_component") < F.col("y_component")) & _may_link("x", "y", percent)
+    if more:
+        behind = ", ".join(f"({percent} * {name}_n + 99) div 100 - 1" for name in "xy")
+        first = f"element_at(array_intersect(x_tiles, y_tiles), 1) = {tile}"
+        enough = f"{100 + percent} * (size(array_intersect(x_tiles, y_tiles)) + greatest({behind})) >= {percent} * (x_n + y_n)"
+        wanted = wanted & F.expr(f"x_tiles IS NULL OR y_tiles IS NULL OR ({first} AND {enough})")
+    return x.join(y, tile).where(wanted).select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -377,9 +390,10 @@ def _by_rarest(documents: DataFrame, unsafe: DataFrame, signatures: DataFrame, s
                     if left > 0:
                         own = a[common]
                         own = own[np.lexsort((own, times[place[common]]))][:left]
-                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), doc))], names=["shingle", "doc"])
+                        tiles = pa.array([own if len(own) <= LISTED else None] * len(own), pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), doc)), tiles], names=["shingle", "doc", "tiles"])
 
-        first = chosen.mapInArrow(rarest, "shingle long, doc long").distinct()
+        first = chosen.mapInArrow(rarest, "shingle long, doc long, tiles array<long>").dropDuplicates(["shingle", "doc"])
     else:
         whole = Window.partitionBy("doc")
         ranked = rows.distinct().join(counts, "shingle").select(
@@ -387,7 +401,7 @@ def _by_rarest(documents: DataFrame, unsafe: DataFrame, signatures: DataFrame, s
         )
         most = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") + 1
         first = ranked.where(F.col("rank") <= most - (F.col("n") - F.col("common"))).select("shingle", "doc")
-    pairs = written(_across(first.join(unsafe, "doc"), ["shingle"], signatures, percent), "popular-pairs")
+    pairs = written(_across(first.join(unsafe, "doc"), "shingle", signatures, percent), "popular-pairs")
     drop_written(counts)
     return pairs
 
@@ -434,7 +448,7 @@ def join_shingles(documents: DataFrame, size: int = SHINGLE, percent: int = PERC
     popular = torn.where(F.col("size") - F.col("main") > POPULAR).select("tile")
     # one tile of each membership
     quiet = torn.where(F.col("size") - F.col("main") <= POPULAR).groupBy("size", "mark", "rest").agg(F.min("tile").alias("tile")).select("tile")
-    pairs = written(_across(placed.join(quiet, "tile"), ["tile"], signatures, percent), "cross-pairs")
+    pairs = written(_across(placed.join(quiet, "tile"), "tile", signatures, percent), "cross-pairs")
     often = placed.join(popular, "tile").groupBy("doc", "component").agg(F.count(F.lit(1)).alias("popular"))
     unsafe = often.join(signatures.select("doc", "n"), "doc").where(F.col("popular") >= 1 + F.floor(F.col("n") / SPARE)).select("doc", "component")
     unsafe = written(unsafe, "unsafe-sets")
