@@ -763,7 +763,7 @@ def test_vector_cells_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(17)
     centers = rng.normal(size=(12, 24))
     x = np.concatenate([centers[rng.integers(0, 12, 700)] + 0.35 * rng.normal(size=(700, 24)), rng.normal(size=(100, 24))])
-    monkeypatch.setattr(vectors, "LEAF_ROWS", 16)
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 8)
     monkeypatch.setattr(vectors, "MOST_ROWS", 8)
     rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.link_vectors(rows).collect()}
