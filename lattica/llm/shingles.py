@@ -18,7 +18,10 @@ A document's set holds the 64-bit hashes of its distinct runs of ``SHINGLE`` wor
   between components is missed, while a large group of near copies costs its number of members, not of pairs.
 * Tiles with over ``POPULAR`` members besides their largest component are not compared that way: linked sets share L
   tiles, so a pair is met elsewhere unless both of its sets have L popular tiles. Such sets are compared by single
-  shingles: the rarest of them that linked sets cannot all differ in, by exact counts over these sets.
+  shingles: the rarest of them that linked sets cannot all differ in, by exact counts over these sets. Before that,
+  the members of each such tile meet its hub, the one whose shingles most others have: near copies differ less from
+  the least changed of them than from one another, so what links there joins most of a group to one component, at
+  the cost of its number of members. Which set is the hub decides nothing; all pairs across components follow.
 
 Equal sets are joined to their smallest document first, and that one alone enters tiles.
 
@@ -354,11 +357,11 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _by_rarest(documents: DataFrame, unsafe: DataFrame, signatures: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Pairs of the sets ``doc, component`` by their rarest shingles: as many as linked sets cannot all differ in.
+def _by_rarest(documents: DataFrame, unsafe: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The written ``shingle, doc, common, tiles`` of the sets' rarest shingles: as many as linked sets cannot all differ in.
 
     Shingles are counted over these sets. Those that several have are broadcast if they are counted to be few; else
-    they meet the sets by exchange.
+    they meet the sets by exchange. ``common`` is the mean logarithm of the counts of a set's shingles.
     """
     chosen = _chosen(documents, unsafe, doc_id, text)
 
@@ -391,19 +394,30 @@ def _by_rarest(documents: DataFrame, unsafe: DataFrame, signatures: DataFrame, s
                         own = a[common]
                         own = own[np.lexsort((own, times[place[common]]))][:left]
                         tiles = pa.array([own if len(own) <= LISTED else None] * len(own), pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), doc)), tiles], names=["shingle", "doc", "tiles"])
+                        often = np.full(len(own), np.log(times[place[common]]).sum() / len(a))
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), doc)), pa.array(often), tiles], names=["shingle", "doc", "common", "tiles"])
 
-        first = chosen.mapInArrow(rarest, "shingle long, doc long, tiles array<long>").dropDuplicates(["shingle", "doc"])
+        first = chosen.mapInArrow(rarest, "shingle long, doc long, common double, tiles array<long>").dropDuplicates(["shingle", "doc"])
     else:
         whole = Window.partitionBy("doc")
         ranked = rows.distinct().join(counts, "shingle").select(
-            "doc", "n", "shingle", F.row_number().over(whole.orderBy("times", "shingle")).alias("rank"), F.count(F.lit(1)).over(whole).alias("common")
+            "doc", "n", "shingle", F.row_number().over(whole.orderBy("times", "shingle")).alias("rank"), F.count(F.lit(1)).over(whole).alias("known"), F.sum(F.log("times")).over(whole).alias("logs")
         )
         most = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") + 1
-        first = ranked.where(F.col("rank") <= most - (F.col("n") - F.col("common"))).select("shingle", "doc")
-    pairs = written(_across(first.join(unsafe, "doc"), "shingle", signatures, percent), "popular-pairs")
+        first = ranked.where(F.col("rank") <= most - (F.col("n") - F.col("known"))).select("shingle", "doc", (F.col("logs") / F.col("n")).alias("common"))
+    first = written(first, "rarest-shingles")
     drop_written(counts)
-    return pairs
+    return first
+
+
+def _to_hubs(first: DataFrame, unsafe: DataFrame) -> DataFrame:
+    """Distinct ``x, y`` of the sets ``doc, component`` and the hubs of their tiles, where those lie in other components."""
+    members = first.select("shingle", "doc", "common").join(unsafe, "doc")
+    hubs = members.groupBy("shingle").agg(F.max(F.struct("common", "doc", "component")).alias("hub"))
+    met = members.join(hubs, "shingle").where("component <> hub.component")
+    return met.select(F.least("doc", "hub.doc").alias("x"), F.greatest("doc", "hub.doc").alias("y")).distinct()
+
+
 
 
 def join_shingles(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,7 +468,19 @@ def join_shingles(documents: DataFrame, size: int = SHINGLE, percent: int = PERC
     unsafe = written(unsafe, "unsafe-sets")
     drop_written(placed, torn)
     if unsafe.head(1):
-        more = _by_rarest(documents, unsafe, signatures, size, percent, doc_id, text)
+        first = _by_rarest(documents, unsafe, size, percent, doc_id, text)
+        near = written(_bounded(_to_hubs(first, unsafe), signatures, percent), "hub-pairs")
+        merged = _linked(near, documents, size, percent, doc_id, text)
+        if merged.head(1):
+            both = written(found.unionByName(merged), "links")
+            drop_written(found, components)
+            found, components = both, written(connected_components(both), "components")
+            placed = unsafe.select("doc").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))
+            placed = written(placed, "unsafe-sets")
+            drop_written(unsafe)
+            unsafe = placed
+        more = written(_across(first.join(unsafe, "doc"), "shingle", signatures, percent), "popular-pairs")
+        drop_written(first, near, merged)
         both = written(pairs.unionByName(more).distinct(), "pairs")
         drop_written(pairs, more)
         pairs = both

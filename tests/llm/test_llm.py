@@ -351,6 +351,34 @@ def test_a_passage_that_many_share_hides_no_link(spark, monkeypatch):
         assert got == brute_join(rows, 4, 85)
 
 
+def test_near_copies_behind_popular_tiles_meet_their_hub_and_not_each_other(spark, monkeypatch):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(150)], []
+    for k in range(120):
+        near = list(base)
+        for place in rng.sample(range(150), rng.choice([1, 2, 3])):
+            near[place] = word()
+        rows.append((k, " ".join(near)))
+    # strangers with a passage of it have the smallest ids
+    rows += [(-1 - k, " ".join(base[at : at + 60] + [word() for _ in range(150)])) for k, at in enumerate(range(0, 90, 8))]
+    monkeypatch.setattr(shingles, "POPULAR", 3)
+    made, kept = {}, shingles.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(shingles, "written", counted)
+    want = brute_join(rows, 4, 85)
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(shingles, "BROADCAST_SHINGLES", few)
+        made.clear()
+        assert collected(shingles.join_shingles(documents(spark, rows)), "doc_id", "n_shingles", "component_id") == want
+        assert 0 < made["unsafe-sets"] and made["popular-pairs"] < len(rows), made
+
+
 def test_met_keeps_tiles_across_batches():
     import pyarrow as pa
 
