@@ -48,43 +48,21 @@ SHARD = 1 << 21
 LEAST_COUNT = 2
 DISCOUNT = 0.75
 BOOK = 256
-#: Tokens that are counted or scored at once, and words whose hashes a task remembers.
-COUNTED, SCORED, REMEMBERED = 1 << 20, 1 << 18, 1 << 18
+#: Tokens that are counted, or numbered and scored, at once.
+COUNTED, SCORED = 1 << 20, 1 << 18
 #: The end's number among word hashes.
 END = 1
 
 
-class Numbers:
-    """Numbers of words, remembered: 63-bit hashes, or with a trie its word numbers, and outside it minus the hash."""
+def tokens(text: str | None) -> np.ndarray:
+    """Numbers of a text's tokens: 63-bit hashes of words, and END."""
+    import xxhash
 
-    def __init__(self, trie: Shards | None = None):
-        import xxhash
-
-        self._hash, self._trie = xxhash.xxh3_64_intdigest, trie
-        self._known: dict[bytes, int] = {}
-        self._end = END if trie is None else int(self._numbered(np.array([END]))[0])
-
-    def _numbered(self, hashes: np.ndarray) -> np.ndarray:
-        ids = self._trie.ids(hashes)
-        return np.where(ids >= 0, ids, -hashes)
-
-    def _learn(self, words: set[bytes]) -> None:
-        # the top bit goes, so that numbers fit long columns; 0 and END are no word's
-        hashes = [max(self._hash(w) >> 1, 2) for w in words]
-        self._known.update(zip(words, hashes if self._trie is None else self._numbered(np.array(hashes)).tolist(), strict=True))
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z, and ASCII white space without \x1c-\x1f
-        found = list(map(self._known.get, words))
-        if None in found:
-            new = {w for w, f in zip(words, found, strict=True) if f is None}
-            if len(self._known) + len(new) > REMEMBERED:
-                self._known.clear()
-                new = set(words)
-            self._learn(new)
-            found = list(map(self._known.get, words))
-        found.append(self._end)
-        return np.array(found, np.int64)
+    words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z, and ASCII white space without \x1c-\x1f
+    # to hash a word takes less than to look it up among many
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    # the top bit goes, so that numbers fit long columns; 0 and END are no word's
+    return np.append(np.maximum((hashes >> np.uint64(1)).astype(np.int64), 2), END)
 
 
 # Elias-Fano -----------------------------------------------------------------------------------------------------
@@ -174,13 +152,15 @@ class EliasFano:
             last[full] = word * 64 + _in_word(~self.high[word], k - self._zeros[word]) - k
         lo, stop = np.maximum(first, begin), np.minimum(last, end)
         want = x & np.uint64((1 << self.low_bits) - 1)
-        active, hi = np.flatnonzero(lo < stop), stop.copy()
+        active = np.flatnonzero(lo < stop)
+        low, high, sought = lo[active], stop[active], want[active]
         while active.size:
-            middle = (lo[active] + hi[active]) >> 1
-            less = self._low(middle) < want[active]
-            lo[active] = np.where(less, middle + 1, lo[active])
-            hi[active] = np.where(less, hi[active], middle)
-            active = active[lo[active] < hi[active]]
+            middle = (low + high) >> 1
+            less = self._low(middle) < sought
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            on = low < high
+            lo[active] = low
+            active, low, high, sought = active[on], low[on], high[on], sought[on]
         hit = lo < stop
         inside = np.flatnonzero(hit)
         hit[inside] = self._low(lo[inside]) == want[inside]
@@ -427,18 +407,21 @@ class Shards:
                 o[low:high] = a
         return [o[back] for o in out]
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers, -1 for words that training never saw."""
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers, -1 for words that training never saw, and log10 of the words' counts and one."""
 
-        def answer(part: Words, asked: np.ndarray, begin: int) -> tuple[np.ndarray]:
+        def answer(part: Words, asked: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
             place = np.minimum(np.searchsorted(part.hashes, asked), len(part.hashes) - 1)
-            return (np.where(part.hashes[place] == asked, begin + place, -1),)
+            hit = part.hashes[place] == asked
+            return np.where(hit, begin + place, -1), np.where(hit, np.log10(part.counts[place] + 1), 0.0)
 
-        return self._each(hashes, self.words, self.words.firsts, answer, np.int64(-1))[0]
+        return tuple(self._each(hashes, self.words, self.words.firsts, answer, np.int64(-1), 0.0))
 
     def counts(self, nodes: np.ndarray, length: int = 1) -> np.ndarray:
         """Counts of nodes of ``length`` words."""
         cut = self.words if length == 1 else self.levels[length - 2]
+        if len(cut.files) == 1:  # nothing to deal
+            return opened(cut.files[0]).counts[nodes].astype(np.int64)
         return self._each(nodes, cut, cut.begins, lambda part, asked, begin: (part.counts[asked - begin],), np.int64(0))[0]
 
     def after(self, length: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -450,9 +433,9 @@ class Shards:
             parents = asked // v
             inside = np.flatnonzero((parents >= part.first) & (parents <= part.last))
             place, hit = part.level.words.successor((asked[inside] - part.first * v).astype(np.uint64))
-            left[inside] = 10.0 ** part.level.backoff_book[part.level.backoff[parents[inside] - part.first]]
+            left[inside] = (10.0**part.level.backoff_book)[part.level.backoff[parents[inside] - part.first]]
             node[inside[hit]] = begin + place[hit]
-            share[inside[hit]] = 10.0 ** part.level.book[part.level.probability[place[hit]]]
+            share[inside[hit]] = (10.0**part.level.book)[part.level.probability[place[hit]]]
             return node, share, left
 
         node, share, left = self._each(parent * v + np.maximum(word, 0), cut, cut.firsts * v, answer, np.int64(-1), 0.0, 1.0)
@@ -569,8 +552,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``key, n``: every word's hash and count."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
-        for held in _portions((numbers.tokens(t) for b in batches for t in b.column("text").to_pylist()), COUNTED):
+        for held in _portions((tokens(t) for b in batches for t in b.column("text").to_pylist()), COUNTED):
             yield _counted(np.concatenate(held))
 
     return _summed(texts.mapInArrow(task, "key long, n long"))
@@ -583,20 +565,21 @@ def number_texts(documents: DataFrame, trie: Shards, folds: int = FOLDS, held_ou
     """Per row its word numbers (-1 for words that training never saw) and what words add to the base score."""
 
     def rows(part: pa.RecordBatch, held: list[np.ndarray]) -> pa.RecordBatch:
-        ids, fresh = _joined(held)
+        hashes, fresh = _joined(held)
+        # a portion's words are looked up at once, each once
+        ids, logs = trie.ids(hashes)
         of, inside = np.cumsum(fresh) - 1, ids >= 0
-        logs = np.bincount(of[inside], np.log10(trie.counts(ids[inside]) + 1), len(held))
+        logs = np.bincount(of, logs, len(held))
         known = np.bincount(of[inside], minlength=len(held))
-        small = [np.maximum(h, -1).astype("<i4").tobytes() for h in held]
+        small = [h.tobytes() for h in np.split(ids.astype("<i4"), np.flatnonzero(fresh)[1:])]
         own = [part.column(k) for k in ("doc_id", "held_out", "learned")]
         columns = [*own, pa.array([len(h) for h in held], pa.int64()), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(small, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NUMBERED.split(", ")])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(trie)
         for batch in batches:
             first = 0
-            for held in _portions(map(numbers.tokens, batch.column("text").to_pylist()), SCORED):
+            for held in _portions(map(tokens, batch.column("text").to_pylist()), SCORED):
                 yield rows(batch.slice(first, len(held)), held)
                 first += len(held)
 

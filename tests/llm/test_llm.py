@@ -597,6 +597,29 @@ def test_language_model(spark):
     assert lm.score_documents(docs.where("false")).count() == 0
 
 
+def test_words_are_looked_up_a_portion_at_a_time(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = documents(spark, [(1, "a b a"), (2, None)])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, schema: task)
+    asked = []
+
+    class Trie:
+        def ids(self, hashes):
+            asked.append(len(hashes))
+            return np.where(hashes == lm.END, 7, -1), np.where(hashes == lm.END, 0.5, 0.0)
+
+    texts = ["a b a", None, "", "B c d e", "f"]
+    columns = [pa.array(range(5)), pa.array([False] * 5), pa.array([True] * 5), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "learned", "text"])
+    (out,) = lm.number_texts(docs, Trie())(iter([batch]))
+    assert asked == [13]  # once for all five texts
+    assert out.column("n_tokens").to_pylist() == [4, 1, 1, 5, 2] and out.column("n_known").to_pylist() == [1] * 5
+    assert out.column("logs").to_pylist() == [0.5] * 5
+    assert [np.frombuffer(b, "<i4").tolist() for b in out.column("ids").to_pylist()] == [[-1, -1, -1, 7], [7], [7], [-1] * 4 + [7], [-1, 7]]
+
+
 def test_trie_probabilities_sum_to_one():
     rng = np.random.default_rng(16)
     hashes, total = np.sort(rng.choice(10**6, 40, replace=False)), 0
