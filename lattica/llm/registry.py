@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, licenses, lm, pii, quality, shingles, toxicity, vectors
+from lattica.llm import bpe, chat, decontaminate, fim, licenses, lm, pii, quality, shingles, toxicity, vectors
 from lattica.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
+
+
+OP13_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(w) + 1 AS m, list_transform([1, 9, 17, 25], lambda at: CAST('0x' || h[at:at + 7] AS BIGINT)) AS r FROM tokens
+), placed AS (
+  SELECT doc_id, text, m - 1 AS n, length(array_to_string(w[1:least(r[1] % m, r[2] % m)], '')) AS a, length(array_to_string(w[1:greatest(r[1] % m, r[2] % m)], '')) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN a END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN b - a END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || text[1:a] || '<S>' || text[b + 1:] || '<M>' || text[a + 1:b]
+              ELSE '<S>' || text[b + 1:] || '<P>' || text[1:a] || '<M>' || text[a + 1:b] END) AS output_sha256, sha256(text) AS restored_sha256 FROM placed"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -149,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_lm": op9_lm,
     "op10_licenses": op10_licenses,
+    "op13_fim": op13_fim,
 }
 
 
@@ -157,4 +176,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_shingles": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql()}
+    return {"op4_shingles": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql(), "op13_fim": OP13_SQL}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import col
 
-from lattica.llm import bpe, chat, components, decontaminate, licenses, lm, pii, quality, registry, shingles, toxicity, vectors
+from lattica.llm import bpe, chat, components, decontaminate, fim, licenses, lm, pii, quality, registry, shingles, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long, key binary, tile long"
 
@@ -845,3 +845,35 @@ def test_against_duckdb(spark, name):
     expected = sorted(map(str, result.fetchall()))
     got = registry.QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(names) and sorted(str(tuple(r[n] for n in names)) for r in got.collect()) == expected
+
+
+# Fill-in-middle
+
+
+def brute_fim(doc_id, text):
+    text = text or ""
+    tokens = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    h = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(h[8 * i : 8 * i + 8], 16) for i in range(4)]
+    low, high = sorted(x % (len(tokens) + 1) for x in h[:2])
+    p, m, s = ("".join(t) for t in (tokens[:low], tokens[low:high], tokens[high:]))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return len(tokens), "plain", None, None, text
+    return (len(tokens), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 80 else (len(tokens), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_fim_equals_brute_force_and_round_trips(spark):
+    rng = random.Random(13)
+    texts = [(i, "".join(rng.choice(["a", "é日", "<", ">", "P", "S", "<P", "S>", " ", "\n", " ", "\x1c", "\x00", "☃ "]) for _ in range(rng.randint(0, 40)))) for i in range(100, 500)]
+    texts += [*EDGES, (7, "has <M> inside"), (8, "<P><S><M>"), (9, " \t"), (-5, "negative id here"), (10, "x\r\ny  z ")]
+    got = collected(fim.restore(fim.transform(documents(spark, texts))), "doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "restored")
+    assert got == sorted(((i, *brute_fim(i, t), t or "") for i, t in texts), key=repr)
+    assert {r[2] for r in got} == {"plain", "spm", "psm"}
+    assert fim.digest(fim.restore(fim.transform(documents(spark, [(1, "x")]).where("false")))).count() == 0
+
+
+def test_fim_rates_and_seed(spark):
+    texts = [(i, "one two three four five") for i in range(300)]
+    forms = lambda **options: Counter(r["form"] for r in fim.transform(documents(spark, texts), **options).collect())
+    assert forms(fim_percent=0) == {"plain": 300} and forms(fim_percent=100, spm_percent=0) == {"psm": 300}
+    assert fim.transform(documents(spark, texts), seed=7).select("output").collect() != fim.transform(documents(spark, texts)).select("output").collect()
