@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, fim, licenses, lm, pii, quality, shingles, toxicity, vectors
+from lattica.llm import bpe, chat, decontaminate, fim, licenses, lm, pii, prefix_trie, quality, shingles, toxicity, vectors
 from lattica.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,38 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.shared_opening).drop(*prefix_trie.NODE)
+
+
+OP11_SQL = """
+WITH said AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (SELECT conv_id, chars, s, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, s) AS p FROM said
+), sizes AS (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id
+), coded AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h FROM sizes
+), convs AS (SELECT c.conv_id, c.h, c.conv_id - c.conv_id % 100 AS lender, least(c.h, coalesce(b.n, 0)) AS lent FROM coded c LEFT JOIN sizes b ON b.conv_id = c.conv_id - c.conv_id % 100
+), rebuilt AS (
+  SELECT c.conv_id, p.p AS d, p.s, p.chars FROM convs c JOIN placed p ON p.conv_id = c.lender AND p.p <= c.h
+  UNION ALL SELECT c.conv_id, p.p - c.h + c.lent, p.s, p.chars FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.p > c.h
+), prefixes AS (
+  SELECT conv_id, d, chars, string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM rebuilt UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS MATERIALIZED (
+  SELECT k, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(chars) AS chars, count(*) AS n_convs, CASE WHEN k <> '' THEN k[1:length(k) - 64] END AS up FROM prefixes GROUP BY k
+), children AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+), below AS (
+  SELECT p.k, sum(CASE WHEN c.k IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved
+  FROM nodes v LEFT JOIN children c ON c.k = v.k JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.depth GROUP BY p.k
+), ends AS (
+  SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS e FROM (SELECT conv_id, arg_max(k, d) AS k FROM prefixes GROUP BY conv_id) GROUP BY k
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(c.n_children, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.e, sha256('')) AS ends_sha256
+FROM nodes v JOIN below b USING (k) LEFT JOIN children c USING (k) LEFT JOIN ends e USING (k) LEFT JOIN nodes u ON u.k = v.up"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
 
@@ -167,6 +199,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_lm": op9_lm,
     "op10_licenses": op10_licenses,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_fim": op13_fim,
 }
 
@@ -176,4 +209,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_shingles": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql(), "op13_fim": OP13_SQL}
+    return {"op4_shingles": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql(), "op11_prefix_trie": OP11_SQL, "op13_fim": OP13_SQL}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import col
 
-from lattica.llm import bpe, chat, components, decontaminate, fim, licenses, lm, pii, quality, registry, shingles, toxicity, vectors
+from lattica.llm import bpe, chat, components, decontaminate, fim, licenses, lm, pii, prefix_trie, quality, registry, shingles, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long, key binary, tile long"
 
@@ -833,12 +833,12 @@ def test_vector_cells_lose_no_link(spark, monkeypatch):
 # SQL of the joins
 
 
-@pytest.mark.parametrize("name", ["op4_shingles", "op5_decontaminate", "op10_licenses"])
+@pytest.mark.parametrize("name", ["op4_shingles", "op5_decontaminate", "op10_licenses", "op11_prefix_trie", "op13_fim"])
 def test_against_duckdb(spark, name):
     import duckdb
 
     sf_dir, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     result = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in result.description]
@@ -877,3 +877,74 @@ def test_fim_rates_and_seed(spark):
     forms = lambda **options: Counter(r["form"] for r in fim.transform(documents(spark, texts), **options).collect())
     assert forms(fim_percent=0) == {"plain": 300} and forms(fim_percent=100, spm_percent=0) == {"psm": 300}
     assert fim.transform(documents(spark, texts), seed=7).select("output").collect() != fim.transform(documents(spark, texts)).select("output").collect()
+
+
+# Prefix trie
+
+
+def brute_trie(rows, shared=True):
+    """Nodes by a walk over all prefixes."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            said = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()
+            convs.setdefault(conv, []).append(((turn is not None, turn or 0, said), role, text))
+    own = {c: [x[1:] for x in sorted(v)] for c, v in convs.items()}
+    whole = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6 if shared else 0
+        whole[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + v[h:]
+    members = {}
+    for c, v in whole.items():
+        for d in range(len(v) + 1):
+            members.setdefault(tuple(v[:d]), []).append(c)
+    out = []
+    for k, m in members.items():
+        below = [x for x in members if x[: len(k)] == k]
+        children = lambda x: [y for y in members if len(y) == len(x) + 1 and y[: len(x)] == x]
+        leaves = sum(not children(x) for x in below)
+        saved = sum((len(members[x]) - 1) * len(x[-1][1]) for x in below if x)
+        ends = ",".join(map(str, sorted(c for c in m if len(whole[c]) == len(k))))
+        out.append((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(children(k)), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+TRIE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+TURNS = "conv_id long, turn int, role string, text string, part int, hi long, chars string, level double"
+
+
+def turns(spark, rows, parts=3):
+    return spark.createDataFrame([(*r, 5, 1, "c", 0.0) for r in rows], TURNS).repartition(parts)
+
+
+def test_trie_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "BLOCK", 3)
+    rng = random.Random(11)
+    rows = [(c, t, rng.choice(["user", None, "bot"]), rng.choice(["a", "b", None, "é☃"])) for c in range(-3, 120) for t in range(rng.randint(1, 5))]
+    rows += [(c, t, "user", f"same {t}") for c in range(500, 540) for t in range(7)]  # copies
+    rows += [(700, t, "user", "long") for t in range(40)] + [(701, t, "user", "long") for t in range(23)]
+    rows += [(800, None, "z", "last"), (800, None, "a", "first"), (800, 1, "a", "x" * 50_000), (800, 1, "a", "x" * 50_000), (None, 1, "user", "no id"), (801, 0, None, None)]
+    frame = turns(spark, rows)
+    assert collected(prefix_trie.prefix_trie(frame, prefix_trie.shared_opening), *TRIE) == brute_trie(rows)
+    assert collected(prefix_trie.prefix_trie(frame), *TRIE) == brute_trie(rows, shared=False)
+
+
+def test_trie_of_stretches_and_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "STRETCH", 4)
+    rows = [(c, t, "user", str(t)) for c in range(90) for t in range(2)]
+    assert collected(prefix_trie.prefix_trie(turns(spark, rows)), *TRIE) == brute_trie(rows, shared=False)
+    assert prefix_trie.prefix_trie(turns(spark, rows).where("false"), prefix_trie.shared_opening).count() == 0
+
+
+def test_trie_deals_a_long_conversation_over_tasks(spark):
+    rows = [(7, t, "user", f"{t % 5}") for t in range(4_000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = prefix_trie._ordered(turns(spark, rows), "conv_id", "turn", "role", "text")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert dealt.groupBy("part").count().count() == 4
+    got = {r["depth"]: r for r in prefix_trie.prefix_trie(turns(spark, rows)).collect()}
+    assert sorted(got) == list(range(4_001)) and got[4_000]["n_leaves"] == 1 and got[0]["n_children"] == 1
