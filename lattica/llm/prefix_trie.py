@@ -211,12 +211,12 @@ def _summed(nodes: DataFrame) -> DataFrame:
     return arrays.join(after, [*PATH, "block"]).select("path", "later_leaves", "later_saved").mapInArrow(_suffix_sums, SUMMED_DDL)
 
 
-def _stretch_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted ids of a node, comma-joined, up to ``STRETCH`` of them in a row."""
+def _stretch_ids(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted ids of a node, comma-joined, up to ``size`` of them in a row."""
     for batch in batches:
         hi, lo, conv = (batch.column(c).to_numpy() for c in ("hi", "lo", "conv"))
         new = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])][: len(hi)])
-        cuts = np.unique(np.concatenate([new, np.arange(0, len(hi), STRETCH)])).astype(int)
+        cuts = np.unique(np.concatenate([new, np.arange(0, len(hi), size)])).astype(int)
         texts = [",".join(map(str, conv[a:b].tolist())) for a, b in zip(cuts, [*cuts[1:], len(hi)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(hi[cuts]), pa.array(lo[cuts]), pa.array(conv[cuts]), pa.array(texts, pa.string())], names=["hi", "lo", "first", "ids"])
 
@@ -246,7 +246,8 @@ def _ends(prefixes: DataFrame, stretches: DataFrame) -> DataFrame:
     last = prefixes.groupBy("conv").agg(F.max(F.struct("depth", *NODE)).alias("last"))
     ends = stretches.where("before = 0").select("conv").join(last, "conv", "left").select("conv", *(F.coalesce(f"last.{c}", F.lit(0)).alias(c) for c in NODE))
     sorted_ids = ends.repartitionByRange(*NODE, "conv").sortWithinPartitions(*NODE, "conv")
-    joined = sorted_ids.mapInArrow(_stretch_ids, "hi long, lo long, first long, ids string")
+    size = STRETCH
+    joined = sorted_ids.mapInArrow(lambda batches: _stretch_ids(batches, size), "hi long, lo long, first long, ids string")
     return joined.repartition(*NODE).sortWithinPartitions(*NODE, "first").mapInArrow(_hash_stretches, "hi long, lo long, ends_sha256 string")
 
 
