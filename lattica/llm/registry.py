@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chat, decontaminate, fim, licenses, lm, pii, prefix_trie, quality, shingles, toxicity, vectors
+from lattica.llm import bpe, chat, decontaminate, fim, licenses, lm, pii, prefix_trie, quality, shingles, topk, toxicity, vectors
 from lattica.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,21 @@ SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
 FROM nodes v JOIN below b USING (k) LEFT JOIN children c USING (k) LEFT JOIN ends e USING (k) LEFT JOIN nodes u ON u.k = v.up"""
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+), terms AS (SELECT vec_id, unnest(range(1, len(x) + 1)) AS t, unnest(x) AS w FROM v
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.w * d.w) AS BIGINT) AS score FROM terms q JOIN terms d ON d.t = q.t AND d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
 
@@ -200,6 +215,7 @@ QUERIES: dict[str, Query] = {
     "op9_lm": op9_lm,
     "op10_licenses": op10_licenses,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_topk": op12_topk,
     "op13_fim": op13_fim,
 }
 
@@ -209,4 +225,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_shingles": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql(), "op11_prefix_trie": OP11_SQL, "op13_fim": OP13_SQL}
+    return {"op4_shingles": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat": OP6_SQL, "op7_vectors": OP7_SQL, "op10_licenses": licenses.license_sql(), "op11_prefix_trie": OP11_SQL, "op12_topk": OP12_SQL, "op13_fim": OP13_SQL}

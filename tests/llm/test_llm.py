@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import col
 
-from lattica.llm import bpe, chat, components, decontaminate, fim, licenses, lm, pii, prefix_trie, quality, registry, shingles, toxicity, vectors
+from lattica.llm import bpe, chat, components, decontaminate, fim, licenses, lm, pii, prefix_trie, quality, registry, shingles, topk, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long, key binary, tile long"
 
@@ -833,7 +833,7 @@ def test_vector_cells_lose_no_link(spark, monkeypatch):
 # SQL of the joins
 
 
-@pytest.mark.parametrize("name", ["op4_shingles", "op5_decontaminate", "op10_licenses", "op11_prefix_trie", "op13_fim"])
+@pytest.mark.parametrize("name", ["op4_shingles", "op5_decontaminate", "op10_licenses", "op11_prefix_trie", "op12_topk", "op13_fim"])
 def test_against_duckdb(spark, name):
     import duckdb
 
@@ -948,3 +948,66 @@ def test_trie_deals_a_long_conversation_over_tasks(spark):
     assert dealt.groupBy("part").count().count() == 4
     got = {r["depth"]: r for r in prefix_trie.prefix_trie(turns(spark, rows)).collect()}
     assert sorted(got) == list(range(4_001)) and got[4_000]["n_leaves"] == 1 and got[0]["n_children"] == 1
+
+
+# Top-k search
+
+
+def brute_topk(rows, k, asked):
+    """All products, with rows that are equal in id and vector once."""
+    kept = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            x = [math.floor(max(-topk.LARGEST, min(topk.LARGEST, 64 * x))) for x in v]
+            while x and x[-1] == 0:
+                x.pop()
+            kept[i, tuple(x)] = None
+    out = []
+    for q in kept:
+        if asked(q[0]):
+            others = [(max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q[1], d[1], strict=False)))), d[0]) for d in kept if d != q]
+            out += [(q[0], r + 1, i, s) for r, (s, i) in enumerate(sorted(others, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out, key=repr)
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, v binary, rep long, block int, kind string"
+
+
+def vector_rows(spark, rows, parts=3):
+    return spark.createDataFrame([(i, v, 1, b"v", 2, 3, "k") for i, v in rows], VECTORS).repartition(parts)
+
+
+def test_topk_equals_brute_force(spark, monkeypatch):
+    for name, value in {"BLOCK_ROWS": 16, "PART_ROWS": 4, "ROUNDS": (1, 3), "LEAST_BATCH": 4, "ASKS": 2, "STEP": 64}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 9))
+    rows = [(i, (centres[i % 6] + 0.1 * rng.normal(size=9)).tolist()) for i in range(400)]
+    rows += [(1_000 + i, [0.5] * 9) for i in range(100)]  # one vector in a fifth of all rows
+    rows += [(2_000, None), (2_020, [1.0, None]), (2_040, [float("nan")] * 9), (2_060, [float("inf")]), (2_080, []), (2_100, [1.5]), (2_120, [0.0] * 12), (None, [1.0] * 9)]
+    rows += [(3_000, [0.25] * 9), (3_000, [0.25] * 9), (3_020, [0.25] * 9), (3_020, [0.5, -0.5]), (-20, [-1.0] * 11)]
+    got = collected(topk.top_k(vector_rows(spark, rows), k=7), "query_id", "rank", "vec_id", "score")
+    assert got == brute_topk(rows, 7, lambda i: i % 20 == 0)
+    assert topk.top_k(vector_rows(spark, rows).where("false")).count() == 0
+
+
+def test_topk_of_few_and_of_large_components(spark):
+    rows = [(0, [1e300, -1e300]), (20, [1e300, 1.0]), (40, [1e17, 2.0]), (41, [2.0**40, 3.0]), (60, [0.1, 0.2])]
+    got = collected(topk.top_k(vector_rows(spark, rows)), "query_id", "rank", "vec_id", "score")
+    assert got == brute_topk(rows, 20, lambda i: i % 20 == 0)
+    assert collected(topk.top_k(vector_rows(spark, rows), k=2, asked=col("vec_id") == 41), "query_id", "rank", "vec_id", "score") == brute_topk(rows, 2, lambda i: i == 41)
+
+
+def test_topk_bounds_hold_and_prune():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(-3, 4, (64, 16)) + 40 * np.eye(16, dtype=int)[c] for c in range(16)])
+    most, least = x.reshape(16, 64, 16).max(1), x.reshape(16, 64, 16).min(1)
+    reach = topk.bounds(x[::50], most, least)
+    exact = (x[::50] @ x.T).reshape(-1, 16, 64).max(2)
+    assert (reach >= exact).all()
+    kth = np.sort(x[::50] @ x.T, axis=1)[:, -20]
+    assert (reach < kth[:, None]).mean() > 0.5  # most blocks are never asked
+    block = {"x": x, "most": most, "least": least, "starts": np.arange(len(x) + 1), "ids": np.arange(len(x))}
+    scores, ids = topk.score_block(x[::50], np.full(len(x[::50]), topk.NONE), block, 20)
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), (len(scores), len(x))), -(x[::50] @ x.T)), axis=-1)[:, :20]
+    assert (ids == order).all() and (scores == np.take_along_axis(x[::50] @ x.T, order, 1)).all()
