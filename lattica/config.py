@@ -23,6 +23,13 @@ class StateConfig:
     quiet_days: int = 504
     quiet_step: int = 14
     quiet_top: int = 5
+    # The rise of memory at a quiet window's end: rows that it takes, share of the end, tolerated ratio, weights.
+    rise_rows: int = 40
+    rise_share: float = 0.25
+    rise_ratio: float = 1.5
+    rise_slope: float = 0.0
+    rise_mix: float = 0.5
+    rise_weight: float = 1.0
     persist_sense: int = 2
     persist_confirm: int = 5
     persist_memory: int = 3

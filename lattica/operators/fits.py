@@ -9,8 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Gives the weights of a batch's rows in each model, rows by models.
+#: Gives the weights of a batch's rows in each model, rows by models; so may a target, if models differ in it.
 Weigh = Callable[[pa.RecordBatch], np.ndarray]
+Target = str | Weigh
+
+
+def _labels(batch: pa.RecordBatch, target: Target) -> np.ndarray:
+    """Rows by models, or by one if all models have the same target."""
+    return target(batch).astype(float) if callable(target) else batch.column(target).to_numpy(zero_copy_only=False).astype(float)[:, None]
 
 
 def _summed(rows: DataFrame, sums: Callable[[pa.RecordBatch], np.ndarray], models: int, width: int) -> np.ndarray:
@@ -35,7 +41,7 @@ def design(batch: pa.RecordBatch, features: list[str]) -> np.ndarray:
     return np.column_stack([np.ones(batch.num_rows), *(batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features)])
 
 
-def logistic_models(rows: DataFrame, features: list[str], models: int, weigh: Weigh, target: str = "y", masks: np.ndarray | None = None, c: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def logistic_models(rows: DataFrame, features: list[str], models: int, weigh: Weigh, target: Target = "y", masks: np.ndarray | None = None, c: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Weights of many logistic models, one pass over the rows for all of them a round.
 
     Model m counts a row as often as ``weigh`` says and uses the features that its row of ``masks`` marks. Returns the
@@ -46,8 +52,8 @@ def logistic_models(rows: DataFrame, features: list[str], models: int, weigh: We
     masks = np.ones((models, d), bool) if masks is None else masks
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
-        x, w, y = design(batch, features), weigh(batch), batch.column(target).to_numpy(zero_copy_only=False).astype(float)
-        return np.column_stack([w.T @ x, w.T @ x[:, 1:] ** 2, w.T @ y])
+        x, w, y = design(batch, features), weigh(batch), _labels(batch, target)
+        return np.column_stack([w.T @ x, w.T @ x[:, 1:] ** 2, (w * y).sum(0)])
 
     found = _summed(rows, moments, models, 2 * d + 2)
     size, ones = found[:, 0], found[:, -1]
@@ -70,10 +76,10 @@ def logistic_models(rows: DataFrame, features: list[str], models: int, weigh: We
         plain = np.einsum("mi,mij->mj", weights, turn)
 
         def newton(batch: pa.RecordBatch, plain=plain) -> np.ndarray:
-            x, w, y = design(batch, features), weigh(batch), batch.column(target).to_numpy(zero_copy_only=False).astype(float)
+            x, w, y = design(batch, features), weigh(batch), _labels(batch, target)
             p = 1 / (1 + np.exp(-np.clip(x @ plain.T, -30, 30)))
             squares = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-            return np.column_stack([(w * (p - y[:, None])).T @ x, (w * p * (1 - p)).T @ squares])
+            return np.column_stack([(w * (p - y)).T @ x, (w * p * (1 - p)).T @ squares])
 
         sums = _summed(rows, newton, models, (d + 1) * (d + 2))
         gradient = np.einsum("mij,mj->mi", turn, sums[:, : d + 1]) + weights @ ridge
@@ -99,12 +105,61 @@ def scores(rows: DataFrame, features: list[str], plain: np.ndarray, which: Calla
     return rows.mapInArrow(task, ", ".join(["model long", "score double", *(f"{k} {types[k]}" for k in keep)]))
 
 
-def mixed(row: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """A number in [0, 1) for each row (by its 64-bit hash) and draw, rows by draws."""
+def hashed(row: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """64 bits for each row (by its 64-bit hash) and draw, rows by draws; of one draw no two rows have the same."""
     z = row.astype(np.int64).view(np.uint64)[:, None] ^ (np.asarray(draw, np.uint64)[None] * np.array([[0x9E3779B97F4A7C15]], np.uint64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+    return z ^ (z >> np.uint64(31))
+
+
+def mixed(row: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each row and draw."""
+    return (hashed(row, draw) >> np.uint64(11)).astype(float) / 2.0**53
+
+
+#: Bits that a pass of ``permutation_limits`` settles.
+PASS_BITS = 6
+
+
+def permutation_limits(rows: DataFrame, chosen: int, draws: np.ndarray, row: str = "row") -> np.ndarray:
+    """For every draw the largest hash that belongs to its ``chosen`` smallest ones: rows up to it are the draw's ones.
+
+    Each pass counts, for all draws at once, the rows in 64 parts of the range in which a limit lies, and goes on in the
+    part that holds it, until the parts below are as many as chosen; so some log64(rows) passes of sums, and no row
+    moves. Rows need distinct 64-bit numbers.
+    """
+    size, width = len(draws), 1 << PASS_BITS
+    if not chosen:
+        raise ValueError("no row is chosen")
+    low, left, limit, open_ = np.zeros(size, np.uint64), np.full(size, chosen), np.zeros(size, np.uint64), np.ones(size, bool)
+    shift = 64
+    while open_.any():
+        if shift == 0:
+            raise ValueError("rows need distinct numbers")
+        bits = min(PASS_BITS, shift)
+        above, shift = shift, shift - bits
+
+        def counts(batch: pa.RecordBatch, above=above, shift=shift, low=low) -> np.ndarray:
+            h = hashed(batch.column(row).to_numpy(), draws)
+            same = np.ones(h.shape, bool) if above == 64 else (h >> np.uint64(above)) == (low >> np.uint64(above))
+            part = ((h >> np.uint64(shift)) & np.uint64(width - 1)).astype(np.int64)
+            i, d = np.nonzero(same)
+            return np.bincount(d * width + part[i, d], minlength=size * width).reshape(size, width).astype(float)
+
+        until = np.cumsum(_summed(rows.select(row), counts, size, width), axis=1)
+        at = (until < left[:, None]).sum(1)
+        if open_.any() and (at >= width)[open_].any():
+            raise ValueError("more rows chosen than there are")
+        at = np.minimum(at, width - 1)
+        reached = until[np.arange(size), at]
+        before = np.where(at > 0, until[np.arange(size), np.maximum(at - 1, 0)], 0)
+        low = np.where(open_, low | (at.astype(np.uint64) << np.uint64(shift)), low)
+        ended = open_ & (reached == left)
+        limit = np.where(ended, low | np.uint64((1 << shift) - 1), limit)
+        left = np.where(open_, left - before, left).astype(np.int64)
+        open_ = open_ & ~ended
+    return limit
 
 
 #: Chances of zero, one and more draws of a row where as many are drawn as there are.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +103,50 @@ def quiet_scores(state: DataFrame, candidates: DataFrame, least_rows: int) -> Da
     return stepped.groupBy("uid", "k", "start", "end").agg(F.count(F.lit(1)).alias("rows"), F.round(score, 6).alias("score")).where(F.col("rows") >= least_rows)
 
 
+def rise_at_end(eta: np.ndarray, cfg: StateConfig = STATE) -> tuple[float, float]:
+    """How far a memory that starts empty in a quiet window rises at its end: its steps there over those before, beyond
+    the tolerated ratio, and its yearly slope; zeros for short windows."""
+    if len(eta) < cfg.rise_rows:
+        return 0.0, 0.0
+    pressure = np.round(max(float(np.quantile(eta, 0.05)), EPS) / (eta + EPS), 9)
+    drive = np.maximum(np.round(pressure - (np.quantile(pressure, cfg.pre_quantile) + cfg.margin), 9), 0.0)
+    memory = series.leaky_memory(drive, cfg.decay, cfg.memory_floor)
+    end = int((1 - cfg.rise_share) * len(eta))
+    steps = np.maximum(np.round(np.diff(memory), 9), 0.0)
+    ratio = float(np.median(steps[max(0, end - 1) :]) / (np.median(steps[: max(3, end - 1)]) + EPS))
+    tail = memory[end:]
+    x = np.arange(len(tail)) - (len(tail) - 1) / 2
+    slope = 252 * float((x * tail).sum() / (x * x).sum()) if len(tail) >= 8 else 0.0
+    return max(0.0, ratio - cfg.rise_ratio), max(0.0, slope - cfg.rise_slope) / (abs(cfg.rise_slope) + 1.0)
+
+
+def quiet_rises(state: DataFrame, candidates: DataFrame, cfg: StateConfig = STATE) -> DataFrame:
+    """``uid, k, rise_ratio, rise_slope, penalty``: one fold a candidate window over the rows that the window holds."""
+    types = dict(state.dtypes)
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        ratio, slope = rise_at_end(table["eta"].to_numpy(), cfg)
+        return pa.table([table["uid"][:1], table["k"][:1], pa.array([ratio]), pa.array([slope])], names=["uid", "k", "rise_ratio", "rise_slope"])
+
+    inside = state.join(candidates.select("uid", "k", "start", "end"), "uid").where("t BETWEEN start AND end").select("uid", "k", "t", "eta")
+    found = inside.groupBy("uid", "k").applyInArrow(fold, f"uid {types['uid']}, k int, rise_ratio double, rise_slope double")
+    penalty = cfg.rise_weight * ((1 - cfg.rise_mix) * F.col("rise_ratio") + cfg.rise_mix * F.col("rise_slope"))
+    return found.withColumn("penalty", F.round(penalty, 6))
+
+
+def quiet_penalised(scores: DataFrame, rises: DataFrame) -> DataFrame:
+    """Scores of candidates with the penalty of what builds up at their end added."""
+    return scores.join(rises, ["uid", "k"]).withColumn("score", F.round(F.col("score") + F.col("penalty"), 6))
+
+
+def quiet_required(universes: DataFrame, top: DataFrame) -> DataFrame:
+    """``top`` as it is; reading it fails where one of ``universes`` (``uid``) has no quiet window."""
+    found = universes.select("uid").distinct().join(top, "uid", "left")
+    told = F.concat(F.lit("no quiet window in universe "), F.col("uid").cast("string"), F.lit(": take a longer history, shorter windows or a later last date"))
+    return found.where(F.when(F.col("rank").isNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
+
+
 def quiet_top(scores: DataFrame, top: int = STATE.quiet_top) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("uid").orderBy("score", "start", "k"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= top)
@@ -172,17 +220,39 @@ def knee(series_: DataFrame, x: str) -> DataFrame:
     return series_.select("uid").distinct().join(best, "uid", "left").select("uid", F.coalesce("knee", F.lit(0.0)).alias("knee"))
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Chance that a correlation of n pairs is as large by accident: two tails of Student's t with n - 2 degrees, as the
+    finite series that it has for whole degrees. Null under three pairs."""
+    degrees = (n - 2).cast("int")
+    size = F.least(F.abs(r), F.lit(1.0))
+    square = 1 - size * size
+    even = degrees % 2 == 0
+    terms = F.when(even, degrees / 2).otherwise((degrees - 1) / 2).cast("int")
+    step = lambda k: F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))
+
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * step(k) * square
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    places = F.when(terms > 1, F.sequence(F.lit(1), F.greatest(terms - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.when(terms > 0, F.aggregate(places, one, add, lambda s: s["total"])).otherwise(0.0)
+    inside = F.when(even, size * total).otherwise(2 / math.pi * (F.asin(size) + size * F.sqrt(square) * total))
+    return F.when(degrees >= 1, F.greatest(1 - inside, F.lit(0.0)))
+
+
 def yearly_warming(state: DataFrame, cfg: StateConfig = STATE) -> DataFrame:
-    """Per year of 20 rows and more: slope, shares above quiet limits and one, lag-one correlation, longest run."""
+    """Per year of 20 rows and more: slope and the chance of one as steep, shares above quiet limits and one, lag-one correlation, longest run."""
     whole, calm = Window.partitionBy("uid"), series.quiet(cfg.quiet_share)
     limits = state.withColumns({"_p90": F.round(quantile_where(F.col("oh"), calm, 0.90, whole), 9), "_p95": F.round(quantile_where(F.col("oh"), calm, 0.95, whole), 9), "year": F.year("t")})
     w = Window.partitionBy("uid", "year").orderBy("t")
     year = limits.withColumns({"i": F.row_number().over(w).cast("double"), "_lag": F.lag("oh").over(w), "_above": F.col("oh") > F.col("_p90")})
     share = lambda c: F.round(100 * F.avg(c.cast("double")), 6)
     paired = F.col("_lag").isNotNull()
+    tie = F.try_divide(F.covar_pop("oh", "i"), F.stddev_pop("oh") * F.stddev_pop("i"))
     acf = F.try_divide(F.covar_pop("oh", "_lag"), F.stddev_pop(F.when(paired, F.col("oh"))) * F.stddev_pop("_lag"))
     summed = year.groupBy("uid", "year").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(252 * F.regr_slope("oh", "i"), 6).alias("slope"), share(F.col("_above")).alias("share_p90"),
+        F.count(F.lit(1)).alias("rows"), F.round(252 * F.regr_slope("oh", "i"), 6).alias("slope"), F.round(correlation_p(F.coalesce(tie, F.lit(0.0)), F.count(F.lit(1))), 6).alias("slope_p"), share(F.col("_above")).alias("share_p90"),
         share(F.col("oh") > F.col("_p95")).alias("share_p95"), share(F.col("oh") > 1.0).alias("share_one"), F.round(acf, 6).alias("acf1"), F.round(F.max("phi"), 6).alias("phi_max"),
     ).where("rows >= 20")
     islands = series.runs(year.withColumn("uid", F.concat_ws("|", "uid", "year")), F.col("_above")).where("flag")

@@ -304,6 +304,32 @@ def calm_score_topn(spark, sf_dir):
     return state.quiet_top(state.quiet_scores(frame, state.quiet_candidates(frame.select("uid", "t")).drop("rows"), STATE.window))
 
 
+RISES = """first AS (SELECT uid, k, count(*) AS m, greatest(quantile_cont(eta, 0.05), 1e-12) AS ref FROM inside GROUP BY uid, k
+), pressed AS (SELECT i.uid, i.k, m, CAST(row_number() OVER (PARTITION BY i.uid, i.k ORDER BY t) - 1 AS BIGINT) AS j, round(ref / (eta + 1e-12::DOUBLE), 9) AS pressure FROM inside i JOIN first f ON f.uid = i.uid AND f.k = i.k WHERE m >= 40
+), strained AS MATERIALIZED (SELECT *, greatest(round(pressure - (quantile_cont(pressure, 0.968) OVER (PARTITION BY uid, k) + 0.08::DOUBLE), 9), 0.0::DOUBLE) AS drive FROM pressed
+), built(uid, k, j, phi) AS (
+  SELECT uid, k, j, greatest(drive, 1e-6::DOUBLE) FROM strained WHERE j = 0
+  UNION ALL SELECT b.uid, b.k, b.j + 1, greatest(0.97::DOUBLE * b.phi + s.drive, 1e-6::DOUBLE) FROM built b JOIN strained s ON s.uid = b.uid AND s.k = b.k AND s.j = b.j + 1
+), steps AS (
+  SELECT b.*, CAST(floor(0.75::DOUBLE * m) AS BIGINT) AS e, greatest(round(phi - lag(phi) OVER (PARTITION BY b.uid, b.k ORDER BY b.j), 9), 0.0::DOUBLE) AS step FROM built b JOIN strained s ON s.uid = b.uid AND s.k = b.k AND s.j = b.j
+), rises AS (
+  SELECT uid, k, greatest(median(step) FILTER (j >= 1 AND j - 1 >= greatest(e - 1, 0)) / (median(step) FILTER (j >= 1 AND j - 1 < greatest(e - 1, 3)) + 1e-12::DOUBLE) - 1.5::DOUBLE, 0.0::DOUBLE) AS ratio,
+         CASE WHEN count(*) FILTER (j >= e) >= 8 THEN greatest(252 * regr_slope(phi, j) FILTER (j >= e), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS slope FROM steps GROUP BY uid, k
+), judged AS (
+  SELECT s.uid, s.k, s."start", s."end", s.rows, round(coalesce(ratio, 0.0::DOUBLE), 6) AS rise_ratio, round(coalesce(slope, 0.0::DOUBLE), 6) AS rise_slope,
+         round(0.5::DOUBLE * coalesce(ratio, 0.0::DOUBLE) + 0.5::DOUBLE * coalesce(slope, 0.0::DOUBLE), 6) AS penalty, s.score AS plain FROM scores s LEFT JOIN rises r ON r.uid = s.uid AND r.k = s.k
+), weighed AS (SELECT *, round(plain + penalty, 6) AS score FROM judged)"""
+
+
+@query(o.sql(*BASE, CANDIDATES, SCORES, RISES, 'SELECT uid, k, "start", "end", rows, rise_ratio, rise_slope, penalty, score, CAST(row_number() OVER (PARTITION BY uid ORDER BY score, "start", k) AS INTEGER) AS rank FROM weighed QUALIFY rank <= 5', recursive=True))
+def calm_penalised(spark, sf_dir):
+    """The best quiet windows when a memory that builds up at a window's end counts against it."""
+    frame = _windows(spark, sf_dir)
+    candidates = state.quiet_candidates(frame.select("uid", "t")).drop("rows")
+    scored = state.quiet_penalised(state.quiet_scores(frame, candidates, STATE.window), state.quiet_rises(frame, candidates))
+    return state.quiet_top(scored).select("uid", "k", "start", "end", "rows", *r6("rise_ratio", "rise_slope"), "penalty", "score", "rank")
+
+
 @query(o.sql(*BASE, CANDIDATES, SCORES, """chosen AS (SELECT s.uid, s.eta, c.k FROM state1 s JOIN tops c ON c.uid = s.uid AND s.t BETWEEN c."start" AND c."end"
 ), refs AS (SELECT uid, k, greatest(quantile_cont(eta, 0.05), 1e-12) AS eta_ref FROM chosen GROUP BY uid, k
 ), lams AS (SELECT c.uid, c.k, eta_ref, quantile_cont(eta_ref / (eta + 1e-12), 0.99) * 1.02::DOUBLE AS lambda_c, quantile_cont(eta_ref / (eta + 1e-12), 0.968) AS pre FROM chosen c JOIN refs USING (uid, k) GROUP BY c.uid, c.k, eta_ref)""",
@@ -402,10 +428,17 @@ def ensemble_crossing(spark, sf_dir):
     return series.first_crossing(full.withColumn("q95", q95), "oh", F.array_min(F.array(F.lit(1.0), F.col("q95"), F.lit(0.98))), 3)
 
 
+#: Two tails of Student's t for a correlation r with df degrees, by gamma functions.
+TAILS = """round(greatest(1 - CASE WHEN df % 2 = 0
+  THEN r * coalesce(list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - r * r, k))), 0)
+  ELSE 2 / pi() * (asin(r) + r * sqrt(1 - r * r) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5::DOUBLE)) * pow(1 - r * r, k))), 0)) END, 0), 6)"""
+
+
 @query(o.sql(*o.FULL, f"""lims AS (SELECT uid, round(quantile_cont(oh, 0.90), 9) AS p90, round(quantile_cont(oh, 0.95), 9) AS p95 FROM state WHERE {o.CALM} GROUP BY uid
 ), years AS (SELECT s.*, p90, p95, year(t) AS year, row_number() OVER w AS i, lag(oh) OVER w AS before FROM state s JOIN lims USING (uid) WINDOW w AS (PARTITION BY s.uid, year(t) ORDER BY t)
 ), flagged AS (SELECT uid || '|' || year AS uid, t, oh > p90 AS flag FROM years)""", o.RUNS,
-             "SELECT uid, CAST(year AS INTEGER) AS year, count(*) AS rows, round(252 * regr_slope(oh, i), 6) AS slope, round(100 * avg(CAST(oh > p90 AS INTEGER)), 6) AS share_p90, round(100 * avg(CAST(oh > p95 AS INTEGER)), 6) AS share_p95, round(100 * avg(CAST(oh > 1 AS INTEGER)), 6) AS share_one, CASE WHEN isfinite(corr(oh, before)) THEN round(corr(oh, before), 6) END AS acf1, round(max(phi), 6) AS phi_max, coalesce((SELECT max(length) FROM runs r WHERE flag AND r.uid = years.uid || '|' || years.year), 0) AS longest FROM years GROUP BY uid, year HAVING count(*) >= 20", recursive=True))
+             "yearly AS (SELECT uid, CAST(year AS INTEGER) AS year, count(*) AS rows, round(252 * regr_slope(oh, i), 6) AS slope, count(*) - 2 AS df, CASE WHEN isfinite(corr(oh, i)) THEN least(abs(corr(oh, i)), 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS r, round(100 * avg(CAST(oh > p90 AS INTEGER)), 6) AS share_p90, round(100 * avg(CAST(oh > p95 AS INTEGER)), 6) AS share_p95, round(100 * avg(CAST(oh > 1 AS INTEGER)), 6) AS share_one, CASE WHEN isfinite(corr(oh, before)) THEN round(corr(oh, before), 6) END AS acf1, round(max(phi), 6) AS phi_max, coalesce((SELECT max(length) FROM runs r WHERE flag AND r.uid = years.uid || '|' || years.year), 0) AS longest FROM years GROUP BY uid, year HAVING count(*) >= 20)",
+             f"SELECT * EXCLUDE (df, r), {TAILS} AS slope_p FROM yearly", recursive=True))
 def warming_by_year(spark, sf_dir):
     return state.yearly_warming(state.universe_state(spark, sf_dir))
 

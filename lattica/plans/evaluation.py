@@ -309,26 +309,48 @@ def ablation(spark, sf_dir):
     return found.withColumn("loss", loss).withColumn("meaning", F.when(F.col("model").startswith("without"), told))
 
 
+def _null_aucs(rows: DataFrame, scores, labels, models: int) -> np.ndarray:
+    """The separation of each model's scores (rows by models) of its own labels: scores of a model are ranked apart."""
+
+    def task(batches):
+        for batch in batches:
+            s, y = scores(batch), labels(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(models), len(y))), pa.array(np.round(s, 12).ravel()), pa.array(y.astype(np.int32).ravel())], names=["g", "score", "y"])
+
+    found = evaluate.rank_auc(rows.mapInArrow(task, "g long, score double, y int")).collect()
+    out = np.full(models, np.nan)
+    for r in found:
+        out[r["g"]] = np.nan if r["auc"] is None else r["auc"]
+    return out
+
+
 @query()
-def permutation_test(spark, sf_dir, shuffles: int = 200):
-    """The score's separation against that of labels drawn anew for every row at the labels' rate, by ranks."""
+def permutation_test(spark, sf_dir, shuffles: int = 100):
+    """Separation by one score and by a fit of all features against the same on permuted labels, each with as many ones
+    as there are; the fit is made anew for every permutation."""
     rows = _training(spark, sf_dir)
-    each = rows.groupBy(F.lit("oh").alias("g"), F.col("oh").alias("score")).agg(F.count(F.lit(1)).alias("k"))
-    before = F.sum("k").over(Window.partitionBy("g").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = rows.join(each.select(F.col("score").alias("oh"), (before - (F.col("k") - 1) / 2).alias("rank")), "oh").select("rank", "y", "row")
-    rate = rows.agg(F.avg("y")).first()[0] or 0.0
-
-    def sums(batch: pa.RecordBatch) -> np.ndarray:
-        rank, y = batch.column("rank").to_numpy().astype(float), batch.column("y").to_numpy().astype(float)
-        drawn = np.column_stack([y, fits.mixed(batch.column("row").to_numpy(), np.arange(1, shuffles + 1)) < rate])
-        return np.column_stack([drawn.T @ rank, drawn.sum(0), np.full(shuffles + 1, len(y))])
-
-    total, positive, n = fits._summed(ranked, sums, shuffles + 1, 3).T
-    with np.errstate(invalid="ignore", divide="ignore"):
-        auc = (total - positive * (positive + 1) / 2) / (positive * (n - positive))
-    own, null = auc[0], auc[1:][np.isfinite(auc[1:])]
-    row = (float(own), float(null.mean()), float(null.max()), float((1 + (null >= own).sum()) / (1 + len(null)))) if len(null) and np.isfinite(own) else (None,) * 4
-    return spark.createDataFrame([row], "auc double, null_mean double, null_max double, p double")
+    ones, n = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
+    schema = "score string, auc double, null_mean double, null_max double, p double, permutations long"
+    if not ones or ones == n:
+        return spark.createDataFrame([], schema)
+    draws = np.arange(1, shuffles + 1)
+    limits = fits.permutation_limits(rows, ones, draws)
+
+    def labels(batch: pa.RecordBatch) -> np.ndarray:
+        own = batch.column("y").to_numpy(zero_copy_only=False).astype(bool)
+        return np.column_stack([own, fits.hashed(batch.column("row").to_numpy(), draws) <= limits])
+
+    models = shuffles + 1
+    _, plain = fits.logistic_models(rows, FEATURES, models, lambda batch: np.ones((batch.num_rows, models)), target=labels)
+    made = {
+        "oh": lambda batch: np.repeat(batch.column("oh").to_numpy()[:, None], models, axis=1),
+        "fit": lambda batch: 1 / (1 + np.exp(-np.clip(fits.design(batch, FEATURES) @ plain.T, -30, 30))),
+    }
+    out = []
+    for name, scores in made.items():
+        auc = _null_aucs(rows, scores, labels, models)
+        out.append((name, float(auc[0]), float(auc[1:].mean()), float(auc[1:].max()), float((1 + (auc[1:] >= auc[0]).sum()) / models), shuffles))
+    return spark.createDataFrame(out, schema)
 
 
 def _moments(vectors: DataFrame, kind: str) -> DataFrame:
