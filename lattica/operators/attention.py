@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +88,98 @@ def nearest_regime(frame: DataFrame, columns: tuple[str, ...] = ("omega", "eta",
     nearest = F.least(*[F.struct(F.col(f"d_{k}").alias("d"), F.lit(k).alias("k")) for k in names])
     total = sum((F.exp(-F.col(f"d_{k}")) for k in names), F.lit(0.0))
     return placed.withColumn("regime", nearest["k"]).withColumns({f"m_{k}": F.round(F.exp(-F.col(f"d_{k}")) / total, 6) for k in names})
+
+
+# Matrices of texts: how often a kind of character follows another ---------------------------------------------------
+
+#: Kinds of characters and what they are called inside an expression; what fits none is ``O``, marks are ASCII ones.
+KINDS = {"V": "[aeiou]", "C": "[a-z]", "D": "[0-9]", "B": r"[\x20\x09-\x0D]", "M": r"[!-/:-@\[-`{-~]"}
+LETTERS = "VCDBMO"
+#: Heads that the turns of a conversation are dealt over.
+HEADS = 8
+
+
+def kinds_of(text: Column) -> Column:
+    """The text with a capital for each character's kind."""
+    out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for letter, pattern in KINDS.items():
+        out = F.regexp_replace(out, pattern, letter)
+    return F.regexp_replace(out, "[^VCDBM]", "O")
+
+
+def transition_counts(kinds: Column) -> list[Column]:
+    """Per pair of kinds, row by row, how often the second follows the first: by lengths, without taking texts apart."""
+    size = F.char_length(kinds)
+    found: dict[str, Column] = {}
+    for a in LETTERS:
+        for b in LETTERS:
+            if a != b:
+                found[a + b] = ((size - F.char_length(F.replace(kinds, F.lit(a + b), F.lit("")))) / 2).cast("long")
+    for a in LETTERS:  # of those of a kind, all but the first of each run follow their like
+        every = size - F.char_length(F.replace(kinds, F.lit(a), F.lit("")))
+        begun = sum((found[b + a] for b in LETTERS if b != a), F.when(F.substring(kinds, 1, 1) == a, 1).otherwise(0))
+        found[a + a] = (every - begun).cast("long")
+    return [found[a + b] for a in LETTERS for b in LETTERS]
+
+
+def text_matrices(turns: DataFrame, key: str = "conv_id", turn: str = "turn", text: str = "text", heads: int = 1) -> DataFrame:
+    """``g, head, cells``: the counts of a conversation's turns, dealt over heads by their number; 36 sums a group, combined
+    before the exchange, so a conversation of any length is no task's burden."""
+    counted = turns.select(F.col(key).alias("g"), F.pmod(F.coalesce(F.col(turn), F.lit(0)).cast("long"), F.lit(heads)).alias("head"), kinds_of(F.col(text)).alias("kinds"))
+    names = [f"c{i}" for i in range(len(LETTERS) ** 2)]
+    each = counted.select("g", "head", *(c.alias(n) for c, n in zip(transition_counts(F.col("kinds")), names, strict=True)))
+    return each.groupBy("g", "head").agg(*(F.sum(n).alias(n) for n in names)).select("g", "head", F.array(*names).alias("cells"))
+
+
+def as_cells(matrices: DataFrame) -> DataFrame:
+    """``g, i, j, a`` of ``g, cells``."""
+    n = len(LETTERS)
+    return matrices.select("g", F.posexplode("cells").alias("at", "a")).select("g", F.floor(F.col("at") / n).alias("i"), (F.col("at") % n).cast("long").alias("j"), F.col("a").cast("double").alias("a"))
+
+
+def heads_spectrum(x: np.ndarray) -> dict[str, float]:
+    """What the eigenvalues of the heads' correlation say, for heads by flattened cells: the five, the share of values
+    beyond the random edge, and the score of both."""
+    n = len(x)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = np.nan_to_num(np.atleast_2d(np.corrcoef(x)) if n > 1 else np.ones((1, 1)))
+    np.fill_diagonal(c, 1.0)
+    values = np.sort(np.abs(np.linalg.eigvalsh(c)))[::-1]
+    share = values / (values.sum() + LEAST)
+    p = share[share > 1e-12]
+    nats = float(-(p * np.log(p)).sum())
+    oh = float(share[0]) * n
+    eta = 1 - nats / np.log(n) if n > 1 else 1.0
+    coupling = float(np.abs(c[~np.eye(n, dtype=bool)]).mean()) if n > 1 else 0.0
+    gap = float((values[0] - values[1]) / (values[0] + LEAST)) if n > 1 else 0.0
+    xi = float(np.exp(nats)) / n
+    edge = (1 + np.sqrt(n / x.shape[1])) ** 2
+    beyond = int((values / (values.sum() + LEAST) * n > edge).sum())
+    return {"oh": oh, "eta": eta, "mean_corr": coupling, "gap": gap, "xi": xi, "escaped": beyond, "escape": beyond / n, "score": (oh / n + eta + gap) / 3 - (xi + 1 - coupling) / 2}
+
+
+def spectral_gap(a: np.ndarray) -> float:
+    """Gap of the two largest eigenvalues of a matrix as its lower triangle has it, relative to the largest."""
+    values = np.sort(np.abs(np.linalg.eigvalsh(a)))[::-1]
+    return float(np.clip((values[0] - values[1]) / (values[0] + LEAST), 0, 1)) if len(values) > 1 else 0.0
+
+
+SPECTRUM = ["oh", "eta", "mean_corr", "gap", "xi", "escape", "score"]
+
+
+def spectra(matrices: DataFrame) -> DataFrame:
+    """``g, heads, escaped, phi`` and the rest of each conversation's spectrum, from ``g, head, cells``: many small matrices
+    a batch. ``phi`` is the gap of the whole conversation's matrix, its sum being one."""
+    kind = dict(matrices.dtypes)["g"]
+    gathered = matrices.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("head", "cells"))).alias("heads"))  # HEADS at most
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(LETTERS)
+        for batch in batches:
+            rows = [np.array([h["cells"] for h in heads], float) for heads in batch.column("heads").to_pylist()]
+            found = [heads_spectrum(x) for x in rows]
+            phi = [spectral_gap((x.sum(0) / max(x.sum(), LEAST)).reshape(n, n)) for x in rows]
+            out = {"g": batch.column("g"), "heads": pa.array([len(x) for x in rows], pa.int32()), "escaped": pa.array([f["escaped"] for f in found], pa.int32()), "phi": pa.array(phi, pa.float64())}
+            yield pa.RecordBatch.from_pydict(out | {c: pa.array([float(f[c]) for f in found], pa.float64()) for c in SPECTRUM})
+
+    return gathered.mapInArrow(task, f"g {kind}, heads int, escaped int, phi double, " + ", ".join(f"{c} double" for c in SPECTRUM))

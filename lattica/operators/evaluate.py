@@ -71,3 +71,18 @@ def paired_t(pairs: DataFrame) -> DataFrame:
     d = F.col("x") - F.col("y")
     s = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
     return s.select("g", "n", F.round("m", 6).alias("mean_diff"), F.round(F.try_divide(F.col("m"), F.col("s") / F.sqrt("n")), 6).alias("t"))
+
+
+def stratified_folds(rows: DataFrame, label: str, order: Column, folds: int) -> DataFrame:
+    """Adds ``fold``: of every class the rows by ``order`` (hex digits) go round the folds, so counts differ by one at most.
+
+    A row's place in its class is its place among those with the same three first digits plus the count of those before,
+    so a class spreads over 4 096 groups.
+    """
+    marked = rows.withColumns({"_order": order, "_part": F.substring(order, 1, 3)})
+    parts = marked.groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col(label).alias("_label"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_order"))
+    placed = marked.withColumn("_own", own).join(before, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+    return placed.withColumn("fold", ((F.col("_own") + F.col("_before") - 1) % folds).cast("int")).select(*rows.columns, "fold")
