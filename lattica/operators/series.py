@@ -147,6 +147,30 @@ def euler_divergence(series: DataFrame, x: str, horizon: float = 1.0) -> DataFra
     return moved.withColumn("divergence", F.try_divide(F.abs(F.col(x) - projected), F.abs(F.col(x)) + EPS))
 
 
+def phase_velocity(x: str, how: str = "centred") -> Column:
+    """Change of a series a row: ``centred`` (one-sided at both ends), ``forward`` (the last as the one before it) or
+    ``backward`` (the first as the one after it); zero for a single row."""
+    w = by("uid")
+    before, after = F.lag(x).over(w), F.lead(x).over(w)
+    back, on = F.col(x) - before, after - F.col(x)
+    found = {
+        "centred": F.coalesce((after - before) / 2, on, back),
+        "forward": F.coalesce(on, back),
+        "backward": F.coalesce(back, on),
+    }
+    return F.coalesce(found[how], F.lit(0.0))
+
+
+def divergence_parts(state: DataFrame, columns: list[str], how: str = "centred", horizon: float = 1.0) -> DataFrame:
+    """Adds ``part_c`` for every column (its distance from where its velocity carries it), their norm ``total``,
+    ``relative`` to the state's norm, and the change of that (``gradient``)."""
+    norm = lambda values: F.sqrt(sum((v * v for v in values), F.lit(0.0)))
+    parts = {f"part_{c}": F.abs(phase_velocity(c, how) * horizon) for c in columns}
+    made = state.withColumns(parts).withColumn("total", norm([F.col(c) for c in parts]))
+    made = made.withColumn("relative", F.col("total") / F.greatest(norm([F.col(c) for c in columns]), F.lit(1e-10)))
+    return made.withColumn("gradient", F.col("relative") - F.lag("relative").over(by("uid")))
+
+
 def slowing(series: DataFrame, x: str, window: int, quiet_rows: Column) -> DataFrame:
     """Critical slowing: lag-one correlation and deviation of the ``window`` rows before, scored against quiet rows."""
     w, whole = by("uid"), Window.partitionBy("uid")

@@ -109,6 +109,23 @@ def moving_features(frame: DataFrame, columns: list[str], rows: int = 10, step:
     return made.withColumns({n: F.first(n, ignorenulls=True).over(later) for c in columns for n in (f"{c}_slope", f"{c}_std")})
 
 
+#: Means of rounded values lie half-way between two rounded ones at times; this moves them off, one way for all.
+OFF_TIES = 1.3e-12
+
+
+def smoothed_scores(frame: DataFrame, metrics: list[str], rows: list[int], targets: list[str]) -> DataFrame:
+    """``uid, metric, rows, target, score, y``: every metric as the mean of ever more rows, against every target; all
+    means come from one ordering of the frame, and the settings go along with each row as an array."""
+    w = by("uid")
+    mean = lambda m, k: F.when(F.count(m).over(w.rowsBetween(1 - k, 0)) == k, F.avg(m).over(w.rowsBetween(1 - k, 0)))
+    named = {f"_{m}_{k}": (m, k) for m in metrics for k in rows}
+    made = frame.select("uid", *targets, *(mean(m, k).alias(n) for n, (m, k) in named.items()))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("rows"), F.round(F.col(n) + OFF_TIES, 9).alias("score")) for n, (m, k) in named.items()])
+    goals = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("int").alias("y")) for t in targets])
+    long = made.select("uid", F.explode(each).alias("s"), goals.alias("goals")).select("uid", "s.*", F.explode("goals").alias("t"))
+    return long.select("uid", "metric", "rows", "t.target", "score", "t.y").where("score IS NOT NULL AND y IS NOT NULL")
+
+
 def row_patterns(matrices: DataFrame, floor: float = 1e-10) -> DataFrame:
     """``g, i, k, c``: how alike rows of each square matrix ``g, i, j, a`` are; of matrices under three rows, no row is like another."""
     row, whole = Window.partitionBy("g", "i"), Window.partitionBy("g")

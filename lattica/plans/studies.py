@@ -243,6 +243,50 @@ def window_sweep(spark, sf_dir):
     return evaluate.rank_auc(out).select(F.col("g").cast("int").alias("rows"), "auc")
 
 
+METRICS, SMALL = ["mean_corr", "eta", "vol"], [1, 2, 3, 5, 7, 10, 20]
+COMPARED = f"""marked AS (SELECT uid, t, mean_corr, eta, vol, max(CAST(oh > 0.9 AS INTEGER)) OVER f AS quiet_based, max(CAST(vol > high AS INTEGER)) OVER f AS quiet_free
+  FROM (SELECT *, quantile_cont(vol, 0.75) OVER (PARTITION BY uid) AS high FROM ohs) WINDOW f AS (PARTITION BY uid ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)
+), means AS ({" UNION ALL ".join(f"SELECT uid, '{m}' AS metric, {k} AS rows, CASE WHEN count({m}) OVER (PARTITION BY uid ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = {k} THEN round(avg({m}) OVER (PARTITION BY uid ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) + {studies.OFF_TIES}::DOUBLE, 9) END AS score, quiet_based, quiet_free FROM marked" for m in METRICS for k in SMALL)}
+), long AS (SELECT uid, metric, rows, 'quiet_based' AS target, score, quiet_based AS y FROM means UNION ALL SELECT uid, metric, rows, 'quiet_free', score, quiet_free FROM means
+), scored AS (
+  SELECT 'all' AS u, metric, rows, target, score, y FROM long WHERE score IS NOT NULL AND y IS NOT NULL UNION ALL SELECT uid, metric, rows, target, score, y FROM long WHERE score IS NOT NULL AND y IS NOT NULL
+), counted AS (SELECT u, metric, rows, target, score, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY ALL
+), up AS (SELECT *, sum(pos) OVER (PARTITION BY u, metric, rows, target ORDER BY score DESC) AS tp FROM counted
+), aucs AS (SELECT u, metric, rows, target, round(sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM up GROUP BY ALL
+), folded AS (SELECT u, metric, rows, target, greatest(auc, round(1 - auc, 6)) AS auc FROM aucs)"""
+
+
+# windows of the means CTE clash with the state's, so it goes by another name
+@query(o.sql(*o.WINDOWS, COMPARED.replace("means AS", "smooth AS").replace("FROM means", "FROM smooth"), "SELECT metric, CAST(rows AS INTEGER) AS rows, target, max(auc) FILTER (u = 'all') AS auc, round(avg(auc) FILTER (u <> 'all'), 6) AS mean_auc, count(auc) FILTER (u <> 'all') AS universes FROM folded GROUP BY metric, rows, target"))
+def window_comparison(spark, sf_dir):
+    """From how few rows the state's metrics tell what comes, against a target that leans on the quiet share and one that
+    does not: separation over all rows, and its mean over universes."""
+    frame = _oh_state(spark, sf_dir)
+    high = F.percentile("vol", F.lit(0.75)).over(Window.partitionBy("uid"))
+    marked = events.forward_target(events.forward_target(frame, F.col("oh") > 0.9, 12, "quiet_based").withColumn("high", high), F.col("vol") > F.col("high"), 12, "quiet_free")
+    long = studies.smoothed_scores(marked, METRICS, SMALL, ["quiet_based", "quiet_free"])
+    both = long.withColumn("u", F.explode(F.array(F.lit("all"), F.col("uid"))))
+    ranked = evaluate.folded_auc(both.select(F.struct("u", "metric", "rows", "target").alias("g"), "score", "y")).select("g.*", "auc")
+    alone = F.when(F.col("u") != "all", F.col("auc"))
+    return ranked.groupBy("metric", "rows", "target").agg(F.max(F.when(F.col("u") == "all", F.col("auc"))).alias("auc"), F.round(F.avg(alone), 6).alias("mean_auc"), F.count(alone).alias("universes"))
+
+
+PARTS = ["oh", "eta", "phi", "vol"]
+VELOCITY = {"centred": "coalesce((lead({c}) OVER w - lag({c}) OVER w) / 2, lead({c}) OVER w - {c}, {c} - lag({c}) OVER w)", "forward": "coalesce(lead({c}) OVER w - {c}, {c} - lag({c}) OVER w)", "backward": "coalesce({c} - lag({c}) OVER w, lead({c}) OVER w - {c})"}
+
+
+@query(o.sql(*o.FULL, "moved AS (" + " UNION ALL ".join(f"SELECT uid, t, '{how}' AS how, sqrt({' + '.join(f'{c} * {c}' for c in PARTS)}) AS size, " + ", ".join(f"abs(coalesce({v.format(c=c)}, 0)) AS part_{c}" for c in PARTS) + " FROM state WINDOW w AS (PARTITION BY uid ORDER BY t)" for how, v in VELOCITY.items()) + ")",
+             f"summed AS (SELECT *, sqrt({' + '.join(f'part_{c} * part_{c}' for c in PARTS)}) AS total FROM moved)", "scaled AS (SELECT *, total / greatest(size, 1e-10) AS relative FROM summed)",
+             f"SELECT uid, t, how, {', '.join(f'round(part_{c}, 6) AS part_{c}' for c in PARTS)}, round(total, 6) AS total, round(relative, 6) AS relative, round(relative - lag(relative) OVER (PARTITION BY uid, how ORDER BY t), 6) + 0.0::DOUBLE AS gradient FROM scaled", recursive=True))
+def divergence_parts(spark, sf_dir):
+    """Which observable departs from where its velocity carries it, by three ways to take velocities, and how that changes."""
+    frame, out = state.universe_state(spark, sf_dir).select("uid", "t", *PARTS), None
+    for how in VELOCITY:
+        own = series.divergence_parts(frame, PARTS, how).withColumn("how", F.lit(how))
+        out = own if out is None else out.unionByName(own)
+    return out.select("uid", "t", "how", *r6(*(f"part_{c}" for c in PARTS), "total", "relative"), (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
 @query(o.sql(*o.WINDOWS, LABELLED_STATE, "scored AS (SELECT CASE WHEN rn <= floor(0.6::DOUBLE * n) THEN 'early' ELSE 'late' END AS g, mean_corr AS score, y FROM goal WHERE y IS NOT NULL)", RANKED, f"SELECT g, {RANKED_AUC} FROM cum GROUP BY g"))
 def temporal_split(spark, sf_dir):
     """Whether what separates early rows separates late ones."""

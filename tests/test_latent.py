@@ -132,3 +132,25 @@ def test_leading_axes_and_what_explains_them(spark):
     assert r2 == pytest.approx(1 - (rest @ rest) / ((y - y.mean()) @ (y - y.mean())), abs=1e-9)
     assert each["b"] == pytest.approx(np.corrcoef(x[:, 1], y)[0, 1], abs=1e-9)
     assert latent.explained(rows.withColumn("y", F.lit(1.0)), "y", ["a"])[0] == 0
+
+
+def test_divergence_parts_equal_numpy(spark):
+    import datetime
+
+    from lattica.operators import series
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 2))
+    rows = [("a", datetime.date(2020, 1, 1) + datetime.timedelta(i), float(p), float(q)) for i, (p, q) in enumerate(x)] + [("b", datetime.date(2020, 1, 1), 2.0, 0.0)]
+    frame = spark.createDataFrame(rows, "uid string, t date, p double, q double")
+    velocity = {
+        "centred": np.gradient(x, axis=0),
+        "forward": np.vstack([np.diff(x, axis=0), np.diff(x, axis=0)[-1:]]),
+        "backward": np.vstack([np.diff(x, axis=0)[:1], np.diff(x, axis=0)]),
+    }
+    for how, v in velocity.items():
+        got = series.divergence_parts(frame, ["p", "q"], how, horizon=2.0).orderBy("uid", "t").collect()
+        relative = np.linalg.norm(2 * v, axis=1) / np.maximum(np.linalg.norm(x, axis=1), 1e-10)
+        assert np.allclose([[r["part_p"], r["part_q"]] for r in got[:30]], np.abs(2 * v)) and np.allclose([r["relative"] for r in got[:30]], relative)
+        assert got[0]["gradient"] is None and np.allclose([r["gradient"] for r in got[1:30]], np.diff(relative))
+        assert (got[30]["total"], got[30]["gradient"]) == (0.0, None)
