@@ -71,6 +71,41 @@ def global_risk(reports: DataFrame) -> DataFrame:
     )
 
 
+def global_trend(reports: DataFrame, trends: DataFrame) -> DataFrame:
+    """One row: universes that rise and fall, what that means where one side has more than two over the other, and whether
+    alarms are global (half of all universes critical), regional or none. ``trends`` has ``uid, direction``."""
+    both = reports.select("uid", "status").join(trends.select("uid", "direction"), "uid", "left")
+    hot = F.col("status").isin("CRITICAL", "PRESSURIZED")
+    counts = both.agg(
+        F.count_if(F.col("direction") == "rising").alias("rising"), F.count_if(F.col("direction") == "falling").alias("falling"),
+        F.count_if(F.col("status") == "CRITICAL").alias("critical"), F.count_if(hot).alias("alarmed"), F.count(F.lit(1)).alias("universes"),
+    ).where("universes > 0")
+    trend = F.when(F.col("rising") > F.col("falling") + 2, "deteriorating").when(F.col("falling") > F.col("rising") + 2, "improving").otherwise("mixed")
+    reach = F.when((F.col("alarmed") > 0) & (2 * F.col("critical") >= F.col("universes")), "global").when(F.col("alarmed") > 0, "regional").otherwise("none")
+    return counts.withColumn("trend", trend).withColumn("contagion", reach)
+
+
+def with_errors(reports: DataFrame, universes: DataFrame) -> DataFrame:
+    """A report for each of ``universes`` (``uid``): those without one have the status ``ERROR``."""
+    return universes.select("uid").distinct().join(reports, "uid", "left").withColumn("status", F.coalesce("status", F.lit("ERROR")))
+
+
+def semi_anti(series_: DataFrame, periods: DataFrame, columns: list[str]) -> DataFrame:
+    """Means of rows in any of the ``periods`` (``low, high`` inclusive, a stated few) and in none, and their difference.
+
+    Overlapping periods count a row once: it is in or out by a semi-join."""
+    own = F.broadcast(periods.select("low", "high"))
+    inside = (F.col("t") >= F.col("low")) & (F.col("t") <= F.col("high"))
+    parts = series_.join(own, inside, "left_semi").withColumn("extreme", F.lit(True)).unionByName(series_.join(own, inside, "left_anti").withColumn("extreme", F.lit(False)))
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("observable"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = parts.select("extreme", values.alias("x")).select("extreme", "x.*")
+    mean = lambda flag: F.avg(F.when(F.col("extreme") == flag, F.col("v")))
+    return long.groupBy("observable").agg(
+        F.count_if(~F.col("extreme")).alias("n_normal"), F.count_if("extreme").alias("n_extreme"), F.round(mean(False), 6).alias("normal"), F.round(mean(True), 6).alias("extreme"),
+        F.round(mean(True) - mean(False), 6).alias("delta"),
+    )
+
+
 def recent_trend(state: DataFrame) -> DataFrame:
     """Change of oh against 6 and 29 rows before the last, its direction, and the last value's percentile rank."""
     placed = series.numbered(state).withColumn("_back", F.col("n") - F.col("rn"))

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import attention, evaluate, events, fits, rules, state
+from lattica.operators import attention, evaluate, events, fits, network, rules, series, state, studies
 from lattica.plans import oracle as o
-from lattica.plans.catalog import all_returns, query, r6
+from lattica.plans.catalog import SCALED, _distances, _oh_state, all_returns, query, r6
 from lattica.plans.evaluation import ATTENTION, _axes, _moments
 from lattica.plans.monitoring import REPORT, SPIKES
 from lattica.runtime import table, written
@@ -83,6 +83,81 @@ def role_insights(spark, sf_dir):
     return rules.role_insights(reports, members, RULES).withColumn("assets", F.array_join("assets", ","))
 
 
+# Signature on circuits -------------------------------------------------------------------------------------------------
+
+CIRCUITS = (
+    SCALED,
+    "turned AS (SELECT uid, t, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - abs((a * da + b * db + c * dc) / ((sqrt(a * a + b * b + c * c) + 1e-12) * (sqrt(da * da + db * db + dc * dc) + 1e-12))))) AS divergence FROM moved)",
+    "circuits AS (SELECT e.uid, e.t, CAST(e.n - v.n + 1 AS DOUBLE) AS h1 FROM (SELECT uid, t, count(*) AS n FROM graph GROUP BY ALL) e JOIN (SELECT uid, t, count(DISTINCT i) AS n FROM around GROUP BY ALL) v USING (uid, t))",
+    "circled AS (SELECT s.*, h1, round(divergence, 9) AS d FROM state s JOIN circuits USING (uid, t) JOIN turned USING (uid, t))",
+    f"""tops AS (SELECT uid, greatest(quantile_cont(h1, 0.95), 1.0::DOUBLE) AS h95, quantile_cont(eta, 0.75) AS e75, quantile_cont(d, 0.75) AS d75 FROM circled WHERE {o.CALM} GROUP BY uid
+), paths AS (SELECT c.*, h1 / h95 AS xi, e75, d75, coalesce(phi - lag(phi) OVER (PARTITION BY uid ORDER BY t), 0) AS dphi FROM circled c JOIN tops USING (uid)
+), critical AS (SELECT uid, greatest(quantile_cont(xi, 0.99), max(xi)) * 1.02::DOUBLE AS xi_c FROM paths WHERE {o.CALM} GROUP BY uid)""",
+)
+SIGNATURE = """signs AS (SELECT uid, t, oh > oh_pre AS c1, phi > phi_c AS c2, dphi > 0 AS c3, eta > e75 AS c4, xi < 1 AS c5, d < d75 AS c6 FROM paths
+), flagged AS (SELECT *, c1 AND c2 AND c3 AND c4 AND c5 AND c6 AS flag FROM signs)"""
+STUCK = """held0 AS (SELECT uid, max(length) AS tau FROM runs WHERE flag = 'rigid' GROUP BY uid
+), stuck AS (
+  SELECT uid, coalesce(avg(eta) FILTER (regime = 'rigid'), 0) AS e, coalesce(avg(xi) FILTER (regime = 'rigid'), 0) AS x, greatest(CASE WHEN count(*) FILTER (xi > 0) > 5 THEN quantile_cont(xi, 0.05) FILTER (xi > 0) ELSE 1e-12 END, 1e-12) AS floor FROM paths GROUP BY uid)"""
+
+
+def on_circuits(spark, sf_dir) -> DataFrame:
+    """The state with the circuits of each window's neighbour graph (edges less nodes, and one) as its ways out, their ratio
+    to quiet ones and its critical value, and the phase divergence."""
+    edges = network.nearest_neighbours(_distances(spark, sf_dir), ["uid", "t"])
+    nodes = F.size(F.array_distinct(F.flatten(F.collect_list(F.array("u", "v")))))  # of one window's graph
+    circuits = edges.groupBy("uid", "t").agg((F.count(F.lit(1)) - nodes + 1).cast("double").alias("h1_count"))
+    joined = state.universe_state(spark, sf_dir).join(circuits, ["uid", "t"])
+    diverged = series.phase_divergence(joined, ["oh", "eta", "vol"]).withColumn("divergence", F.round("divergence", 9))
+    return studies.cycle_ratio(diverged)
+
+
+@query(o.sql(*o.FULL, *CIRCUITS, "SELECT uid, t, h1 AS circuits, round(xi, 6) AS xi, round(xi_c, 6) AS xi_c FROM paths JOIN critical USING (uid)", recursive=True))
+def circuit_ratio(spark, sf_dir):
+    """Ways out relative to quiet times, and the ratio's critical value."""
+    return on_circuits(spark, sf_dir).select("uid", "t", F.col("h1_count").alias("circuits"), *r6("xi", "xi_c"))
+
+
+@query(o.sql(*o.FULL, *CIRCUITS, SIGNATURE, o.RUNS, "SELECT uid, " + ", ".join(f"round(avg(CAST({a} AS INTEGER)), 6) AS {b}" for a, b in [("flag", "tau"), *((f"c{i}", f"c{i}") for i in range(1, 7))]) + ", min(t) FILTER (flag) AS onset, coalesce((SELECT max(length) FROM runs r WHERE r.flag AND r.uid = flagged.uid), 0) AS longest FROM flagged GROUP BY uid", recursive=True))
+def circuit_signature(spark, sf_dir):
+    """How often the six conditions of pressure hold at once, by circuits."""
+    return state.pressure_signature(on_circuits(spark, sf_dir))
+
+
+@query(o.sql(*o.FULL, *CIRCUITS, "flagged AS (SELECT uid, t, regime AS flag FROM state)", o.RUNS, STUCK, "SELECT s.uid, round(coalesce(tau, 0) * e / (x + floor), 6) AS viscosity FROM stuck s LEFT JOIN held0 USING (uid)", recursive=True))
+def circuit_viscosity(spark, sf_dir):
+    """The longest rigid run times rigidity over the ways out that are left."""
+    return studies.viscosity(on_circuits(spark, sf_dir)).select("uid", *r6("viscosity"))
+
+
+# All universes at once -------------------------------------------------------------------------------------------------
+
+
+@query(o.sql(*o.FULL, SPIKES, REPORT, """ats AS (SELECT uid, max(oh) FILTER (rn = n) AS now, max(oh) FILTER (rn = n - 6) AS week FROM ohs GROUP BY uid
+), ways AS (SELECT uid, CASE WHEN round(now - week, 6) > 0.05 THEN 1 WHEN round(now - week, 6) < -0.05 THEN -1 ELSE 0 END AS way FROM ats
+), sums AS (SELECT count(*) FILTER (way = 1) AS rising, count(*) FILTER (way = -1) AS falling FROM ways
+), kinds AS (SELECT count(*) FILTER (status = 'CRITICAL') AS critical, count(*) FILTER (status IN ('CRITICAL', 'PRESSURIZED')) AS alarmed, count(*) AS universes FROM statuses)""",
+             "SELECT rising, falling, CASE WHEN rising > falling + 2 THEN 'deteriorating' WHEN falling > rising + 2 THEN 'improving' ELSE 'mixed' END AS trend, critical, alarmed, universes, CASE WHEN alarmed > 0 AND 2 * critical >= universes THEN 'global' WHEN alarmed > 0 THEN 'regional' ELSE 'none' END AS contagion FROM sums, kinds WHERE universes > 0", recursive=True))
+def global_trend(spark, sf_dir):
+    """Whether more universes rise than fall, and how far alarms reach."""
+    return events.global_trend(events.universe_report(state.universe_state(spark, sf_dir)), events.recent_trend(_oh_state(spark, sf_dir)))
+
+
+EXTREMES = [("2024-01-09", "2024-01-14"), ("2024-01-13", "2024-01-16"), ("2024-01-20", "2024-01-21")]
+
+
+@query(o.sql("days AS (SELECT CAST(ts AS DATE) AS t, round(avg(value), 6) AS oh, round(stddev_pop(value), 6) AS eta FROM events GROUP BY 1)",
+             "periods(low, high) AS (VALUES " + ", ".join(f"(DATE '{a}', DATE '{b}')" for a, b in EXTREMES) + ")",
+             "marked AS (SELECT d.*, EXISTS (SELECT 1 FROM periods p WHERE d.t BETWEEN p.low AND p.high) AS extreme FROM days d)",
+             "long AS (SELECT extreme, unnest(['oh', 'eta']) AS observable, unnest([oh, eta]) AS v FROM marked)",
+             "SELECT observable, count(*) FILTER (NOT extreme) AS n_normal, count(*) FILTER (extreme) AS n_extreme, round(avg(v) FILTER (NOT extreme), 6) AS normal, round(avg(v) FILTER (extreme), 6) AS extreme, round(avg(v) FILTER (extreme) - avg(v) FILTER (NOT extreme), 6) AS delta FROM long GROUP BY observable"))
+def normal_and_extreme(spark, sf_dir):
+    """Days in any extreme period against all others."""
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("t")).agg(F.round(F.avg("value"), 6).alias("oh"), F.round(F.stddev_pop("value"), 6).alias("eta"))
+    periods = spark.createDataFrame(EXTREMES, "low string, high string").select(*(F.to_date(c).alias(c) for c in ("low", "high")))
+    return events.semi_anti(days, periods, ["oh", "eta"])
+
+
 # Even folds ------------------------------------------------------------------------------------------------------------
 
 

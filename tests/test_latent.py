@@ -154,3 +154,24 @@ def test_divergence_parts_equal_numpy(spark):
         assert np.allclose([[r["part_p"], r["part_q"]] for r in got[:30]], np.abs(2 * v)) and np.allclose([r["relative"] for r in got[:30]], relative)
         assert got[0]["gradient"] is None and np.allclose([r["gradient"] for r in got[1:30]], np.diff(relative))
         assert (got[30]["total"], got[30]["gradient"]) == (0.0, None)
+
+
+def test_reports_trends_and_periods(spark):
+    import datetime
+
+    from lattica.operators import events
+
+    reports = spark.createDataFrame([("a", "CRITICAL"), ("b", "PRESSURIZED"), ("c", "CRITICAL"), ("d", "HEALTHY")], "uid string, status string")
+    trends = spark.createDataFrame([("a", "rising"), ("b", "rising"), ("c", "rising"), ("d", "stable")], "uid string, direction string")
+    r = events.global_trend(reports, trends).first()
+    assert (r["rising"], r["falling"], r["trend"], r["critical"], r["alarmed"], r["contagion"]) == (3, 0, "deteriorating", 2, 3, "global")
+    assert events.global_trend(reports.where("uid IN ('b', 'd')"), trends).first()["contagion"] == "regional"
+    assert events.global_trend(reports.where("uid = 'd'"), trends).first()["contagion"] == "none"
+    assert events.global_trend(reports.where("false"), trends).count() == 0
+    universes = spark.createDataFrame([("a",), ("z",), ("z",)], "uid string")
+    assert {x["uid"]: x["status"] for x in events.with_errors(reports, universes).collect()} == {"a": "CRITICAL", "z": "ERROR"}
+    day = lambda k: datetime.date(2024, 1, k)
+    rows = spark.createDataFrame([(day(k), float(k)) for k in range(1, 11)], "t date, x double")
+    periods = spark.createDataFrame([(day(2), day(4)), (day(3), day(5)), (day(9), day(9))], "low date, high date")
+    x = events.semi_anti(rows, periods, ["x"]).first()
+    assert (x["n_normal"], x["n_extreme"], x["extreme"], x["normal"]) == (5, 5, 4.6, 6.4) and x["delta"] == pytest.approx(-1.8)
