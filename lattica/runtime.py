@@ -72,6 +72,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs a re-read, never a recomputation of what came before.
     """
     spark = df.sparkSession
+    ship(spark)  # frames need not come from ``table``
     path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
     # a compressor without a native context per page and column: those pile up in long-lived executors
     df.write.option("compression", "snappy").parquet(path)
