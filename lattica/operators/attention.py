@@ -27,12 +27,22 @@ def synthetic_attention(spark: SparkSession, n: int) -> DataFrame:
 
 
 def normalised(attention: DataFrame, how: str = "row") -> DataFrame:
-    """By the sum of all, of the row, or by the maximum."""
+    """By the sum of all, of the row, by the maximum, or not at all (``none``); what is negative counts as zero."""
+    attention = attention.withColumn("a", F.greatest("a", F.lit(0.0)))
+    if how == "none":
+        return attention
     whole, row = Window.partitionBy("g"), Window.partitionBy("g", "i")
     by = {"sum": F.sum("a").over(whole), "row": F.sum("a").over(row), "max": F.max("a").over(whole)}[how]
     return attention.withColumn("a", F.coalesce(F.try_divide("a", by), F.lit(0.0)))
 
 
+def mean_of_heads(attention: DataFrame) -> DataFrame:
+    """``g, i, j, a``: cells of several heads ``g, head, i, j, a`` as their mean; a head that lacks a cell has zero there."""
+    heads = attention.groupBy("g").agg(F.countDistinct("head").alias("_heads"))
+    summed = attention.groupBy("g", "i", "j").agg(F.sum("a").alias("a"))
+    return summed.join(heads, "g").select("g", "i", "j", (F.col("a") / F.col("_heads")).alias("a"))
+
+
 def contrasted(attention: DataFrame) -> DataFrame:
     """Square roots, stretched to 0 to 1."""
     root, whole = F.sqrt("a"), Window.partitionBy("g")
@@ -61,6 +71,24 @@ def entropy_family(attention: DataFrame) -> DataFrame:
 WEIGHTS = {"rscore": 0.30, "eta": 0.25, "xi": 0.20, "delta": 0.15, "omega": 0.10}
 
 
+#: Other weightings of the same features, each to be divided by its sum.
+PRESETS: dict[str, dict[str, float]] = {
+    "balanced": {"rscore": 0.25, "eta": 0.25, "xi": 0.20, "delta": 0.15, "omega": 0.15},
+    "score_focused": {"rscore": 0.50, "eta": 0.15, "xi": 0.15, "delta": 0.10, "omega": 0.10},
+    "regime_focused": {"rscore": 0.15, "eta": 0.30, "xi": 0.30, "delta": 0.15, "omega": 0.10},
+}
+
+
+def preset_scores(frame: DataFrame, presets: dict[str, dict[str, float]] = PRESETS) -> DataFrame:
+    """``g, preset, score`` and each feature's part, for every preset: the weights go along with each row."""
+    value = {"xi": 1 - F.col("xi"), "omega": -F.col("omega")}
+    scaled = {p: {k: w / sum(map(abs, ws.values())) for k, w in ws.items()} for p, ws in presets.items()}
+    parts = lambda ws: [(value.get(k, F.col(k)) * w).alias(f"part_{k}") for k, w in ws.items()]
+    total = lambda ws: sum((value.get(k, F.col(k)) * w for k, w in ws.items()), F.lit(0.0)).alias("score")
+    each = F.array(*[F.struct(F.lit(p).alias("preset"), total(ws), *parts(ws)) for p, ws in scaled.items()])
+    return frame.select("g", F.explode(each).alias("e")).select("g", "e.*")
+
+
 def composite(frame: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Adds ``score``: the weighted sum over the sum of the weights' sizes, and each feature's part."""
     size = sum(abs(w) for w in weights.values())
@@ -132,9 +160,9 @@ def text_matrices(turns: DataFrame, key: str = "conv_id", turn: str = "turn", te
 
 
 def as_cells(matrices: DataFrame) -> DataFrame:
-    """``g, i, j, a`` of ``g, cells``."""
-    n = len(LETTERS)
-    return matrices.select("g", F.posexplode("cells").alias("at", "a")).select("g", F.floor(F.col("at") / n).alias("i"), (F.col("at") % n).cast("long").alias("j"), F.col("a").cast("double").alias("a"))
+    """``g, i, j, a`` of ``g, cells``, and ``head`` if there is one."""
+    n, keys = len(LETTERS), [c for c in ("g", "head") if c in matrices.columns]
+    return matrices.select(*keys, F.posexplode("cells").alias("at", "a")).select(*keys, F.floor(F.col("at") / n).alias("i"), (F.col("at") % n).cast("long").alias("j"), F.col("a").cast("double").alias("a"))
 
 
 def heads_spectrum(x: np.ndarray) -> dict[str, float]:

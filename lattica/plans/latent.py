@@ -32,7 +32,48 @@ FAMILY = "ps AS (" + ATTENTION.split("), ps AS (")[1]
 @query(o.sql(TEXT_MATRICES, FAMILY, "SELECT * FROM family"))
 def conversation_attention(spark, sf_dir):
     """The entropy family of every conversation's matrix of character kinds."""
-    return attention.entropy_family(attention.as_cells(attention.text_matrices(table(spark, sf_dir, "conversations"))))
+    return attention.entropy_family(attention.as_cells(attention.text_matrices(table(spark, sf_dir, "conversations")).drop("head")))
+
+
+WAYS = ["sum", "row", "max", "none"]
+HEADED = TEXT_MATRICES.replace("SELECT conv_id AS g,", "SELECT conv_id AS g, coalesce(turn, 0) % 8 AS head,").replace("), matrices AS (", "), unused AS (")
+
+
+@query(o.sql(HEADED, "sizes AS (SELECT g, count(DISTINCT head) AS heads FROM kinds GROUP BY g)",
+             f"summed AS (SELECT c.g, p.i, q.j, coalesce(n.a, 0) / c.heads AS a FROM sizes c, range({len(attention.LETTERS)}) p(i), range({len(attention.LETTERS)}) q(j) LEFT JOIN counts n ON n.g IS NOT DISTINCT FROM c.g AND n.i = p.i AND n.j = q.j)",
+             """ways AS (
+  SELECT g, 'none' AS how, a FROM summed UNION ALL SELECT g, 'sum', coalesce(a / nullif(sum(a) OVER (PARTITION BY g), 0), 0) FROM summed
+  UNION ALL SELECT g, 'row', coalesce(a / nullif(sum(a) OVER (PARTITION BY g, i), 0), 0) FROM summed UNION ALL SELECT g, 'max', coalesce(a / nullif(max(a) OVER (PARTITION BY g), 0), 0) FROM summed)""",
+             "SELECT g, how, round(sum(a), 6) AS total, round(max(a), 6) AS largest, round(sum(a * a), 6) AS squares FROM ways GROUP BY g, how"))
+def conversation_normalised(spark, sf_dir):
+    """The mean matrix of a conversation's heads, normalised four ways: sum, largest cell and sum of squares."""
+    heads = attention.as_cells(attention.text_matrices(table(spark, sf_dir, "conversations"), heads=attention.HEADS))
+    mean = written(attention.mean_of_heads(heads), "mean-heads")
+    out: DataFrame | None = None
+    for how in WAYS:
+        own = attention.normalised(mean, how).groupBy("g").agg(F.round(F.sum("a"), 6).alias("total"), F.round(F.max("a"), 6).alias("largest"), F.round(F.sum(F.col("a") * F.col("a")), 6).alias("squares")).withColumn("how", F.lit(how))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+#: Parts of rounded features lie half-way between two rounded ones at times; this moves them off.
+OFF_TIES = 1.3e-9
+
+
+def _preset_sql(ws: dict[str, float]) -> str:
+    whole = sum(map(abs, ws.values()))
+    value = {"xi": "(1 - xi)", "omega": "(-omega)"}
+    parts = {k: f"{value.get(k, k)} * {w / whole!r}::DOUBLE" for k, w in ws.items()}
+    return f"round({' + '.join(parts.values())} + {OFF_TIES}::DOUBLE, 6) AS score, " + ", ".join(f"round({v} + {OFF_TIES}::DOUBLE, 6) AS part_{k}" for k, v in parts.items())
+
+
+@query(o.sql(TEXT_MATRICES, FAMILY, "rated AS (SELECT *, round(ln(1 + xi), 6) AS rscore FROM family)", " UNION ALL ".join(f"SELECT g, '{p}' AS preset, {_preset_sql(ws)} FROM rated" for p, ws in attention.PRESETS.items())))
+def conversation_presets(spark, sf_dir):
+    """Every conversation's composite score under each weighting, with the features' parts."""
+    cells = attention.as_cells(attention.text_matrices(table(spark, sf_dir, "conversations")).drop("head"))
+    rated = attention.entropy_family(cells).withColumn("rscore", F.round(F.log1p("xi"), 6))
+    found = attention.preset_scores(rated)
+    return found.select("g", "preset", *(F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in found.columns if c not in ("g", "preset")))
 
 
 @query()

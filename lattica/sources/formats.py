@@ -39,6 +39,20 @@ def read_panel_csv(spark: SparkSession, path: str, assets: list[str], date: str
     return named.select("uid", F.col(date).alias("t"), F.explode(values).alias("asset", "x"))
 
 
+def read_asset_files(spark: SparkSession, path: str, date: str = "Date", prefer: tuple[str, ...] = ("Close", "Adj Close")) -> DataFrame:
+    """``t, asset, x`` of CSV files of one asset each, named by it: the first preferred column that a file's header has.
+
+    Headers may differ from file to file; a file without a preferred column gives no rows, nor do rows without a date or
+    a number. Dates that only some assets have are there for those: a full grid aligns them.
+    """
+    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.csv)?$", 1).alias("asset"), F.split(F.rtrim(F.col("value")), ",", -1).alias("cells"))
+    at = F.coalesce(*[F.nullif(F.array_position("cells", F.lit(c)), F.lit(0)) for c in prefer])
+    headers = lines.where(F.col("cells")[0] == date).groupBy("asset").agg(F.max(at).cast("int").alias("at"))
+    found = lines.where(F.col("cells")[0] != date).join(headers.where("at IS NOT NULL"), "asset")
+    cell = F.try_element_at("cells", F.col("at")).try_cast("double")
+    return found.select(F.col("cells")[0].try_cast("date").alias("t"), "asset", cell.alias("x")).where("t IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
+
+
 def finite(frame: DataFrame) -> DataFrame:
     """Numbers that are not finite become null."""
     odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
@@ -56,6 +70,22 @@ def append_log(frame: DataFrame, path: str, run_date: str) -> None:
     frame.withColumn("run_date", F.lit(run_date).cast("date")).write.mode("append").partitionBy("run_date").parquet(path)
 
 
+def write_run(path: str, state: DataFrame, viscosity: DataFrame, report: DataFrame) -> None:
+    """What a run leaves: the state's rows by universe, the viscosity's numbers as ``uid, metric, value`` in CSV, and the
+    report as a JSON text a universe, without numbers that JSON lacks."""
+    state.write.mode("overwrite").partitionBy("uid").parquet(f"{path}/state")
+    metrics = [c for c in viscosity.columns if c != "uid"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    viscosity.select("uid", pairs.alias("p")).select("uid", "p.*").write.mode("overwrite").option("header", True).csv(f"{path}/viscosity")
+    as_json(report).write.mode("overwrite").text(f"{path}/report")
+
+
+def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The state of a run and its viscosity as ``uid, metrics`` (a map); a metric without a value is null."""
+    pairs = spark.read.schema("uid string, metric string, value double").option("header", True).csv(f"{path}/viscosity")
+    return spark.read.parquet(f"{path}/state"), pairs.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))  # a stated few metrics
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """``path, length, digest`` of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

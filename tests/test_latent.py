@@ -175,3 +175,65 @@ def test_reports_trends_and_periods(spark):
     periods = spark.createDataFrame([(day(2), day(4)), (day(3), day(5)), (day(9), day(9))], "low date, high date")
     x = events.semi_anti(rows, periods, ["x"]).first()
     assert (x["n_normal"], x["n_extreme"], x["extreme"], x["normal"]) == (5, 5, 4.6, 6.4) and x["delta"] == pytest.approx(-1.8)
+
+
+def test_normalised_and_mean_heads(spark):
+    rng = np.random.default_rng(1)
+    a = rng.integers(-2, 9, (3, 4, 4)).astype(float)
+    rows = [(0, h, i, j, float(a[h, i, j])) for h in range(3) for i in range(4) for j in range(4)] + [(1, 0, 0, 0, 0.0), (1, 0, 0, 1, 0.0)]
+    mean = attention.mean_of_heads(spark.createDataFrame(rows, "g long, head int, i int, j int, a double"))
+    m = np.maximum(a.mean(0), 0)
+    for how, expected in (("none", m), ("sum", m / m.sum()), ("max", m / m.max()), ("row", m / np.maximum(m.sum(1, keepdims=True), 1e-10))):
+        got = {(r["g"], r["i"], r["j"]): r["a"] for r in attention.normalised(mean, how).collect()}
+        assert all(got[0, i, j] == pytest.approx(expected[i, j]) for i in range(4) for j in range(4)) and got[1, 0, 1] == 0
+
+
+def test_presets_sum_their_parts(spark):
+    frame = spark.createDataFrame([(1, 0.4, 0.5, 0.6, 0.7, 0.2)], "g long, rscore double, eta double, xi double, delta double, omega double")
+    got = {r["preset"]: r for r in attention.preset_scores(frame).collect()}
+    assert set(got) == set(attention.PRESETS)
+    assert got["balanced"]["score"] == pytest.approx(0.25 * 0.4 + 0.25 * 0.5 + 0.2 * 0.4 + 0.15 * 0.7 - 0.15 * 0.2)
+    for r in got.values():
+        assert r["score"] == pytest.approx(sum(v for k, v in r.asDict().items() if k.startswith("part_")), abs=3e-6)
+
+
+def test_runs_and_wide_files(spark, tmp_path):
+    import datetime
+    import json
+
+    from lattica.sources import formats
+
+    place = f"file://{tmp_path}/run"
+    state = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, 0.7)], "uid string, t int, oh double")
+    viscosity = spark.createDataFrame([("a", 3.5, float("nan")), ("b", 1.0, None)], "uid string, nu double, tau double")
+    formats.write_run(place, state, viscosity, spark.createDataFrame([("a", float("inf")), ("b", 2.0)], "uid string, oh_max double"))
+    rows, metrics = formats.read_run(spark, place)
+    assert sorted((r["uid"], r["t"], r["oh"]) for r in rows.collect()) == [("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, 0.7)]
+    told = {r["uid"]: r["metrics"] for r in metrics.collect()}
+    assert told["a"]["nu"] == 3.5 and math_nan(told["a"]["tau"]) and told["b"] == {"nu": 1.0, "tau": None}
+    assert sorted(json.loads(r["value"])["oh_max"] or 0 for r in spark.read.text(f"{place}/report").collect()) == [0, 2.0]
+    (tmp_path / "wide").mkdir()
+    (tmp_path / "wide" / "north.csv").write_text("date,p,q\n2024-01-01,1.5,\n2024-01-02,2.5,3\n")
+    (tmp_path / "wide" / "south.csv").write_text("date,p,q\n2024-01-02,8,7\n")
+    got = sorted((r["uid"], r["t"], r["asset"], r["x"]) for r in formats.read_panel_csv(spark, f"file://{tmp_path}/wide", ["p", "q"]).where("x IS NOT NULL").collect())
+    day = lambda k: datetime.date(2024, 1, k)
+    assert got == [("north", day(1), "p", 1.5), ("north", day(2), "p", 2.5), ("north", day(2), "q", 3.0), ("south", day(2), "p", 8.0), ("south", day(2), "q", 7.0)]
+
+
+def test_files_of_assets_with_headers_of_their_own(spark, tmp_path):
+    import datetime
+
+    from lattica.sources import formats
+
+    for name, text in {
+        "AAA": "Date,Open,Close,Adj Close\n2024-01-01,1,2,3\n2024-01-02,1,,3\n\nbad,1,1,1\n",
+        "BBB": "Date,Adj Close,Open\r\n2024-01-02,9.5,1\r\n2024-01-03,nan,1\r\n",
+        "CCC": "Date,Open\n2024-01-01,5\n",
+    }.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = sorted(map(tuple, formats.read_asset_files(spark, f"file://{tmp_path}").collect()))
+    assert got == [(datetime.date(2024, 1, 1), "AAA", 2.0), (datetime.date(2024, 1, 2), "BBB", 9.5)]
+
+
+def math_nan(x):
+    return x is not None and x != x
