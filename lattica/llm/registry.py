@@ -193,7 +193,7 @@ OP13_SQL = r"""
 WITH tokens AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
 ), drawn AS (
-  SELECT *, len(w) + 1 AS m, list_transform([1, 9, 17, 25], lambda at: CAST('0x' || h[at:at + 7] AS BIGINT)) AS r FROM tokens
+  SELECT *, len(w) + 1 AS m, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || h[k:k + 7] AS BIGINT)) AS r FROM tokens
 ), placed AS (
   SELECT doc_id, text, m - 1 AS n, length(array_to_string(w[1:least(r[1] % m, r[2] % m)], '')) AS a, length(array_to_string(w[1:greatest(r[1] % m, r[2] % m)], '')) AS b,
          CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
