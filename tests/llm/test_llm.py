@@ -932,7 +932,7 @@ def test_trie_equals_brute_force(spark, monkeypatch):
 
 def test_trie_of_stretches_and_of_nothing(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "STRETCH", 4)
-    rows = [(c, t, "user", str(t)) for c in range(90) for t in range(2)] + [(200, t, "user", f"{t % 5}") for t in range(300)]
+    rows = [(c, t, "user", str(t)) for c in range(90) for t in range(2)] + [(200, t, "user", f"{t % 5}") for t in range(60)]
     assert collected(prefix_trie.prefix_trie(turns(spark, rows)), *TRIE) == brute_trie(rows, shared=False)
     assert prefix_trie.prefix_trie(turns(spark, rows).where("false"), prefix_trie.shared_opening).count() == 0
 
