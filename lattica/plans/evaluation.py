@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -399,51 +401,128 @@ def _axes(table_: pa.Table) -> pa.Table:
     return own
 
 
+#: Blocks on a side of a pair of stripes at most, and stripes at least, where there are as many blocks.
+STRIPE, STRIPES = 16, 16
+#: A squared distance is taken from products where it is over this share of both squared norms; else from differences.
+NEAR = 1e-5
+
+
+def _striped(rows: DataFrame, n: int, block: int) -> tuple[DataFrame, int]:
+    """``rows`` (row, label, ..) with ``stripe``, ranges of labels and rows, so that a stripe has few labels; and how many ranges there are."""
+    wanted = max(-(-n // (STRIPE * block)), min(-(-n // block), STRIPES), 1)
+    dealt = written(rows.repartitionByRange(wanted, "label", "row").withColumn("stripe", F.spark_partition_id()), "stripes")
+    return dealt, (dealt.agg(F.max("stripe")).first()[0] or 0) + 1
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    width = np.unique(whole.value_lengths().to_numpy())
+    if len(width) != 1:
+        raise ValueError(f"vectors of different lengths: {width.tolist()}")
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(whole), -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, ours: np.ndarray, theirs: np.ndarray, limits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of rows with rows. ``ours @ theirs`` has the squares but for rounding; ``limits`` (one a row on each side) sum to what it must reach."""
+    square = ours @ theirs
+    if not square.min(initial=np.inf) > limits[0].max(initial=0) + limits[1].max(initial=0):  # also where it is no number
+        rows, columns = np.nonzero(~(square > limits[0][:, None] + limits[1]))
+        for at in range(0, len(rows), 1 << 16):
+            i, j = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
+            square[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return np.sqrt(square, out=square)
+
+
+def _sums(left: pa.Table, right: pa.Table, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of distances, rows counted ``times``: of left rows to the right's runs of one label, and of right rows to the left's runs."""
+    x, y = _matrix(left["embedding"]), _matrix(right["embedding"])
+    with np.errstate(invalid="ignore", over="ignore"):
+        middle = x.mean(0).astype(np.float32).astype(float)  # so that its difference to a float is exact
+        middle[~np.isfinite(middle)] = 0
+        u, v = x - middle, y - middle
+        of_x, of_y = (u * u).sum(1), (v * v).sum(1)
+        ours = np.column_stack((-2 * u, of_x, np.ones(len(u))))
+        theirs = np.ascontiguousarray(np.column_stack((v, np.ones(len(v)), of_y)).T)
+        w_x, w_y = (t["times"].to_numpy().astype(float) for t in (left, right))
+        runs = [_runs(t["label"]) for t in (left, right)]
+        to_right, to_left = np.zeros((len(x), len(runs[1]))), np.zeros((len(y), len(runs[0])))
+        for i in range(0, len(x), block):
+            for j in range(0, len(y), block):
+                a, b = slice(i, i + block), slice(j, j + block)
+                d = _distances(x[a], y[b], ours[a], theirs[:, b], (NEAR * of_x[a], NEAR * of_y[b]))
+                for k, first, end in _within(runs[1], j, j + block):
+                    to_right[a, k] += d[:, first - j : end - j] @ w_y[first:end]
+                for k, first, end in _within(runs[0], i, i + block):
+                    to_left[b, k] += w_x[first:end] @ d[first - i : end - i]
+    return to_right, to_left
+
+
+def _runs(labels: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """First row and end of each run of one label, of rows sorted by label."""
+    own = np.array(labels.to_pylist())
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
+
+
+def _within(runs: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int, int]]:
+    at = bisect.bisect_right(runs, start, key=lambda r: r[1])
+    found = []
+    while at < len(runs) and runs[at][0] < end:
+        found.append((at, max(start, runs[at][0]), min(end, runs[at][1])))
+        at += 1
+    return found
+
+
 def _silhouettes(rows: DataFrame, n: int, block: int) -> DataFrame:
-    """``row, label, silhouette`` of all ``rows`` (row, label, embedding), from distances of blocks to blocks."""
+    """``row, label, times, silhouette`` of all ``rows`` (row, label, embedding, times), from distances of all rows to all.
+
+    Each pair of stripes is one group, asked once for both sides; a task holds two stripes and a block of distances.
+    """
     kind = rows.schema["label"].dataType.simpleString()
-    blocks = -(-n // block) or 1
-    dealt = rows.withColumn("a", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    # all pairs are asked for: each block goes to every pair of blocks that it is part of
-    ours = dealt.select("*", every.alias("b"))
-    theirs = dealt.select(F.col("a").alias("b"), F.col("label").alias("label"), F.col("embedding").alias("embedding"), every.alias("a"))
+    dealt, stripes = _striped(rows, n, block)
+    last = F.lit(stripes - 1)
+    ours = dealt.select("*", F.col("stripe").alias("a"), F.explode(F.sequence("stripe", last)).alias("b"))
+    theirs = dealt.select("*", F.col("stripe").alias("b"), F.explode(F.sequence(F.lit(0), F.col("stripe"))).alias("a"))
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y = (np.array(t["embedding"].to_pylist(), float) for t in (left, right))
-        kinds, of = np.unique(np.array(right["label"].to_pylist()), return_inverse=True)
-        if not len(x) or not len(y):
-            return pa.table({"row": pa.array([], pa.int64()), "other": right["label"].slice(0, 0), "total": pa.array([], pa.float64())})
-        member = (of[:, None] == np.arange(len(kinds))).astype(float)
-        step = max(1, (1 << 22) // y.size)
-        found = np.concatenate([np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(2)) @ member for i in range(0, len(x), step)])
-        return pa.table({"row": np.repeat(left["row"].to_numpy(), len(kinds)), "other": pa.array(kinds.tolist() * len(x), right.schema.field("label").type), "total": found.ravel()})
-
-    pairs = ours.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInArrow(sums, f"row long, other {kind}, total double")
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    totals = pairs.groupBy("row", "other").agg(F.sum("total").alias("total")).join(sizes.withColumnRenamed("label", "other"), "other")
-    totals = totals.join(rows.select(F.col("row").alias("row"), F.col("label").alias("label")), "row")
+        own = right.schema.field("label").type
+        if not len(left) or not len(right):
+            return pa.table({"row": pa.array([], pa.int64()), "label": pa.array([], own), "times": pa.array([], pa.int64()), "other": pa.array([], own), "total": pa.array([], pa.float64())})
+        alone = left["stripe"][0] == right["stripe"][0]
+        left, right = left.sort_by([("label", "ascending"), ("row", "ascending")]), right.sort_by([("label", "ascending"), ("row", "ascending")])
+        found = []
+        for these, others, totals in zip((left, right)[: 1 if alone else 2], (right, left), _sums(left, right, block), strict=False):
+            kinds = others["label"].take(pa.array([first for first, _ in _runs(others["label"])]))
+            for k, other in enumerate(kinds):
+                found.append(pa.table({"row": these["row"], "label": these["label"], "times": these["times"], "other": pa.repeat(other, len(these)), "total": totals[:, k]}))
+        return pa.concat_tables(found)
+
+    pairs = ours.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInArrow(sums, f"row long, label {kind}, times long, other {kind}, total double")
+    sizes = rows.groupBy(F.col("label").alias("other")).agg(F.sum("times").alias("size"))
+    totals = pairs.groupBy("row", "label", "times", "other").agg(F.sum("total").alias("total")).join(sizes, "other")
     own = F.col("other") == F.col("label")
-    each = totals.groupBy("row", "label").agg(
+    each = totals.groupBy("row", "label", "times").agg(
         F.max(F.when(own, F.col("size"))).alias("size"),
         F.max(F.when(own, F.col("total") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("inside"),
         F.min(F.when(~own, F.col("total") / F.col("size"))).alias("outside"),
     )
     value = (F.col("outside") - F.col("inside")) / F.greatest("outside", "inside", F.lit(kernels.EPS))
-    return each.select("row", "label", F.when((F.col("size") > 1) & F.col("outside").isNotNull(), value).otherwise(0.0).alias("silhouette"))
+    return each.select("row", "label", "times", F.when((F.col("size") > 1) & F.col("outside").isNotNull(), value).otherwise(0.0).alias("silhouette"))
 
 
 @query()
 def latent_structure(spark, sf_dir, block: int = 1_000):
     """Per embedding label and over all rows (``whole``): first axis, variance shares, how well labels separate."""
     vectors = table(spark, sf_dir, "embeddings").select("label", "embedding").where("label IS NOT NULL AND embedding IS NOT NULL")
-    rows = written(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    kind = rows.schema["label"].dataType.simpleString()
-    axes = _moments(rows.select("label", "embedding"), kind).groupBy("whole", "label").applyInArrow(
+    kind = vectors.schema["label"].dataType.simpleString()
+    axes = _moments(vectors, kind).groupBy("whole", "label").applyInArrow(
         _axes, f"whole boolean, label {kind}, rows long, axis_1 array<double>, share_1 double, share_2 double, share_3 double"
     )
+    # equal vectors of a label have one silhouette
+    rows = written(vectors.groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("times")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     single = _silhouettes(rows, rows.count(), block)
-    value = single.rollup("label").agg(F.avg("silhouette").alias("silhouette")).select(F.col("label").alias("of"), "silhouette")
+    mean = F.sum(F.col("silhouette") * F.col("times")) / F.sum("times")
+    value = single.rollup("label").agg(mean.alias("silhouette")).select(F.col("label").alias("of"), "silhouette")
     return axes.join(value, F.col("label").eqNullSafe(F.col("of"))).drop("of")
 
 

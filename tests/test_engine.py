@@ -5,6 +5,7 @@ import json
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ import __spark_entry__
 from lattica.config import STATE
 from lattica.functions import kernels, register
 from lattica.operators import attention, coupling, evaluate, events, fits, hazard, network, series, state, studies, windows
+from lattica.plans import evaluation
 from lattica.plans import every as catalog
 from lattica.sources import formats, panels
 
@@ -403,6 +405,41 @@ def test_latent_structure_uses_all_rows(spark):
     assert found[None]["silhouette"] == pytest.approx(kernels.silhouette(x, labels))
 
 
+def test_silhouettes_ask_each_pair_of_stripes_once(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    # far from zero, tight clusters, near and equal vectors, a label of one row
+    x = (1000 + 50 * rng.normal(size=(4, 6))[rng.integers(0, 4, 300)] + 1e-2 * rng.normal(size=(300, 6))).astype(np.float32)
+    x, labels = np.concatenate((x, x[:100])), np.concatenate((rng.integers(0, 6, 300), rng.integers(0, 6, 100)))
+    labels[:100:2], labels[7] = labels[300::2], 99
+    rows = [(k, v.tolist(), int(label)) for k, (v, label) in enumerate(zip(x, labels, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["label"]: r for r in catalog.QUERIES["latent_structure"](spark, str(tmp_path), block=5).collect()}
+    assert found[None]["rows"] == 400 and found[99]["silhouette"] == 0
+    assert found[None]["silhouette"] == pytest.approx(kernels.silhouette(x.astype(float), labels), rel=1e-7)
+    # 200 blocks of 5 rows were 200 copies of each row on both sides; now as many as there are stripes, and one more
+    of_rows = spark.range(1000).select(F.col("id").alias("row"), (F.col("id") % 3).alias("label"))
+    dealt, stripes = evaluation._striped(of_rows, 1000, 5)
+    assert stripes <= 16 and dealt.count() == 1000 and dealt.groupBy("stripe").agg(F.count_distinct("label").alias("n")).agg(F.sum("n")).first()[0] <= stripes + 2
+
+
+def test_pair_sums_where_products_lose_digits():
+    rng = np.random.default_rng(4)
+    base = 100 * rng.normal(size=(3, 8))
+    for spread, odd in ((1.0, None), (1e-3, None), (0.0, None), (1.0, 1e8), (1.0, np.inf), (1.0, np.nan)):
+        sides = [(base[rng.integers(0, 3, n)] + spread * rng.normal(size=(n, 8))).astype(np.float32) for n in (60, 90)]
+        if odd is not None:
+            sides[1][5, 2] = odd
+        kinds = [np.sort(rng.integers(0, 4, len(v))) for v in sides]
+        left, right = (pa.table({"embedding": pa.array(v.tolist(), pa.list_(pa.float32())), "label": k, "times": np.arange(len(v)) % 3 + 1}) for v, k in zip(sides, kinds, strict=True))
+        x, y = (v.astype(float) for v in sides)
+        with np.errstate(invalid="ignore"):
+            d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        w_x, w_y = (t["times"].to_numpy() for t in (left, right))
+        to_right, to_left = evaluation._sums(left, right, 16)
+        assert np.allclose(to_right, np.stack([(d * w_y)[:, kinds[1] == k].sum(1) for k in np.unique(kinds[1])], 1), rtol=1e-9, atol=0, equal_nan=True)
+        assert np.allclose(to_left, np.stack([(d.T * w_x)[:, kinds[0] == k].sum(1) for k in np.unique(kinds[0])], 1), rtol=1e-9, atol=0, equal_nan=True)
+
+
 # Contract
 
 
