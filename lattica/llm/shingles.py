@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.components import connected_components
-from lattica.runtime import drop_written, written
+from lattica.runtime import drop_written, tidied, written
 
 SHINGLE, PERCENT = 4, 85
 #: Ratio of a band's largest to its smallest set.
@@ -55,6 +55,8 @@ SPARE = 32
 POPULAR = 64
 #: Tile entries that are paired at once before the exchange.
 STRETCH = 1 << 19
+#: Rows of a batch of plain numbers that a task puts out.
+OUT_ROWS = 1 << 14
 #: 64-bit words of a bitmap signature.
 WORDS = 32
 #: Documents whose ids are broadcast to pick their texts; more than these go by exchange.
@@ -211,7 +213,7 @@ def shingle_sets(documents: DataFrame, size: int, percent: int, doc_id: str, tex
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(_signed(np.ascontiguousarray(c))) for c in columns), pa.array(tiles, pa.list_(pa.int64()))], names=names)
 
     bits = ", ".join(f"{b} long" for b in BITS)
-    return _source(documents, doc_id, text).mapInArrow(task, f"doc_id long, task int, n long, key binary, met long, {bits}, tiles array<long>")
+    return _source(documents, doc_id, text).mapInArrow(tidied(task), f"doc_id long, task int, n long, key binary, met long, {bits}, tiles array<long>")
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -241,8 +243,8 @@ def _by_stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``tile, doc, center``: of each stretch, a tile's smallest document without a center, the others with it."""
     for tile, doc, start in _stretches(batches):
         center = doc[start][np.cumsum(start) - 1]
-        for at in range(0, len(tile), 1 << 16):
-            part = slice(at, at + (1 << 16))
+        for at in range(0, len(tile), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(tile[part]), pa.array(doc[part]), pa.array(center[part], mask=start[part])], names=["tile", "doc", "center"])
 
 
@@ -284,7 +286,7 @@ def _arrays(documents: DataFrame, wanted: DataFrame, size: int, doc_id: str, tex
             arrays = [shingler.shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary())], names=["doc", "a"])
 
-    return _chosen(documents, wanted, doc_id, text).mapInArrow(task, "doc long, a binary")
+    return _chosen(documents, wanted, doc_id, text).mapInArrow(tidied(task), "doc long, a binary")
 
 
 def _chosen(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -328,7 +330,7 @@ def _linked(pairs: DataFrame, documents: DataFrame, size: int, percent: int, doc
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
 
     both = pairs.join(arrays.select(F.col("doc").alias("x"), F.col("a").alias("ax")), "x").join(arrays.select(F.col("doc").alias("y"), F.col("a").alias("ay")), "y")
-    found = written(both.select("x", "y", "ax", "ay").mapInArrow(task, "a long, b long"), "links")
+    found = written(both.select("x", "y", "ax", "ay").mapInArrow(tidied(task), "a long, b long"), "links")
     drop_written(arrays)
     return found
 
@@ -370,11 +372,11 @@ def _by_rarest(documents: DataFrame, unsafe: DataFrame, size: int, percent: int,
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 a = _signed(shingler.shingles(t.as_py()))
-                for at in range(0, len(a), 1 << 16):
-                    part = a[at : at + (1 << 16)]
+                for at in range(0, len(a), OUT_ROWS):
+                    part = a[at : at + OUT_ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(a))), pa.array(part)], names=["doc", "n", "shingle"])
 
-    rows = chosen.mapInArrow(every, "doc long, n long, shingle long")
+    rows = chosen.mapInArrow(tidied(every), "doc long, n long, shingle long")
     counts = written(rows.groupBy("shingle").agg(F.countDistinct("doc").alias("times")).where("times > 1"), "popular-counts")
     if counts.count() <= BROADCAST_SHINGLES:
         known = counts.toArrow()  # of at most BROADCAST_SHINGLES rows
@@ -397,7 +399,7 @@ def _by_rarest(documents: DataFrame, unsafe: DataFrame, size: int, percent: int,
                         often = np.full(len(own), np.log(times[place[common]]).sum() / len(a))
                         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), doc)), pa.array(often), tiles], names=["shingle", "doc", "common", "tiles"])
 
-        first = chosen.mapInArrow(rarest, "shingle long, doc long, common double, tiles array<long>").dropDuplicates(["shingle", "doc"])
+        first = chosen.mapInArrow(tidied(rarest), "shingle long, doc long, common double, tiles array<long>").dropDuplicates(["shingle", "doc"])
     else:
         whole = Window.partitionBy("doc")
         ranked = rows.distinct().join(counts, "shingle").select(
@@ -435,10 +437,10 @@ def join_shingles(documents: DataFrame, size: int = SHINGLE, percent: int = PERC
     entered = dealt.where("tiles IS NOT NULL").join(_small(again.select("doc_id", "task")), ["doc_id", "task"], "left_anti")
     signatures = written(entered.select(F.col("doc_id").alias("doc"), "n", *BITS), "signatures")
     entered = entered.select("doc_id", "tiles")
-    entries = written(entered.mapInArrow(_by_stretch, "tile long, doc long, center long"), "tile-entries")
+    entries = written(entered.mapInArrow(tidied(_by_stretch), "tile long, doc long, center long"), "tile-entries")
     drop_written(dealt, again)
     smallest_of = entries.where("center IS NULL").select("tile", "doc").repartition("tile").sortWithinPartitions("tile", "doc")
-    stars = smallest_of.mapInArrow(_met, "tile long, doc long, center long").unionByName(entries.where("center IS NOT NULL"))
+    stars = smallest_of.mapInArrow(tidied(_met), "tile long, doc long, center long").unionByName(entries.where("center IS NOT NULL"))
     tiles = written(stars.where("doc <> center"), "tiles")
     drop_written(entries)
 

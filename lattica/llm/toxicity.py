@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.folds import fold, labelled_sample
+from lattica.runtime import tidied
 
 #: Bound of the labelled rows that the machine learns from.
 TRAIN_ROWS = 5_000
@@ -363,7 +364,7 @@ def score_toxicity(documents: DataFrame, machine: Machine, folds: int = FOLDS, h
         F.coalesce(fold(F.col(doc_id), folds) == held_out, F.lit(False)).alias("held_out"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    return source.mapInArrow(task, "doc_id long, held_out boolean, score double, predicted int")
+    return source.mapInArrow(tidied(task), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -377,4 +378,4 @@ def drop_toxic(documents: DataFrame, machine: Machine, threshold: float = THRESH
             scores = scorer.scores([t or "" for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 
-    return documents.mapInArrow(task, documents.schema)
+    return documents.mapInArrow(tidied(task), documents.schema)

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -29,6 +32,30 @@ def collected(df, *columns):
 EDGES = [(1, None), (2, ""), (3, "   \n\t "), (4, "é日本 ☃"), (5, "same row"), (5, "same row"), (None, "no id a@b.co"), (6, "word " * 40_000)]
 
 
+# Memory of Python workers
+
+HELD = """
+import numpy as np
+from lattica.runtime import tidied
+resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 2**20
+pins = []
+def task(batches):
+    for _ in range(2):  # what is freed first raises the size from which memory is mapped apart
+        held = [(np.ones(1 << 17), pins.append(np.ones(64))) for _ in range(200)]
+        yield resident()
+        del held
+before = resident()
+most = max(tidied(task)(iter(())))
+print(most - before, resident() - before)
+"""
+
+
+def test_a_worker_gives_back_what_a_task_has_freed():
+    found = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=os.path.dirname(shingles.__file__) + "/../..")
+    most, left = map(float, found.stdout.split())
+    assert most > 150 and left < 40
+
+
 # PII
 
 
