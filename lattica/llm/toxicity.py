@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.folds import fold, labelled_sample
-from lattica.runtime import tidied
+from lattica.runtime import give_back, release, tidied
 
 #: Bound of the labelled rows that the machine learns from.
 TRAIN_ROWS = 5_000
@@ -342,7 +342,12 @@ def hash_of(window: str) -> int:
 def train(documents: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = TRAIN_ROWS) -> Machine:
     """A machine from at most ``rows`` labelled rows outside the held-out fold."""
     found = labelled_sample(documents, labels, target, folds, held_out, rows).toArrow()
-    return fit(found["text"].to_pylist(), found["target"].to_pylist())
+    texts, targets = found["text"].to_pylist(), found["target"].to_pylist()
+    del found
+    release(documents.sparkSession)  # the fit takes the driver's memory
+    machine = fit(texts, targets)
+    give_back()
+    return machine
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

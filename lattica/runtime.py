@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -12,6 +13,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -86,19 +88,54 @@ _released = (0.0, 0.0)  # when this process last did, and how long it took
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs: it does so once nothing in the driver refers to them.
+    """Let Spark delete the shuffle files of finished jobs, and give what the driver has freed back to the system.
 
-    A full collection of a large driver takes a while, so one in twenty seconds at most goes into them.
+    Spark deletes those files once nothing in the driver refers to them. A full collection of a large driver takes a
+    while, so one in twenty seconds at most goes into this.
     """
     global _released
     began = time.monotonic()
     if began - _released[0] < 20 * _released[1]:
         return
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    give_back()
+    _collect_driver(spark)
     _released = (time.monotonic(), time.monotonic() - began)
 
 
+#: Least and greatest percentage of the driver's heap that a full collection leaves free here.
+FREE = {"MinHeapFreeRatio": "10", "MaxHeapFreeRatio": "30"}
+
+
+def _collect_driver(spark: SparkSession) -> None:
+    """A full collection of the driver's JVM, after which heap and native memory that it does not use are the system's.
+
+    By itself the JVM keeps a heap of three times what is in use, and what its compiler and its many short-lived
+    threads have freed. Both are asked for by its management interface; a JVM without that just collects.
+    """
+    jvm = spark.sparkContext._jvm
+    management = jvm.java.lang.management.ManagementFactory
+    try:
+        options = management.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+        before = {name: options.getVMOption(name).getValue() for name in FREE}
+    except Py4JJavaError:
+        jvm.System.gc()
+        return
+    try:
+        for name in FREE:
+            options.setVMOption(name, FREE[name])
+        jvm.System.gc()
+    finally:
+        for name in reversed(FREE):
+            options.setVMOption(name, before[name])
+    server = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+    invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
+    arguments = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # neither values nor types for the command
+    arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):  # only newer JVMs on Linux know this command
+        invoke.invoke(management.getPlatformMBeanServer(), arguments)
+
+
 def give_back() -> None:
     """Return to the system what this process has freed: Python workers live on beside the tasks of later stages."""
     pa.default_memory_pool().release_unused()

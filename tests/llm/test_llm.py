@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import col
 
+from lattica import runtime
 from lattica.llm import bpe, chat, components, decontaminate, fim, licenses, lm, pii, prefix_trie, quality, registry, shingles, topk, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long, key binary, tile long"
@@ -56,6 +57,19 @@ def test_a_worker_gives_back_what_a_task_has_freed():
     assert most > 150 and left < 40
 
 
+def test_the_driver_gives_back_what_jobs_have_freed(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "_released", (0.0, 0.0))
+    jvm = spark.sparkContext._jvm
+    options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    ratios = lambda: [options.getVMOption(f"M{m}HeapFreeRatio").getValue() for m in ("in", "ax")]
+    before, memory = ratios(), jvm.java.lang.Runtime.getRuntime()
+    spark.range(4_000_000).selectExpr("size(collect_list(id))").first()
+    jvm.System.gc()
+    collected_only = memory.totalMemory()
+    runtime.release(spark)
+    assert memory.totalMemory() < 0.75 * collected_only and ratios() == before
+
+
 # PII
 
 
