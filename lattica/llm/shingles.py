@@ -33,7 +33,7 @@ component; an empty table gives no rows; other columns are ignored, whatever the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -359,25 +359,38 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _counted(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shingle, times`` of rows ``text``: how many rows of a stretch have it, so that alike rows of a task put out little."""
+    shingler, held, entries = Shingler(size), [], 0
+
+    def tally() -> Iterator[pa.RecordBatch]:
+        own, times = np.unique(np.concatenate(held), return_counts=True)
+        for at in range(0, len(own), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(own[part]), pa.array(times[part])], names=["shingle", "times"])
+
+    for batch in batches:
+        for t in batch.column(0):
+            held.append(_signed(shingler.shingles(t.as_py())))
+            entries += len(held[-1])
+            if entries >= STRETCH:
+                yield from tally()
+                held, entries = [], 0
+    if held:
+        yield from tally()
+
+
 def _by_rarest(documents: DataFrame, unsafe: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The written ``shingle, doc, common, tiles`` of the sets' rarest shingles: as many as linked sets cannot all differ in.
 
-    Shingles are counted over these sets. Those that several have are broadcast if they are counted to be few; else
+    Shingles are counted over these sets' rows; a repeated row counts again, as any one order for all sets will do. Those
+    that several have are broadcast if they are counted to be few; else
     they meet the sets by exchange. ``common`` is the mean logarithm of the counts of a set's shingles.
     """
     chosen = _chosen(documents, unsafe, doc_id, text)
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                a = _signed(shingler.shingles(t.as_py()))
-                for at in range(0, len(a), OUT_ROWS):
-                    part = a[at : at + OUT_ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(a))), pa.array(part)], names=["doc", "n", "shingle"])
-
-    rows = chosen.mapInArrow(tidied(every), "doc long, n long, shingle long")
-    counts = written(rows.groupBy("shingle").agg(F.countDistinct("doc").alias("times")).where("times > 1"), "popular-counts")
+    counts = chosen.select("text").mapInArrow(tidied(partial(_counted, size)), "shingle long, times long")
+    counts = written(counts.groupBy("shingle").agg(F.sum("times").alias("times")).where("times > 1"), "popular-counts")
     if counts.count() <= BROADCAST_SHINGLES:
         known = counts.toArrow()  # of at most BROADCAST_SHINGLES rows
         order = np.argsort(known["shingle"].to_numpy())
@@ -401,6 +414,17 @@ def _by_rarest(documents: DataFrame, unsafe: DataFrame, size: int, percent: int,
 
         first = chosen.mapInArrow(tidied(rarest), "shingle long, doc long, common double, tiles array<long>").dropDuplicates(["shingle", "doc"])
     else:
+
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler(size)
+            for batch in batches:
+                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    a = _signed(shingler.shingles(t.as_py()))
+                    for at in range(0, len(a), OUT_ROWS):
+                        part = a[at : at + OUT_ROWS]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(a))), pa.array(part)], names=["doc", "n", "shingle"])
+
+        rows = chosen.mapInArrow(tidied(every), "doc long, n long, shingle long")
         whole = Window.partitionBy("doc")
         ranked = rows.distinct().join(counts, "shingle").select(
             "doc", "n", "shingle", F.row_number().over(whole.orderBy("times", "shingle")).alias("rank"), F.count(F.lit(1)).over(whole).alias("known"), F.sum(F.log("times")).over(whole).alias("logs")

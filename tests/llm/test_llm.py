@@ -449,6 +449,15 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_shingles_of_alike_rows_leave_a_task_once():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k}" for k in range(200)) + f" x{i}" for i in range(100)] + [None, ""]
+    rows = [r for b in shingles._counted(4, iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for r in b.to_pylist()]
+    sets = Counter(x for t in texts for x in shingles.Shingler(4).shingles(t).view(np.int64).tolist())
+    assert {r["shingle"]: r["times"] for r in rows} == sets and len(rows) == len(sets) == 297
+
+
 def test_keep_one_keeps_columns(spark):
     docs = documents(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other"), (None, "a b c d e f g"), (4, None)])
     kept = shingles.keep_one(docs)
